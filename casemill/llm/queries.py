@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontaminate, pieces, rules, secret_scan, simhash
+from casemill.llm import decontaminate, pieces, rules, secret_scan, simhash, warc
 from casemill.plans.session import with_code
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +58,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.assess(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     out = pieces.encode_decode(_table(spark, sf_dir, "documents"), model)
     return out.select(
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op7_simhash": op7_simhash,
     "op8_rules": op8_rules,
+    "op9_warc": op9_warc,
     "op10_pieces": op10_pieces,
 }
 
@@ -98,5 +104,17 @@ f AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY i
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
        coalesce(f.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS "to" FROM p GROUP BY h),
+x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, nullif("to", page_id) AS refers_to
+      FROM p JOIN g USING (h))
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+           ((16 * (instr('0123456789abcdef', substr(s, 5 * i // 4 + 1, 1)) - 1)
+             + instr('0123456789abcdef', substr(s, 5 * i // 4 + 2, 1)) - 1) >> (3 - 5 * i % 4)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM x
 """,
 }
