@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontaminate, pieces, rules, secret_scan, simhash, warc
+from casemill.llm import decontaminate, pieces, pii, rules, secret_scan, simhash, warc
 from casemill.plans.session import with_code
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -49,6 +49,16 @@ def op5_secrets(spark: SparkSession, sf_dir: str, ranks: str = TOKEN_RANKS) -> D
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(_n("spans", kind) for kind in pii.KINDS[:-1]),
+        F.expr(f"sha2({_listed('filter(spans, s -> s.kind <> ' + repr('term') + ')')}, 256)").alias("base_sha256"),
+        F.expr(_listed("spans")).alias("spans"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -76,6 +86,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> D
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
+    "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
     "op8_rules": op8_rules,
     "op9_warc": op9_warc,
