@@ -104,14 +104,37 @@ class PieceModel:
             for k in range(1, len(p))
             if p[:k] in symbol and p[k:] in symbol
         )
-        self.keys, self.rank, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.table = {k: (r, m) for k, r, m in pairs}
+        # the pairs as an open-addressing hash table, an eighth full at most
+        keys, rank, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.bits = int(8 * len(keys) - 1).bit_length()
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.rank, self.merged = np.full(1 << self.bits, _NONE), np.zeros(1 << self.bits, np.int64)
+        slot, rest = self._slot(keys), np.arange(len(keys))
+        while len(rest):
+            _, first = np.unique(slot[rest], return_index=True)
+            put = rest[first][self.keys[slot[rest[first]]] < 0]
+            self.keys[slot[put]], self.rank[slot[put]], self.merged[slot[put]] = keys[put], rank[put], merged[put]
+            rest = rest[self.keys[slot[rest]] != keys[rest]]
+            slot[rest] = slot[rest] + 1 & (1 << self.bits) - 1
+        size = np.array([len(x) for x in self.surface])
+        self.surface_size, self.surface_at = size, np.cumsum(size) - size
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of each pair; the rank of a pair without a piece is ``_NONE``."""
         key = left * self.n_symbols + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        found = self.keys[at] == key
-        return np.where(found, self.rank[at], _NONE), self.merged[at]
+        at = self._slot(key)
+        there = self.keys[at]
+        more = np.flatnonzero((there != key) & (there >= 0))
+        while len(more):
+            at[more] = at[more] + 1 & (1 << self.bits) - 1
+            there = self.keys[at[more]]
+            more = more[(there != key[more]) & (there >= 0)]
+        return self.rank[at], self.merged[at]
 
     def _long(self, symbols: list[int]) -> list[int]:
         """Merges of one very long word by a heap."""
@@ -135,9 +158,9 @@ class PieceModel:
                 offer(i, after[i])
         return [i for i, s in enumerate(symbols) if s >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, which is encoded by itself and without a prefix."""
-        out: list[list[int]] = [[]] * len(words)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids (int32) of each word, which is encoded by itself and without a prefix."""
+        out = [b""] * len(words)
         short = []
         for k, word in enumerate(words):
             if len(word) > LONG:
@@ -187,22 +210,21 @@ class PieceModel:
         order = np.argsort(place, kind="stable")
         place, symbols, word = place[order], symbols[order], word[order]
         bounds = np.searchsorted(word, np.arange(len(short) + 1))
-        flat = symbols.tolist()
+        flat = symbols.astype("<i4").tobytes()
         odd = np.zeros(len(short), bool)
         odd[word[(symbols == 0) | (symbols >= len(self.pieces))]] = True
-        for n, k in enumerate(short):
-            a, b = bounds[n], bounds[n + 1]
-            if odd[n]:
-                own = [0] * len(words[k])
-                first = place[a:b] - place[a]
-                for p, s in zip(first.tolist(), flat[a:b], strict=True):
-                    own[p] = s
-                out[k] = self._ids(words[k], own, first.tolist())
-            else:
-                out[k] = flat[a:b]
+        cut = (4 * bounds).tolist()
+        for k, a, b in zip(short, cut, cut[1:], strict=False):
+            out[k] = flat[a:b]
+        for n in np.flatnonzero(odd).tolist():
+            a, b, own = bounds[n], bounds[n + 1], [0] * len(words[short[n]])
+            first = (place[a:b] - place[a]).tolist()
+            for p, x in zip(first, symbols[a:b].tolist(), strict=True):
+                own[p] = x
+            out[short[n]] = self._ids(words[short[n]], own, first)
         return out
 
-    def _ids(self, word: str, symbols: list[int], starts: list[int]) -> list[int]:
+    def _ids(self, word: str, symbols: list[int], starts: list[int]) -> bytes:
         """Symbols that are no pieces become their bytes."""
         ids: list[int] = []
         for i in starts:
@@ -210,7 +232,17 @@ class PieceModel:
                 ids.append(symbols[i])
             else:
                 ids += [self.byte_id[b] for b in word[i].encode()]
-        return ids
+        return np.array(ids, "<i4").tobytes()
+
+    def surfaces(self, ids: list[bytes]) -> list[bytes]:
+        """The decoded bytes of each sequence of ids (int32), the space of a prefix included."""
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        size = self.surface_size[flat]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.surface_at[flat] - ends + size, size)
+        text = self.surface_bytes[at].tobytes()
+        cut = np.r_[0, ends][np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        return [text[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that are no UTF-8 come out as U+FFFD."""
@@ -243,24 +275,22 @@ def _model(raw: bytes) -> PieceModel:
     return PieceModel(raw)
 
 
-def _block(model: PieceModel, known: dict, texts: list[str]) -> list[tuple[bytes, bytes]]:
+def _block(model: PieceModel, known: tuple[dict, dict], texts: list[str]) -> list[tuple[bytes, bytes]]:
     """The ids (int32) and the decoded bytes of each text."""
+    ids_of, back_of = known
     split = [model.words(t) for t in texts]
-    new = list(set().union(*split).difference(known))
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(set().union(*split))
-    full = [w if w[0] == MARK else MARK + w for w in new]
-    for w, ids in zip(new, model.encode_words(full), strict=True):
-        known[w] = (np.array(ids, "<i4").tobytes(), b"".join([model.surface[i] for i in ids]))
-    out = []
-    for words in split:
-        if words:
-            ids, back = zip(*map(known.__getitem__, words), strict=True)
-            out.append((b"".join(ids), b"".join(back)[1:]))
-        else:
-            out.append((b"", b""))
-    return out
+    seen = set().union(*split)
+    new = list(seen.difference(ids_of))
+    if len(ids_of) + len(new) > REMEMBERED:  # words that come again stay
+        again = seen.intersection(ids_of)
+        for table in known:
+            kept = {w: table[w] for w in again}
+            table.clear()
+            table.update(kept)
+    ids = model.encode_words([w if w[0] == MARK else MARK + w for w in new])
+    ids_of.update(zip(new, ids, strict=True))
+    back_of.update(zip(new, model.surfaces(ids), strict=True))
+    return [(b"".join(map(ids_of.__getitem__, words)), b"".join(map(back_of.__getitem__, words))[1:]) for words in split]
 
 
 def encode_decode(docs: DataFrame, model_path: str | Path) -> DataFrame:
@@ -276,7 +306,7 @@ def encode_decode(docs: DataFrame, model_path: str | Path) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
-        model, known = _model(sent.value), {}
+        model, known = _model(sent.value), ({}, {})
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
