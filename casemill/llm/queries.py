@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontaminate, pieces, pii, rules, secret_scan, simhash, warc
+from casemill.llm import classifier, decontaminate, html_blocks, pieces, pii, rules, secret_scan, simhash, warc
 from casemill.plans.session import with_code
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_code(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit_on(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -84,6 +93,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> D
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
