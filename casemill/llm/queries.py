@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import classifier, decontaminate, html_blocks, pieces, pii, rules, secret_scan, simhash, warc
+from casemill.llm import classifier, decontaminate, html_blocks, pieces, pii, rules, secret_scan, simhash, substrings, warc
 from casemill.plans.session import with_code
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit_on(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
@@ -94,6 +99,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_substrings": op2_substrings,
     "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
@@ -110,6 +116,20 @@ _WORDS = (
 )
 
 ORACLES: dict[str, str] = {
+    "op2_substrings": """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+s AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS g FROM d, unnest(range(0, n_bytes - 49)) AS t(p)),
+f AS (SELECT md5(g) AS k, min(doc_id) AS first FROM s GROUP BY 1),
+h AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM s JOIN f ON md5(g) = k WHERE first < doc_id),
+r AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM h),
+c AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b, lag(max(p) + 50, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS at FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+             string_agg(substr(x, 2 * at + 1, 2 * (a - at)), '' ORDER BY run) AS head, any_value(x) AS x
+      FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.x ELSE head || substr(k.x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""",
     "op4_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
