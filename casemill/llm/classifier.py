@@ -151,6 +151,18 @@ def _repeats(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive texts of ``BLOCK_BYTES`` at most together, or one longer text."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size == 0 or size + len(texts[end]) <= BLOCK_BYTES):
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 class QualityModel:
     """A field over lines, and a logistic map from a document's mean to a probability."""
 
@@ -177,12 +189,12 @@ def fit(texts: list[bytes], labels: list[int]) -> QualityModel | None:
     if not texts:
         return None
     y = np.array(labels, np.int64)
-    x, lengths, _ = lines_of(texts)
+    x, lengths = (np.concatenate(p) for p in zip(*(lines_of(own)[:2] for own in _blocks(texts)), strict=True))
     # documents weigh alike, however many lines they have
     field = LinearChainCRF.fit(x, np.repeat(y, lengths), lengths, N_FEATURES, weight=1 / np.maximum(lengths, 1) ** 0.5, penalty=1.0)
     share = float(y.mean())
     model = QualityModel(field, 1.0, 0.0, min(share, 0.49))
-    good, some = model.means(texts)
+    good, some = (np.concatenate(p) for p in zip(*(model.means(own) for own in _blocks(texts)), strict=True))
     if some.any() and 0 < share < 1:
         odds = np.log(np.clip(good, 1e-6, 1 - 1e-6) / np.clip(1 - good, 1e-6, 1))[some]
         model.slope, model.middle = _logistic(odds, y[some])
@@ -229,15 +241,9 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(ids: list, texts: list) -> Iterator[tuple]:
-        model, at = sent.value, 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (size == 0 or size + len(texts[end]) <= BLOCK_BYTES):
-                size += len(texts[end])
-                end += 1
-            scores = [0.5] * (end - at) if model is None else model.score(texts[at:end]).tolist()
-            yield from zip(ids[at:end], scores, strict=True)
-            at = end
+        model = sent.value
+        scores = (s for own in _blocks(texts) for s in ([0.5] * len(own) if model is None else model.score(own).tolist()))
+        yield from zip(ids, scores, strict=True)
 
     rows = arrow_map(docs.select(F.col("doc_id").cast("long"), as_bytes()), kernel, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
