@@ -4,12 +4,13 @@ The suffixes that can matter are found first, then sorted.
 
 1. Every 50-byte string names an anchor: of the 20-byte strings in it, the one with the least
    hash. Equal strings name equal anchors, and neighbouring strings mostly share theirs, so there
-   is one anchor for some 16 strings. All strings of an anchor together make its stretch. A pass
-   gathers, a bucket of hashes at a time, which anchors and stretches more than one document has,
-   as two bit filters of fixed size. A batch sends a hash once, so a passage in a third of all
-   documents costs a row a batch.
-2. A second pass emits the stretches whose anchors pass the filters. A stretch that an earlier
-   document has is removed whole. Stretches that differ but share an anchor are where repeats
+   is one anchor for some 16 strings. All strings of an anchor together make its stretch. A string
+   also holds the 15 bytes on the left of its anchor or the 15 on the right, so stretches with a
+   string in common agree in one of these 35-byte cores. A pass gathers, a bucket of hashes at a
+   time, which stretches and cores more than one document has, as two bit filters of fixed size.
+   A batch sends a stretch once, so a passage in a third of all documents costs a row a batch.
+2. A second pass emits the stretches that pass the filters. A stretch that an earlier document
+   has is removed whole. Stretches that differ but share a core are where repeats
    begin and end: their suffixes are deep-shallow sorted, by batch and then by bucket, and runs
    of equals give the first document of each string.
 3. What was found is joined to the documents by doc_id and text digest.
@@ -34,6 +35,7 @@ from casemill.plans.cut import stored
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM) // 2
 #: Bits of either filter; a bound on what is broadcast.
 FILTER_BITS = 1 << 27
 BLOCK_BYTES = 1 << 20
@@ -43,6 +45,9 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _POWER = np.cumprod(np.r_[_U(1), np.full(BLOCK_BYTES, _BASE, _U)])
 
 
+_KINDS = (np.int64, _U, np.uint32, np.uint32, np.int64, np.int64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> _U(32)) * _U(0xD6E8FEB86659FD93)
     x = (x ^ x >> _U(32)) * _U(0xD6E8FEB86659FD93)
@@ -70,9 +75,10 @@ def _sliding_least(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """``(text number, anchor hash, stretch hash, first start, strings)`` of all stretches.
+    """``(text number, anchor hash, stretch hash, cores, first start, strings)`` of all stretches.
 
-    ``first start`` is where the stretch begins in its text; it has ``strings`` starts.
+    ``cores`` has the hashes of the left and the right core, 16 bits each, 0 where no string of the
+    stretch holds that core. ``first start`` is where the stretch begins in its text; it has ``strings`` starts.
     """
     parts: list[tuple[np.ndarray, ...]] = []
     at = 0
@@ -90,20 +96,20 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             doc, *rest = _stretches(texts[at:end])
             parts.append((doc + at, *rest))
         at = end
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, t) for t in (np.int64, _U, np.uint32, np.int64, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, t) for t in _KINDS)
 
 
 def _stitched(found: list, step: int, size: int) -> tuple[np.ndarray, ...]:
     """Stretches of the pieces of a long text. A stretch that a piece cuts off comes whole in the next
     one as well; both stand, which changes no result: what is covered is a union."""
-    return tuple(np.concatenate([(x + a if k == 2 else x) for a, p in found for x in [p[k + 1]]]) for k in range(4))
+    return tuple(np.concatenate([(x + a if k == 3 else x) for a, p in found for x in [p[k + 1]]]) for k in range(5))
 
 
 def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, _U, np.uint32, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in _KINDS)
     grams = _gram_hashes(raw)
     low = _U((1 << 21) - 1)
     least = _sliding_least((grams & ~low) | np.arange(len(grams), dtype=_U), SPAN)
@@ -114,11 +120,19 @@ def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(whole & np.r_[True, ~whole[:-1] | (anchor[1:] != anchor[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1])])
     stop = np.flatnonzero(whole & np.r_[~whole[1:] | (anchor[1:] != anchor[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1]), True])
     sums = np.r_[_U(0), np.cumsum((raw.astype(_U) + _U(1)) * _U(0x8EBC6AF09C88C6E3) * _POWER[: len(raw)], dtype=_U)]
-    # the same string has the same hash wherever it stands: all are brought to the block's end
+    # the same string has the same hash wherever it stands: all are brought to one power
     end = stop + LENGTH
-    total = (sums[end] - sums[start]) * _POWER[len(raw) - start]
+    total = (sums[end] - sums[start]) * _POWER[BLOCK_BYTES - start]
     u = (_mixed(total + (end - start).astype(_U) * _U(0x589965CC75374CC3)) >> _U(32)).astype(np.uint32)
-    return doc[start], grams[anchor[start]], u, start - first[doc[start]], stop - start + 1
+    at = anchor[start]
+
+    def core(a: np.ndarray, held: np.ndarray) -> np.ndarray:
+        a = np.where(held, a, start)  # any place inside the text
+        total = (sums[a + GRAM + SIDE] - sums[a]) * _POWER[BLOCK_BYTES - a]
+        return np.where(held, (_mixed(total) >> _U(48)).astype(np.uint32) | 1, 0).astype(np.uint32)
+
+    cores = core(at - SIDE, start <= at - SIDE) << np.uint32(16) | core(at, stop > at - SIDE)
+    return doc[start], grams[at], u, cores, start - first[doc[start]], stop - start + 1
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -132,9 +146,9 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _probes(h: np.ndarray, u: np.ndarray | None, bits: int) -> Iterator[np.ndarray]:
+def _probes(h: np.ndarray, u: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     """Bits of a key inside its bucket's section."""
-    key = h if u is None else h ^ (u.astype(_U) * _BASE)
+    key = h ^ (u.astype(_U) * _BASE)
     for k in range(3):
         key = _mixed(key + _U(0x2545F4914F6CDD1D + k))
         yield (key % _U(bits)).astype(np.int64)
@@ -146,35 +160,57 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _request(batch: tuple, buckets: int) -> Iterator[tuple]:
     """One packed row for each bucket: each anchor and stretch once, with its first and last document."""
-    ids, h, u = batch
+    ids, h, u, c = batch
     order = np.lexsort((ids, u, h))
-    ids, h, u = ids[order], h[order], u[order]
+    ids, h, u, c = ids[order], h[order], u[order], c[order]
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])]) if len(h) else np.zeros(0, np.int64)
     least, most = ids[new], ids[np.r_[new[1:], len(ids)] - 1] if len(new) else ids[new]
-    h, u = h[new], u[new]
+    h, u, c = h[new], u[new], c[new]
     bounds = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         i, j = bounds[b], bounds[b + 1]
-        yield b, _pack(np.diff(h[i:j], prepend=_U(0))), _pack(u[i:j]), _pack(least[i:j]), _pack(most[i:j] - least[i:j])
+        yield b, _pack(np.diff(h[i:j], prepend=_U(0))), _pack(u[i:j]), _pack(c[i:j]), _pack(least[i:j]), _pack(most[i:j] - least[i:j])
+
+
+_PACKED = ("h", "u", "c", "lo", "span")
+
+
+def _left(c: np.ndarray) -> np.ndarray:
+    return c >> np.uint32(16) | np.uint32(1 << 16)
+
+
+def _right(c: np.ndarray) -> np.ndarray:
+    return c & np.uint32(65535)
+
+
+def _held(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint32(65535)) != 0
 
 
 def _shared(group: pa.Table, bits: int) -> tuple[bytes, bytes]:
-    """Sections of the two filters: stretches of several documents, anchors of several stretches."""
+    """Sections of the two filters: stretches of several documents, cores of several stretches."""
     parts = [
-        (np.cumsum(_unpack(h, _U), dtype=_U), _unpack(u, np.uint32), (lo := _unpack(a, np.int64)), lo + _unpack(d, np.int64))
-        for h, u, a, d in zip(*(group.column(k).to_pylist() for k in ("h", "u", "lo", "span")), strict=True)
+        (np.cumsum(_unpack(h, _U), dtype=_U), _unpack(u, np.uint32), _unpack(c, np.uint32), (lo := _unpack(a, np.int64)), lo + _unpack(d, np.int64))
+        for h, u, c, a, d in zip(*(group.column(k).to_pylist() for k in _PACKED), strict=True)
     ]
-    h, u, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, u, c, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((u, h))
-    h, u, lo, hi = h[order], u[order], lo[order], hi[order]
+    h, u, c, lo, hi = h[order], u[order], c[order], lo[order], hi[order]
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])])
-    h, u, lo, hi = h[new], u[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new)
-    anchors = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    earliest = np.repeat(np.minimum.reduceat(lo, anchors), np.diff(np.r_[anchors, len(h)]))
-    # an anchor matters to the sort if some stretch of it begins after the anchor's first document
-    later = np.logical_or.reduceat(lo > earliest, anchors)
+    h, u, c, lo, hi = h[new], u[new], c[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new)
+    # a core matters to the sort if some stretch with it begins after the core's first document
+    cores_h, cores_c = [], []
+    for key in (_left(c), _right(c)):
+        own = np.flatnonzero(_held(key))
+        own = own[np.lexsort((key[own], h[own]))]
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(own)), bool), (h[own][1:] != h[own][:-1]) | (key[own][1:] != key[own][:-1])])
+        if len(own):
+            earliest = np.repeat(np.minimum.reduceat(lo[own], first), np.diff(np.r_[first, len(own)]))
+            later = np.logical_or.reduceat(lo[own] > earliest, first)
+            cores_h.append(h[own][first][later])
+            cores_c.append(key[own][first][later])
     out = []
-    for keys in ((h[lo < hi], u[lo < hi]), (h[anchors][later], None)):
+    for keys in ((h[lo < hi], u[lo < hi]), (np.concatenate([*cores_h, h[:0]]), np.concatenate([*cores_c, u[:0]]))):
         section = np.zeros(bits, bool)
         for at in _probes(*keys, bits):
             section[at] = True
@@ -188,29 +224,30 @@ class _Filters:
         blank = bytes(bits // 8)
         self.sets = [np.frombuffer(b"".join(sections.get(b, (blank, blank))[k] for b in range(buckets)), np.uint8) for k in (0, 1)]
 
-    def _has(self, k: int, h: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+    def _has(self, k: int, h: np.ndarray, u: np.ndarray) -> np.ndarray:
         base, out = _bucket(h, self.buckets) * self.bits, np.ones(len(h), bool)
         for at in _probes(h, u, self.bits):
             at = base + at
             out &= (self.sets[k][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def pick(self, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pick(self, h: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which stretches several documents may have, and which have to be sorted."""
-        return self._has(0, h, u), self._has(1, h, None)
+        left, right = _left(c), _right(c)
+        return self._has(0, h, u), _held(left) & self._has(1, h, left) | _held(right) & self._has(1, h, right)
 
 
 def _sent_filters(docs: DataFrame, filter_bits: int):
     spark = docs.sparkSession
     buckets = max(16, 4 * docs.rdd.getNumPartitions())
     bits = max(64, filter_bits // buckets // 64 * 64)
-    schema = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("h", "u", "lo", "span"))])
+    schema = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in _PACKED)])
 
     def ask(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            doc, h, u, _, _ = stretches(texts)
-            rows = list(_request((ids[doc], h, u), buckets))
+            doc, h, u, c, _, _ = stretches(texts)
+            rows = list(_request((ids[doc], h, u, c), buckets))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -218,7 +255,7 @@ def _sent_filters(docs: DataFrame, filter_bits: int):
         a, b = _shared(group, bits)
         return pa.table({"bucket": group.column("bucket")[:1], "a": pa.array([a]), "b": pa.array([b])})
 
-    asked = docs.mapInArrow(ask, "bucket int, h binary, u binary, lo binary, span binary")
+    asked = docs.mapInArrow(ask, "bucket int, h binary, u binary, c binary, lo binary, span binary")
     sections = {r.bucket: (bytes(r.a), bytes(r.b)) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary, b binary").toLocalIterator()}
     return spark.sparkContext.broadcast(_Filters(sections, buckets, bits))
 
@@ -275,8 +312,8 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     def emit(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            doc, h, u, start, n = stretches(texts)
-            several, sort = sent.value.pick(h, u)
+            doc, h, u, c, start, n = stretches(texts)
+            several, sort = sent.value.pick(h, u, c)
             at = np.flatnonzero(several | sort)
             digests = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], _U).astype(np.int64)
             ctx = [texts[d][a : a + k + LENGTH - 1] if s else None for d, a, k, s in zip(doc[at].tolist(), start[at].tolist(), n[at].tolist(), sort[at].tolist(), strict=True)]

@@ -54,7 +54,7 @@ def test_blind_trie():
 def test_stretches_hold_every_start_once():
     rng = random.Random(2)
     texts = ["".join(rng.choices("abcd ", k=n)).encode() for n in (0, 10, 49, 50, 51, 400, 3000)]
-    doc, h, u, start, n = S.stretches(texts)
+    doc, h, u, c, start, n = S.stretches(texts)
     for d, text in enumerate(texts):
         covered = sorted(s + k for s, c in zip(start[doc == d], n[doc == d], strict=True) for k in range(c))
         assert covered == list(range(max(0, len(text) - 49)))
