@@ -169,7 +169,9 @@ def scan(docs: DataFrame, max_disclosure: float = MAX_DISCLOSURE, support: int =
         .agg(F.collect_set("t").alias("terms"))
     )
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    return found.join(terms, "key", "left").select("doc_id", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
+    plain = found.filter("key IS NULL").select("doc_id", F.col("base").alias("spans"))
+    marked = found.filter("key IS NOT NULL").join(terms, "key", "left")
+    return plain.union(marked.select("doc_id", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans")))
 
 
 def generalised(text: Column, spans: Column) -> Column:
