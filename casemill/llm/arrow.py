@@ -16,6 +16,13 @@ def as_bytes(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that only those are held as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def arrow_map(df: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """Rows of ``kernel(*columns)`` for each Arrow batch of ``df``.
 
@@ -26,7 +33,7 @@ def arrow_map(df: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             if batch.num_rows:
                 rows = list(kernel(*(c.to_pylist() for c in batch.columns)))
                 if rows:
@@ -49,7 +56,7 @@ def rewrite(df: DataFrame, decide: Callable[[list[str]], tuple[list[bool] | None
     text_at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(text_at).to_pylist()
             keep, new = decide([t or "" for t in old])
             columns = list(batch.columns)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.arrow import slices
+
 MARK = "▁"
 #: Words of more symbols than this are encoded one by one.
 LONG = 2000
@@ -307,7 +309,7 @@ def encode_decode(docs: DataFrame, model_path: str | Path) -> DataFrame:
 
     def run(batches):
         model, known = _model(sent.value), ({}, {})
-        for batch in batches:
+        for batch in slices(batches, 1024):
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
             while at < len(texts):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrow import as_bytes
+from casemill.llm.arrow import as_bytes, slices
 from casemill.plans.cut import stored
 
 MIN_WORDS = 50
@@ -42,7 +42,7 @@ BLOCK_BYTES = 64 << 20
 BINS = 1000
 _SPACE = bytes([9, 10, 11, 12, 13, 32])
 _NOT_COUNTED = _SPACE + bytes(range(128, 192))
-_REMEMBERED = 400_000
+_REMEMBERED = 100_000
 UNKNOWN = "und"
 
 
@@ -179,7 +179,7 @@ def count_four_grams(docs: DataFrame) -> DataFrame:
                     )
             sums.clear()
 
-        for batch in batches:
+        for batch in slices(batches, 1024):
             words: dict[str, Counter] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words.setdefault(lang, Counter()).update(text.split())
@@ -279,15 +279,6 @@ def repeated(ids: np.ndarray) -> int:
     return int((np.cumsum(twice)[:-1] > 0).sum())
 
 
-_scorers: list = [None, None]
-
-
-def _scorer(sent) -> _Scorer:
-    if _scorers[0] is not (models := sent.value):
-        _scorers[:] = models, _Scorer(models)
-    return _scorers[1]
-
-
 def _measured(scorer: _Scorer, langs: list[str], texts: list[bytes]) -> list[tuple]:
     """Counters of the texts of a batch, a few MB of them at a time."""
     out: list[tuple] = []
@@ -328,9 +319,10 @@ def measures(docs: DataFrame, models: list[dict[str, KneserNey]]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches):
-            for batch in batches:
+            scorer = _Scorer(sent.value)  # goes with the task: workers serve other operators as well
+            for batch in slices(batches):
                 if batch.num_rows:
-                    out = _measured(_scorer(sent), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                    out = _measured(scorer, batch.column(1).to_pylist(), batch.column(2).to_pylist())
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_columns(out)], schema=schema)
 
         return own.mapInArrow(
@@ -398,10 +390,11 @@ def keep_good(docs: DataFrame, width: float = BAND_WIDTH, least_docs: int = LEAS
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            scorer = _Scorer(sent.value)
+            for batch in slices(batches):
                 texts = [(t or "").encode() for t in batch.column(text_at).to_pylist()]
                 langs = [UNKNOWN if x is None else str(x) for x in batch.column(lang_at).to_pylist()] if lang_at is not None else [UNKNOWN] * len(texts)
-                keep = [_verdict(m, limits.get(x), width) for m, x in zip(_measured(_scorer(sent), langs, texts), langs, strict=True)]
+                keep = [_verdict(m, limits.get(x), width) for m, x in zip(_measured(scorer, langs, texts), langs, strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return own.mapInArrow(run, schema)
