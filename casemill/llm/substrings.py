@@ -10,9 +10,9 @@ The suffixes that can matter are found first, then sorted.
    time, which stretches and cores more than one document has, as two bit filters of fixed size.
    A batch sends a stretch once, so a passage in a third of all documents costs a row a batch.
 2. A second pass emits the stretches that pass the filters. A stretch that an earlier document
-   has is removed whole. Stretches that differ but share a core are where repeats
-   begin and end: their suffixes are deep-shallow sorted, by batch and then by bucket, and runs
-   of equals give the first document of each string.
+   has is removed whole. Stretches that differ but share a core are where repeats begin and end:
+   their suffixes are deep-shallow sorted, core by core, and runs of equals give the first
+   document of each string. Crowded cores are sorted string by string, batch before bucket.
 3. What was found is joined to the documents by doc_id and text digest.
 
 A filter that fills up lets more stretches through and costs time, never results.
@@ -36,6 +36,8 @@ from casemill.plans.cut import stored
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM) // 2
+#: Stretches of one core that are sorted in one task; more are sorted string by string.
+HOT = 20_000
 #: Bits of either filter; a bound on what is broadcast.
 FILTER_BITS = 1 << 27
 BLOCK_BYTES = 1 << 20
@@ -45,7 +47,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _POWER = np.cumprod(np.r_[_U(1), np.full(BLOCK_BYTES, _BASE, _U)])
 
 
-_KINDS = (np.int64, _U, np.uint32, np.uint32, np.int64, np.int64)
+_KINDS = (np.int64, _U, np.uint32, np.uint32, np.int64, np.int64, np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,10 +77,11 @@ def _sliding_least(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """``(text number, anchor hash, stretch hash, cores, first start, strings)`` of all stretches.
+    """``(text number, anchor hash, stretch hash, cores, first start, strings, anchor)`` of all stretches.
 
     ``cores`` has the hashes of the left and the right core, 16 bits each, 0 where no string of the
-    stretch holds that core. ``first start`` is where the stretch begins in its text; it has ``strings`` starts.
+    stretch holds that core. ``first start`` is where the stretch begins in its text; it has ``strings`` starts and its anchor
+    ``anchor`` bytes after the first.
     """
     parts: list[tuple[np.ndarray, ...]] = []
     at = 0
@@ -102,7 +105,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 def _stitched(found: list, step: int, size: int) -> tuple[np.ndarray, ...]:
     """Stretches of the pieces of a long text. A stretch that a piece cuts off comes whole in the next
     one as well; both stand, which changes no result: what is covered is a union."""
-    return tuple(np.concatenate([(x + a if k == 3 else x) for a, p in found for x in [p[k + 1]]]) for k in range(5))
+    return tuple(np.concatenate([(x + a if k == 3 else x) for a, p in found for x in [p[k + 1]]]) for k in range(6))
 
 
 def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -132,7 +135,7 @@ def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return np.where(held, (_mixed(total) >> _U(48)).astype(np.uint32) | 1, 0).astype(np.uint32)
 
     cores = core(at - SIDE, start <= at - SIDE) << np.uint32(16) | core(at, stop > at - SIDE)
-    return doc[start], grams[at], u, cores, start - first[doc[start]], stop - start + 1
+    return doc[start], grams[at], u, cores, start - first[doc[start]], stop - start + 1, at - start
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -246,7 +249,7 @@ def _sent_filters(docs: DataFrame, filter_bits: int):
     def ask(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            doc, h, u, c, _, _ = stretches(texts)
+            doc, h, u, c, *_ = stretches(texts)
             rows = list(_request((ids[doc], h, u, c), buckets))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -299,6 +302,52 @@ def _merge(batches):
         )
 
 
+def _offsets(ctx: bytes, anchor: int, core: int) -> range:
+    """The strings of a stretch that hold this core: from the first one's start."""
+    n, edge = len(ctx) - LENGTH + 1, anchor - SIDE
+    return range(0, min(n, edge + 1)) if core >> 16 else range(max(0, edge + 1), n)
+
+
+def _partly(batches):
+    """Which strings of a stretch an earlier document has, by a deep-shallow sort of whole groups of a core."""
+    schema = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("part", pa.int64())])
+    rows: list[tuple] = []
+
+    def flush():
+        offsets = [_offsets(r[4], r[5], r[1]) for r in rows]
+        own = np.repeat(np.arange(len(rows)), [len(o) for o in offsets])
+        base = np.cumsum([0, *(len(r[4]) for r in rows)])[:-1]
+        k = np.fromiter((x for o in offsets for x in o), np.int64, len(own))
+        docs = np.array([r[3] for r in rows], np.int64)[own]
+        order, run = deep_shallow_sort(np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), base[own] + k, LENGTH)
+        new = np.flatnonzero(np.r_[np.ones(min(1, len(run)), bool), run[1:] != run[:-1]])
+        mask = np.zeros(len(rows), np.int64)
+        if len(new):
+            hit = order[docs[order] > np.repeat(np.minimum.reduceat(docs[order], new), np.diff(np.r_[new, len(run)]))]
+            np.bitwise_or.at(mask, own[hit], np.int64(1) << k[hit])
+        found = np.flatnonzero(mask).tolist()
+        out = pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in found], pa.int64()), pa.array([rows[i][2] for i in found], pa.int64()), pa.array(mask[found])], schema=schema)
+        rows.clear()
+        return out
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if len(rows) >= 20_000 and rows[-1][:2] != row[:2]:
+                yield flush()
+            rows.append(row)
+    if rows:
+        yield flush()
+
+
+def _crowded(grouped: DataFrame) -> DataFrame:
+    """The same for cores with very many stretches: string by string, so no group meets in one task."""
+    spread = grouped.select(
+        "h", "u", "first", "core", "anchor", F.posexplode(F.expr(f"transform(sequence(1, octet_length(ctx) - {LENGTH - 1}), i -> substring(ctx, i, {LENGTH}))")).alias("k", "s")
+    ).filter(F.expr(f"if(core >= 65536, k <= anchor - {SIDE}, k > anchor - {SIDE})"))
+    strings = grouped.select("ctx", "first").mapInArrow(_combine, "s binary, lo long, hi long").repartition("s").mapInArrow(_merge, "s binary, lo long, hi long")
+    return spread.join(strings, "s").filter("lo < first").select("h", "u", F.expr("shiftleft(1L, k)").alias("part"))
+
+
 def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(doc, digest, hits)``: for each document with repeats, (start, strings, mask) of its stretches.
 
@@ -307,12 +356,12 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), as_bytes().alias("text"))
     sent = _sent_filters(rows, filter_bits)
-    schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64()), ("h", pa.int64()), ("u", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("ctx", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64()), ("h", pa.int64()), ("u", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int32()), ("c", pa.int64()), ("ctx", pa.binary())])
 
     def emit(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            doc, h, u, c, start, n = stretches(texts)
+            doc, h, u, c, start, n, anchor = stretches(texts)
             several, sort = sent.value.pick(h, u, c)
             at = np.flatnonzero(several | sort)
             digests = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], _U).astype(np.int64)
@@ -320,22 +369,23 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[doc[at]]), pa.array(digests[doc[at]]), pa.array(h[at].astype(np.int64)), pa.array(u[at].astype(np.int64)),
-                    pa.array(start[at].astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(ctx, pa.binary()),
+                    pa.array(start[at].astype(np.int32)), pa.array(n[at].astype(np.int32)),
+                    pa.array(anchor[at].astype(np.int32)), pa.array(c[at].astype(np.int64)), pa.array(ctx, pa.binary()),
                 ],
                 schema=schema,
             )
 
-    found = stored(rows.mapInArrow(emit, "doc long, digest long, h long, u long, start int, n int, ctx binary"), "stretches")
-    first = stored(found.groupBy("h", "u").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("times"), F.first("ctx", True).alias("ctx")), "first")
-    unsure = first.filter("ctx IS NOT NULL")
-    strings = unsure.select("ctx", "first").mapInArrow(_combine, "s binary, lo long, hi long").repartition("s").mapInArrow(_merge, "s binary, lo long, hi long")
-    spread = unsure.select("h", "u", "first", F.posexplode(F.expr(f"transform(sequence(1, octet_length(ctx) - {LENGTH - 1}), i -> substring(ctx, i, {LENGTH}))")).alias("k", "s"))
-    partly = (
-        spread.join(strings, "s").filter("lo < first").groupBy("h", "u").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("part"))
-    )
+    found = stored(rows.mapInArrow(emit, "doc long, digest long, h long, u long, start int, n int, anchor int, c long, ctx binary"), "stretches")
+    first = stored(found.groupBy("h", "u").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("times"), F.first("ctx", True).alias("ctx"), F.first("anchor").alias("anchor"), F.first("c").alias("c")), "first")
+    sided = first.filter("ctx IS NOT NULL").withColumn("core", F.explode(F.array(F.expr("shiftright(c, 16) | 65536"), F.expr("c & 65535")))).filter("(core & 65535) <> 0")
+    sizes = sided.groupBy("h", "core").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    grouped = stored(sided.select("h", "core", "u", "first", "ctx", "anchor").join(sizes, ["h", "core"]), "cores")
+    cool = grouped.filter(F.col("size") <= HOT).repartition("h", "core").sortWithinPartitions("h", "core")
+    part = cool.select("h", "core", "u", "first", "ctx", "anchor").mapInArrow(_partly, "h long, u long, part long").unionAll(_crowded(grouped.filter(F.col("size") > HOT)))
+    partly = part.groupBy("h", "u").agg(F.bit_or("part").alias("part"))
     known = first.select("h", "u", "first", "times").join(partly, ["h", "u"], "left").filter("times > 1 OR part IS NOT NULL").drop("times")
     mask = F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.coalesce("part", F.lit(0).cast("long")))
-    hits = found.drop("ctx").join(known, ["h", "u"]).withColumn("mask", mask).filter("mask <> 0")
+    hits = found.select("doc", "digest", "h", "u", "start", "n").join(known, ["h", "u"]).withColumn("mask", mask).filter("mask <> 0")
     return hits.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
 
 

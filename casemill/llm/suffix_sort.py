@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SHALLOW = 16
+SHALLOW = 40
 
 
 class _Node:

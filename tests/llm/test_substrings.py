@@ -54,15 +54,16 @@ def test_blind_trie():
 def test_stretches_hold_every_start_once():
     rng = random.Random(2)
     texts = ["".join(rng.choices("abcd ", k=n)).encode() for n in (0, 10, 49, 50, 51, 400, 3000)]
-    doc, h, u, c, start, n = S.stretches(texts)
+    doc, h, u, c, start, n, anchor = S.stretches(texts)
     for d, text in enumerate(texts):
         covered = sorted(s + k for s, c in zip(start[doc == d], n[doc == d], strict=True) for k in range(c))
         assert covered == list(range(max(0, len(text) - 49)))
     assert n.max() <= S.SPAN
 
 
-@pytest.mark.parametrize("bits", [S.FILTER_BITS, 1])
-def test_matches_brute_force(spark, bits, monkeypatch):
+@pytest.mark.parametrize("bits,hot", [(S.FILTER_BITS, 20_000), (1, 20_000), (S.FILTER_BITS, 2), (1, 0)])
+def test_matches_brute_force(spark, bits, hot, monkeypatch):
+    monkeypatch.setattr(S, "HOT", hot)
     rng = random.Random(5)
     say = lambda n: "".join(rng.choices("abcdefgh é\n", k=n))
     shared = [say(70), say(50), say(49), say(400), "=" * 120]
