@@ -7,6 +7,7 @@ setting is absent (tests, a laptop) a temporary folder is chosen, once a session
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,7 +43,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/casemill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_path = path
+    return table
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that no plan will read again, and the shuffle files of finished plans.
+
+    Spark deletes shuffle files once the driver's garbage collector has met their plans; a long
+    operator calls this between its steps so that its disk use is that of a step, not their sum.
+    """
+    for table in tables:
+        _remove(spark, table._stored_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
