@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from casemill.llm.arrow import as_bytes
 from casemill.llm.suffix_sort import deep_shallow_sort
-from casemill.plans.cut import stored
+from casemill.plans.cut import discard, stored
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
@@ -365,7 +365,13 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
             several, sort = sent.value.pick(h, u, c)
             at = np.flatnonzero(several | sort)
             digests = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], _U).astype(np.int64)
-            ctx = [texts[d][a : a + k + LENGTH - 1] if s else None for d, a, k, s in zip(doc[at].tolist(), start[at].tolist(), n[at].tolist(), sort[at].tolist(), strict=True)]
+            # of equal stretches in a batch, the one of the first document brings the bytes to sort
+            key = h[at] ^ u[at].astype(_U) * _BASE
+            order = np.lexsort((ids[doc[at]], key))
+            bring = np.zeros(len(at), bool)
+            bring[order[np.r_[np.ones(min(1, len(at)), bool), key[order][1:] != key[order][:-1]]]] = True
+            bring &= sort[at]
+            ctx = [texts[d][a : a + k + LENGTH - 1] if s else None for d, a, k, s in zip(doc[at].tolist(), start[at].tolist(), n[at].tolist(), bring.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[doc[at]]), pa.array(digests[doc[at]]), pa.array(h[at].astype(np.int64)), pa.array(u[at].astype(np.int64)),
@@ -376,17 +382,26 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
             )
 
     found = stored(rows.mapInArrow(emit, "doc long, digest long, h long, u long, start int, n int, anchor int, c long, ctx binary"), "stretches")
-    first = stored(found.groupBy("h", "u").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("times"), F.first("ctx", True).alias("ctx"), F.first("anchor").alias("anchor"), F.first("c").alias("c")), "first")
-    sided = first.filter("ctx IS NOT NULL").withColumn("core", F.explode(F.array(F.expr("shiftright(c, 16) | 65536"), F.expr("c & 65535")))).filter("(core & 65535) <> 0")
-    sizes = sided.groupBy("h", "core").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    grouped = stored(sided.select("h", "core", "u", "first", "ctx", "anchor").join(sizes, ["h", "core"]), "cores")
-    cool = grouped.filter(F.col("size") <= HOT).repartition("h", "core").sortWithinPartitions("h", "core")
-    part = cool.select("h", "core", "u", "first", "ctx", "anchor").mapInArrow(_partly, "h long, u long, part long").unionAll(_crowded(grouped.filter(F.col("size") > HOT)))
-    partly = part.groupBy("h", "u").agg(F.bit_or("part").alias("part"))
-    known = first.select("h", "u", "first", "times").join(partly, ["h", "u"], "left").filter("times > 1 OR part IS NOT NULL").drop("times")
+    spark = docs.sparkSession
+    discard(spark)
+    # the first document of a stretch in each batch brought its bytes, so the least of these is the first of all
+    unsure = found.filter("ctx IS NOT NULL").groupBy("h", "u").agg(*(F.first(x).alias(x) for x in ("ctx", "anchor", "c")), F.min("doc").alias("first"))
+    sided = unsure.withColumn("core", F.explode(F.array(F.expr("shiftright(c, 16) | 65536"), F.expr("c & 65535")))).filter("(core & 65535) <> 0")
+    cores = stored(sided.drop("c"), "cores")
+    sizes = cores.groupBy("h", "core").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    cool, hot = (sizes.filter(w).drop("size") for w in (F.col("size") <= HOT, F.col("size") > HOT))
+    alone = cores.join(cool, ["h", "core"]).repartition("h", "core").sortWithinPartitions("h", "core")
+    part = alone.select("h", "core", "u", "first", "ctx", "anchor").mapInArrow(_partly, "h long, u long, part long").unionAll(_crowded(cores.join(hot, ["h", "core"])))
+    partly = stored(part.groupBy("h", "u").agg(F.bit_or("part").alias("part")), "partly")
+    discard(spark, cores)
+    shared = found.groupBy("h", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    known = stored(shared.join(partly, ["h", "u"], "left").filter("first < last OR part IS NOT NULL").drop("last"), "known")
+    discard(spark, partly)
     mask = F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.coalesce("part", F.lit(0).cast("long")))
-    hits = found.select("doc", "digest", "h", "u", "start", "n").join(known, ["h", "u"]).withColumn("mask", mask).filter("mask <> 0")
-    return hits.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    hits = found.select("doc", "digest", "h", "u", "start", "n").join(known, ["h", "u"]).withColumn("mask", mask).filter("mask <> 0").select("doc", "digest", "start", "mask")
+    hit = stored(hits, "hits")
+    discard(spark, known, found)
+    return hit.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
 
 
 def _cover(size: int, hits: list) -> np.ndarray:
