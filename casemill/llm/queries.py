@@ -120,11 +120,11 @@ ORACLES: dict[str, str] = {
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
 s AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS g FROM d, unnest(range(0, n_bytes - 49)) AS t(p)),
 f AS (SELECT md5(g) AS k, min(doc_id) AS first FROM s GROUP BY 1),
-h AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM s JOIN f ON md5(g) = k WHERE first < doc_id),
-r AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM h),
-c AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b, lag(max(p) + 50, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS at FROM r GROUP BY doc_id, run),
+h AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prior FROM s JOIN f ON md5(g) = k WHERE first < doc_id),
+r AS (SELECT doc_id, p, sum(CASE WHEN prior IS NULL OR p > prior + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM h),
+c AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b, lag(max(p) + 50, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS prev_end FROM r GROUP BY doc_id, run),
 k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
-             string_agg(substr(x, 2 * at + 1, 2 * (a - at)), '' ORDER BY run) AS head, any_value(x) AS x
+             string_agg(substr(x, 2 * prev_end + 1, 2 * (a - prev_end)), '' ORDER BY run) AS head, any_value(x) AS x
       FROM c JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.x ELSE head || substr(k.x, 2 * last + 1) END)) AS kept_sha256
