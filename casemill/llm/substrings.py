@@ -2,12 +2,17 @@
 
 The suffixes that can matter are found first, then sorted.
 
+0. Texts are cut into chunks where their content says so, all strings that start between two cuts
+   together. A pass gathers the first document of each distinct chunk, as a bit filter. A chunk
+   that is not in the filter with its own document has an earlier document, so it is removed
+   whole; its strings all stand in that first document too, so nothing else needs to see it. Only
+   what is left takes part in the steps below: exact copies not at all, near ones where they differ.
 1. Every 50-byte string names an anchor: of the 20-byte strings in it, the one with the least
    hash. Equal strings name equal anchors, and neighbouring strings mostly share theirs, so there
    is one anchor for some 16 strings. All strings of an anchor together make its stretch. A string
    also holds the 15 bytes on the left of its anchor or the 15 on the right, so stretches with a
    string in common agree in one of these 35-byte cores. A pass gathers, a bucket of hashes at a
-   time, which stretches and cores more than one document has, as two bit filters of fixed size.
+   time, which stretches and cores more than one document has, as two more bit filters.
    A batch sends a stretch once, so a passage in a third of all documents costs a row a batch.
 2. A second pass emits the stretches that pass the filters. A stretch that an earlier document
    has is removed whole. Stretches that differ but share a core are where repeats begin and end:
@@ -15,7 +20,8 @@ The suffixes that can matter are found first, then sorted.
    document of each string. Crowded cores are sorted string by string, batch before bucket.
 3. What was found is joined to the documents by doc_id and text digest.
 
-A filter that fills up lets more stretches through and costs time, never results.
+All filters have a fixed size. One that fills up lets more chunks or stretches through and costs
+time, never results.
 """
 
 from __future__ import annotations
@@ -38,7 +44,9 @@ SPAN = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM) // 2
 #: Stretches of one core that are sorted in one task; more are sorted string by string.
 HOT = 20_000
-#: Bits of either filter; a bound on what is broadcast.
+#: Mean distance of cuts between chunks.
+CHUNK = 128
+#: Bits of each filter; a bound on what is broadcast.
 FILTER_BITS = 1 << 27
 BLOCK_BYTES = 1 << 20
 NO_ID = 2**63 - 1
@@ -161,6 +169,79 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where the eight bytes from a position say that a chunk begins; never twice in a run of one byte."""
+    parts = [np.zeros(0, np.int64)]
+    for a in range(0, max(0, len(raw) - 7), BLOCK_BYTES):
+        x = (raw[a : a + BLOCK_BYTES + 7].astype(_U) + _U(1)) * _U(0xA0761D6478BD642F)
+        for size in (1, 2, 4):
+            x = x[:-size] * _POWER[size] + x[size:]
+        x = _mixed(x)
+        hit = x < _U(2**64 // CHUNK)
+        hit[1:] &= x[1:] != x[:-1]
+        parts.append(np.flatnonzero(hit) + a)
+    return np.concatenate(parts)
+
+
+def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First starts of a text's chunks with the end of the last one, and the chunks' hashes (two numbers each)."""
+    stop = len(text) - LENGTH + 1
+    if stop <= 0:
+        return np.zeros(1, np.int64), np.zeros((0, 2), _U)
+    cut = _cuts(np.frombuffer(text, np.uint8))
+    edges = np.r_[0, cut[(cut > 0) & (cut < stop)], stop]
+    at = edges.tolist()
+    hashes = b"".join([xxhash.xxh3_128_digest(text[a : b + LENGTH - 1]) for a, b in zip(at, at[1:])])  # noqa: B905
+    return edges, np.frombuffer(hashes, _U).reshape(-1, 2)
+
+
+def _owned(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A key for a chunk and its document."""
+    return _mixed(hashes[:, 1] + ids.astype(_U) * _BASE)
+
+
+def _new_regions(texts: list[bytes], ids: np.ndarray, firsts: _Sections) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """What of the texts an earlier document may not have, and the runs of starts that one has.
+
+    The regions with the number of their text, their place in it, and the first and last but one
+    start in them that count: a region reaches on so far that the stretches at its edges are whole.
+    """
+    regions, owner, place, low, high = [], [], [], [], []
+    gone: list[tuple[int, int, int]] = []
+    cut = [chunks(t) for t in texts]
+    count = np.array([len(c[1]) for c in cut], np.int64)
+    hashes = np.concatenate([np.zeros((0, 2), _U), *(c[1] for c in cut)])
+    first = firsts.has(hashes[:, 0], _owned(hashes, np.repeat(ids, count)))
+    at = np.cumsum(count) - count
+    for i, (edges, _) in enumerate(cut):
+        own = first[at[i] : at[i] + count[i]]
+        turn = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+        for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(own)], strict=False):
+            start, stop = int(edges[a]), int(edges[b])
+            if own[a]:
+                begin = max(0, start - SPAN - 1)
+                regions.append(texts[i][begin : stop + SPAN + LENGTH])
+                owner.append(i)
+                place.append(begin)
+                low.append(start)
+                high.append(stop)
+            else:
+                gone.append((i, start, stop - start))
+    return regions, *(np.array(x, np.int64) for x in (owner, place, low, high)), gone
+
+
+def _new_stretches(texts: list[bytes], ids: np.ndarray, firsts: _Sections) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, int]]]:
+    """The stretches, as of ``stretches``, that hold a string of a chunk that may be a first one; the runs of the others."""
+    regions, owner, place, low, high, gone = _new_regions(texts, ids, firsts)
+    region, h, u, c, start, n, anchor = stretches(regions)
+    if not len(region):
+        return (region, h, u, c, start, n, anchor), gone
+    start = start + place[region]
+    keep = (start < high[region]) & (start + n > low[region])
+    region, h, u, c, start, n, anchor = (x[keep] for x in (region, h, u, c, start, n, anchor))
+    return (owner[region], h, u, c, start, n, anchor), gone
+
+
 def _request(batch: tuple, buckets: int) -> Iterator[tuple]:
     """One packed row for each bucket: each anchor and stretch once, with its first and last document."""
     ids, h, u, c = batch
@@ -212,44 +293,86 @@ def _shared(group: pa.Table, bits: int) -> tuple[bytes, bytes]:
             later = np.logical_or.reduceat(lo[own] > earliest, first)
             cores_h.append(h[own][first][later])
             cores_c.append(key[own][first][later])
-    out = []
-    for keys in ((h[lo < hi], u[lo < hi]), (np.concatenate([*cores_h, h[:0]]), np.concatenate([*cores_c, u[:0]]))):
-        section = np.zeros(bits, bool)
-        for at in _probes(*keys, bits):
-            section[at] = True
-        out.append(np.packbits(section, bitorder="little").tobytes())
-    return out[0], out[1]
+    return _section(h[lo < hi], u[lo < hi], bits), _section(np.concatenate([*cores_h, h[:0]]), np.concatenate([*cores_c, u[:0]]), bits)
+
 
+class _Sections:
+    """A bit filter in sections, one for each bucket of hashes."""
 
-class _Filters:
-    def __init__(self, sections: dict[int, tuple[bytes, bytes]], buckets: int, bits: int) -> None:
+    def __init__(self, sections: dict[int, bytes], buckets: int, bits: int) -> None:
         self.buckets, self.bits = buckets, bits
         blank = bytes(bits // 8)
-        self.sets = [np.frombuffer(b"".join(sections.get(b, (blank, blank))[k] for b in range(buckets)), np.uint8) for k in (0, 1)]
+        self.set = np.frombuffer(b"".join(sections.get(b, blank) for b in range(buckets)), np.uint8)
 
-    def _has(self, k: int, h: np.ndarray, u: np.ndarray) -> np.ndarray:
+    def has(self, h: np.ndarray, u: np.ndarray) -> np.ndarray:
         base, out = _bucket(h, self.buckets) * self.bits, np.ones(len(h), bool)
         for at in _probes(h, u, self.bits):
             at = base + at
-            out &= (self.sets[k][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            out &= (self.set[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def pick(self, h: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which stretches several documents may have, and which have to be sorted."""
-        left, right = _left(c), _right(c)
-        return self._has(0, h, u), _held(left) & self._has(1, h, left) | _held(right) & self._has(1, h, right)
 
+def _section(h: np.ndarray, u: np.ndarray, bits: int) -> bytes:
+    section = np.zeros(bits, bool)
+    for at in _probes(h, u, bits):
+        section[at] = True
+    return np.packbits(section, bitorder="little").tobytes()
 
-def _sent_filters(docs: DataFrame, filter_bits: int):
-    spark = docs.sparkSession
+
+def _pick(several: _Sections, sorting: _Sections, h: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which stretches several documents may have, and which have to be sorted."""
+    left, right = _left(c), _right(c)
+    return several.has(h, u), _held(left) & sorting.has(h, left) | _held(right) & sorting.has(h, right)
+
+
+def _shape(docs: DataFrame, filter_bits: int) -> tuple[int, int]:
+    """Buckets of a filter, and bits in each."""
     buckets = max(16, 4 * docs.rdd.getNumPartitions())
-    bits = max(64, filter_bits // buckets // 64 * 64)
+    return buckets, max(64, filter_bits // buckets // 64 * 64)
+
+
+def _sent_firsts(docs: DataFrame, filter_bits: int):
+    """A filter of each distinct chunk with its first document, for the executors."""
+    buckets, bits = _shape(docs, filter_bits)
+    schema = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("lo", pa.binary())])
+
+    def ask(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            own = [chunks(t)[1] for t in batch.column(1).to_pylist()]
+            ids = np.repeat(ids, [len(x) for x in own])
+            hashes = np.concatenate([np.zeros((0, 2), _U), *own])
+            order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
+            ids, hashes = ids[order], hashes[order]
+            new = np.r_[np.ones(min(1, len(ids)), bool), (hashes[1:] != hashes[:-1]).any(1)]
+            ids, hashes = ids[new], hashes[new]
+            bounds = np.searchsorted(_bucket(hashes[:, 0], buckets), np.arange(buckets + 1)).tolist()
+            rows = [(b, hashes[i:j].tobytes(), _pack(ids[i:j])) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]  # noqa: B905
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def answer(group: pa.Table) -> pa.Table:
+        hashes = np.frombuffer(b"".join(group.column("h").to_pylist()), _U).reshape(-1, 2)
+        ids = np.concatenate([_unpack(x, np.int64) for x in group.column("lo").to_pylist()])
+        order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
+        ids, hashes = ids[order], hashes[order]
+        new = np.r_[True, (hashes[1:] != hashes[:-1]).any(1)]
+        return pa.table({"bucket": group.column("bucket")[:1], "a": pa.array([_section(hashes[new][:, 0], _owned(hashes[new], ids[new]), bits)])})
+
+    asked = docs.mapInArrow(ask, "bucket int, h binary, lo binary")
+    sections = {r.bucket: bytes(r.a) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary").toLocalIterator()}
+    return docs.sparkSession.sparkContext.broadcast(_Sections(sections, buckets, bits))
+
+
+def _sent_filters(docs: DataFrame, firsts, filter_bits: int):
+    """Filters of the stretches that several documents have and of the cores to sort, for the executors."""
+    buckets, bits = _shape(docs, filter_bits)
     schema = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in _PACKED)])
 
     def ask(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            doc, h, u, c, *_ = stretches(texts)
+            (doc, h, u, c, *_), _ = _new_stretches(texts, ids, firsts.value)
             rows = list(_request((ids[doc], h, u, c), buckets))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -259,8 +382,8 @@ def _sent_filters(docs: DataFrame, filter_bits: int):
         return pa.table({"bucket": group.column("bucket")[:1], "a": pa.array([a]), "b": pa.array([b])})
 
     asked = docs.mapInArrow(ask, "bucket int, h binary, u binary, c binary, lo binary, span binary")
-    sections = {r.bucket: (bytes(r.a), bytes(r.b)) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary, b binary").toLocalIterator()}
-    return spark.sparkContext.broadcast(_Filters(sections, buckets, bits))
+    answers = {r.bucket: (bytes(r.a), bytes(r.b)) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary, b binary").toLocalIterator()}
+    return docs.sparkSession.sparkContext.broadcast([_Sections({b: x[k] for b, x in answers.items()}, buckets, bits) for k in (0, 1)])
 
 
 def _firsts(windows: list[bytes], docs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -352,17 +475,20 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(doc, digest, hits)``: for each document with repeats, (start, strings, mask) of its stretches.
 
     ``doc`` is the doc_id, the greatest number for null; ``digest`` the XXH64 of the text. Bit k of
-    ``mask`` says that the string at ``start`` + k also starts in a document with a smaller doc_id.
+    ``mask`` says that the string at ``start`` + k also starts in a document with a smaller doc_id;
+    a negative mask says so of that many strings from ``start``.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), as_bytes().alias("text"))
-    sent = _sent_filters(rows, filter_bits)
+    firsts = _sent_firsts(rows, filter_bits)
+    discard(docs.sparkSession)
+    sent = _sent_filters(rows, firsts, filter_bits)
     schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64()), ("h", pa.int64()), ("u", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int32()), ("c", pa.int64()), ("ctx", pa.binary())])
 
     def emit(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            doc, h, u, c, start, n, anchor = stretches(texts)
-            several, sort = sent.value.pick(h, u, c)
+            (doc, h, u, c, start, n, anchor), gone = _new_stretches(texts, ids, firsts.value)
+            several, sort = _pick(*sent.value, h, u, c)
             at = np.flatnonzero(several | sort)
             digests = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], _U).astype(np.int64)
             # of equal stretches in a batch, the one of the first document brings the bytes to sort
@@ -380,6 +506,13 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
                 ],
                 schema=schema,
             )
+            if gone:
+                own, first, size = (np.array(x, np.int64) for x in zip(*gone, strict=True))
+                none = pa.nulls(len(gone))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[own]), pa.array(digests[own]), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())],
+                    schema=schema,
+                )
 
     found = stored(rows.mapInArrow(emit, "doc long, digest long, h long, u long, start int, n int, anchor int, c long, ctx binary"), "stretches")
     spark = docs.sparkSession
@@ -394,12 +527,13 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     part = alone.select("h", "core", "u", "first", "ctx", "anchor").mapInArrow(_partly, "h long, u long, part long").unionAll(_crowded(cores.join(hot, ["h", "core"])))
     partly = stored(part.groupBy("h", "u").agg(F.bit_or("part").alias("part")), "partly")
     discard(spark, cores)
-    shared = found.groupBy("h", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    shared = found.filter("h IS NOT NULL").groupBy("h", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     known = stored(shared.join(partly, ["h", "u"], "left").filter("first < last OR part IS NOT NULL").drop("last"), "known")
     discard(spark, partly)
     mask = F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.coalesce("part", F.lit(0).cast("long")))
     hits = found.select("doc", "digest", "h", "u", "start", "n").join(known, ["h", "u"]).withColumn("mask", mask).filter("mask <> 0").select("doc", "digest", "start", "mask")
-    hit = stored(hits, "hits")
+    whole = found.filter("h IS NULL").select("doc", "digest", "start", F.expr("-cast(n as bigint)").alias("mask"))
+    hit = stored(hits.unionAll(whole), "hits")
     discard(spark, known, found)
     return hit.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
 
@@ -410,6 +544,10 @@ def _cover(size: int, hits: list) -> np.ndarray:
     if hits:
         start = np.array([h["start"] for h in hits], np.int64)
         mask = np.array([h["mask"] for h in hits], np.int64)
+        whole = mask < 0
+        np.add.at(step, start[whole], 1)
+        np.add.at(step, start[whole] - mask[whole] + LENGTH - 1, -1)
+        start, mask = start[~whole], mask[~whole]
         for k in range(SPAN):
             at = start[mask >> k & 1 == 1] + k
             np.add.at(step, at, 1)

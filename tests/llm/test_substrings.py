@@ -61,6 +61,18 @@ def test_stretches_hold_every_start_once():
     assert n.max() <= S.SPAN
 
 
+def test_chunks_hold_every_start_once(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 512)
+    rng = random.Random(4)
+    for n in (0, 10, 49, 50, 57, 3000):
+        text = "".join(rng.choices("abcd ", k=n)).encode()
+        edges, hashes = S.chunks(text)
+        assert len(edges) == len(hashes) + 1 and edges[0] == 0 and edges[-1] == max(0, n - 49) and (edges[1:] > edges[:-1]).all()
+        moved = {x.tobytes() for x in S.chunks(b"#" * 700 + text)[1]}
+        assert all(x.tobytes() in moved for x in hashes[1:])
+    assert len(S.chunks(b"=" * 5000)[1]) <= 2
+
+
 @pytest.mark.parametrize("bits,hot", [(S.FILTER_BITS, 20_000), (1, 20_000), (S.FILTER_BITS, 2), (1, 0)])
 def test_matches_brute_force(spark, bits, hot, monkeypatch):
     monkeypatch.setattr(S, "HOT", hot)
