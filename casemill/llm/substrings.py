@@ -472,7 +472,7 @@ def _crowded(grouped: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """``(doc, digest, hits)``: for each document with repeats, (start, strings, mask) of its stretches.
+    """``(doc, digest, hits)``: for each document with repeats, (start, mask) of its stretches and runs.
 
     ``doc`` is the doc_id, the greatest number for null; ``digest`` the XXH64 of the text. Bit k of
     ``mask`` says that the string at ``start`` + k also starts in a document with a smaller doc_id;
@@ -519,14 +519,18 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     discard(spark)
     # the first document of a stretch in each batch brought its bytes, so the least of these is the first of all
     unsure = found.filter("ctx IS NOT NULL").groupBy("h", "u").agg(*(F.first(x).alias(x) for x in ("ctx", "anchor", "c")), F.min("doc").alias("first"))
-    sided = unsure.withColumn("core", F.explode(F.array(F.expr("shiftright(c, 16) | 65536"), F.expr("c & 65535")))).filter("(core & 65535) <> 0")
-    cores = stored(sided.drop("c"), "cores")
-    sizes = cores.groupBy("h", "core").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    cool, hot = (sizes.filter(w).drop("size") for w in (F.col("size") <= HOT, F.col("size") > HOT))
-    alone = cores.join(cool, ["h", "core"]).repartition("h", "core").sortWithinPartitions("h", "core")
-    part = alone.select("h", "core", "u", "first", "ctx", "anchor").mapInArrow(_partly, "h long, u long, part long").unionAll(_crowded(cores.join(hot, ["h", "core"])))
+    unsure = stored(unsure, "unsure")
+    discard(spark)
+    sided = unsure.withColumn("core", F.explode(F.array(F.expr("shiftright(c, 16) | 65536"), F.expr("c & 65535")))).filter("(core & 65535) <> 0").drop("c")
+    hot = stored(sided.groupBy("h", "core").count().filter(F.col("count") > HOT).select("h", "core"), "hot")
+    discard(spark)
+    crowds = not hot.isEmpty()
+    alone = sided.join(hot, ["h", "core"], "left_anti") if crowds else sided
+    part = alone.select("h", "core", "u", "first", "ctx", "anchor").repartition("h", "core").sortWithinPartitions("h", "core").mapInArrow(_partly, "h long, u long, part long")
+    if crowds:
+        part = part.unionAll(_crowded(sided.join(hot, ["h", "core"])))
     partly = stored(part.groupBy("h", "u").agg(F.bit_or("part").alias("part")), "partly")
-    discard(spark, cores)
+    discard(spark, unsure, hot)
     shared = found.filter("h IS NOT NULL").groupBy("h", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     known = stored(shared.join(partly, ["h", "u"], "left").filter("first < last OR part IS NOT NULL").drop("last"), "known")
     discard(spark, partly)
@@ -538,23 +542,24 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     return hit.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
 
 
-def _cover(size: int, hits: list) -> np.ndarray:
+def _cover(size: int, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Which bytes are covered."""
+    count = np.where(mask < 0, -mask, 0)
+    line = (mask >= 0) & (mask & (mask + 1) == 0)  # strings one after another from the first start
+    count[line] = np.round(np.log2(mask[line] + 1)).astype(np.int64)
     step = np.zeros(size + 1, np.int64)
-    if hits:
-        start = np.array([h["start"] for h in hits], np.int64)
-        mask = np.array([h["mask"] for h in hits], np.int64)
-        whole = mask < 0
-        np.add.at(step, start[whole], 1)
-        np.add.at(step, start[whole] - mask[whole] + LENGTH - 1, -1)
-        start, mask = start[~whole], mask[~whole]
-        for k in range(SPAN):
-            at = start[mask >> k & 1 == 1] + k
-            np.add.at(step, at, 1)
-            np.add.at(step, at + LENGTH, -1)
+    for begin, n in [(start[count > 0], count[count > 0]), *_single(start[count == 0], mask[count == 0])]:
+        step += np.bincount(begin, minlength=size + 1) - np.bincount(begin + n + LENGTH - 1, minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
 
 
+def _single(start: np.ndarray, mask: np.ndarray, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, int]]:
+    """The starts that masks name, some masks at a time."""
+    for a in range(0, len(start), rows):
+        own, k = np.nonzero(mask[a : a + rows, None] >> np.arange(SPAN) & 1)
+        yield start[a : a + rows][own] + k, 1
+
+
 def dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``, one row for each row of ``docs``.
 
@@ -569,12 +574,17 @@ def dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out = []
-            for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not hits:
+            hits = batch.column(2)
+            at = hits.offsets.to_pylist()
+            starts, masks = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in hits.values.flatten())
+            for text, a, b in zip(batch.column(1).to_pylist(), at, at[1:], strict=False):
+                if a == b:
                     out.append((len(text), 0, 0, text))
                     continue
-                gone = _cover(len(text), hits)
+                gone = _cover(len(text), starts[a:b], masks[a:b])
                 spans = int((gone & ~np.r_[False, gone[:-1]]).sum())
                 out.append((len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
