@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrow import as_bytes
+from casemill.llm.arrow import as_bytes, slices
 from casemill.llm.suffix_sort import deep_shallow_sort
 from casemill.plans.cut import discard, stored
 
@@ -48,7 +48,9 @@ HOT = 20_000
 CHUNK = 128
 #: Bits of each filter; a bound on what is broadcast.
 FILTER_BITS = 1 << 27
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Documents whose stretches are held at a time.
+ROWS = 1000
 NO_ID = 2**63 - 1
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -360,7 +362,7 @@ def _sent_firsts(docs: DataFrame, filter_bits: int):
         return pa.table({"bucket": group.column("bucket")[:1], "a": pa.array([_section(hashes[new][:, 0], _owned(hashes[new], ids[new]), bits)])})
 
     asked = docs.mapInArrow(ask, "bucket int, h binary, lo binary")
-    sections = {r.bucket: bytes(r.a) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary").toLocalIterator()}
+    sections = {r.bucket: bytes(r.a) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary").collect()}
     return docs.sparkSession.sparkContext.broadcast(_Sections(sections, buckets, bits))
 
 
@@ -370,7 +372,7 @@ def _sent_filters(docs: DataFrame, firsts, filter_bits: int):
     schema = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in _PACKED)])
 
     def ask(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             (doc, h, u, c, *_), _ = _new_stretches(texts, ids, firsts.value)
             rows = list(_request((ids[doc], h, u, c), buckets))
@@ -382,7 +384,7 @@ def _sent_filters(docs: DataFrame, firsts, filter_bits: int):
         return pa.table({"bucket": group.column("bucket")[:1], "a": pa.array([a]), "b": pa.array([b])})
 
     asked = docs.mapInArrow(ask, "bucket int, h binary, u binary, c binary, lo binary, span binary")
-    answers = {r.bucket: (bytes(r.a), bytes(r.b)) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary, b binary").toLocalIterator()}
+    answers = {r.bucket: (bytes(r.a), bytes(r.b)) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary, b binary").collect()}
     return docs.sparkSession.sparkContext.broadcast([_Sections({b: x[k] for b, x in answers.items()}, buckets, bits) for k in (0, 1)])
 
 
@@ -485,7 +487,7 @@ def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64()), ("h", pa.int64()), ("u", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int32()), ("c", pa.int64()), ("ctx", pa.binary())])
 
     def emit(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             (doc, h, u, c, start, n, anchor), gone = _new_stretches(texts, ids, firsts.value)
             several, sort = _pick(*sent.value, h, u, c)
@@ -573,7 +575,7 @@ def dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             if not batch.num_rows:
                 continue
             out = []
