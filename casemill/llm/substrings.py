@@ -145,7 +145,8 @@ def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return np.where(held, (_mixed(total) >> _U(48)).astype(np.uint32) | 1, 0).astype(np.uint32)
 
     cores = core(at - SIDE, start <= at - SIDE) << np.uint32(16) | core(at, stop > at - SIDE)
-    return doc[start], grams[at], u, cores, start - first[doc[start]], stop - start + 1, at - start
+    # a least hash is a low one; mixed again, hashes fill the buckets evenly
+    return doc[start], _mixed(grams[at]), u, cores, start - first[doc[start]], stop - start + 1, at - start
 
 
 def _pack(x: np.ndarray) -> bytes:
