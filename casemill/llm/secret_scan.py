@@ -77,9 +77,7 @@ def random_spans(text: str, encoding: tiktoken.Encoding, max_efficiency: float =
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        letters = any(c.isalpha() for c in run)
-        mixed = letters and (any(c.isdigit() for c in run) or not (run.islower() or run.isupper() or run.istitle()))
-        if not mixed or DIGEST.match(run) or UUID.match(run) or NUMBER.match(run) or IDENTIFIER.match(run):
+        if not run.isalpha() and (DIGEST.match(run) or UUID.match(run) or NUMBER.match(run) or IDENTIFIER.match(run)):
             continue
         if len(run) < max_efficiency * len(encoding.encode_ordinary(run)):
             out.append((m.start(), "random", m.end()))

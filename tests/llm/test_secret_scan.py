@@ -1,4 +1,7 @@
+import random
 import re
+import string
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -52,3 +55,20 @@ def test_redaction_takes_effect(spark):
     assert out[10].text == "key [SECRET] end" and out[10].n_chars == len(out[10].text) and out[3].n_chars == 0
     assert out[4].text == '[SECRET]" and [SECRET]'
     assert not any(re.search("hunter2|AKIAABC", r.text or "") for r in out.values())
+
+
+def _drawn(alphabet, n, seed, number=200):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(alphabet, k=n)) for _ in range(number)]
+
+
+def _found(text):
+    return [text[a:b] for a, k, b in S.random_spans(text, S._encoding(Path(PATH).read_bytes())) if k == "random"]
+
+
+def test_random_letters_of_one_case_are_found():
+    for alphabet, least in ((string.ascii_lowercase, 0.88), (string.ascii_uppercase, 0.97)):
+        drawn = _drawn(alphabet, 24, 3)
+        assert sum(_found(f"key {x} end") == [x] for x in drawn) >= least * len(drawn)
+    for name in ("internationalization", "CONFIGURATION_MANAGEMENT_OFFICE", "AbstractSingletonProxyFactoryBean", "geschwindigkeitsbegrenzung", "2024-01-02/2024-02-03/1"):
+        assert not _found(f"the {name} end"), name
