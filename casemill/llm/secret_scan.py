@@ -1,8 +1,8 @@
 """Secret scan: fixed shapes, and random strings shown up by the token-efficiency test.
 
 Words and names fall into few tokens of a byte-pair vocabulary, random strings into many: a run
-of code-like characters with few characters per token is reported, once known digests and
-identifiers are set aside. The shapes of well-known secrets are matched beside it and stay.
+of code-like characters is cut at its separators, words, digests and UUIDs are set aside, and
+what is left with few characters per token is reported. The shapes of well-known secrets are matched beside it and stay.
 
 Everything is decided within a row: one pass, no shuffle. The vocabulary file is read by the
 driver and sent to the executors as bytes; its size is a vocabulary's, not the data's.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -30,14 +30,15 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex", "random")
 
-#: Candidates of the test: unbroken runs of this many code-like characters or more.
-LEAST_RUN = 20
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
+#: Letters of one case are tested from this length on, strings of digits and letters or of both cases from the next.
+LEAST_RUN, LEAST_PART = 20, 12
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_PART)
+PART = re.compile(r"[A-Za-z0-9]+")
 #: Runs with fewer characters per token than this are random.
 MAX_EFFICIENCY = 2.0
 #: Digests by their exact length in hexadecimal, and identifiers.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
-UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
+UUID = re.compile(r"(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])", re.I)
 NUMBER = re.compile(r"[0-9+/_=-]+\Z")
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*\Z")
 PATTERN = (
@@ -72,15 +73,50 @@ def _ordered(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def _mixed(part: str) -> bool:
+    """Letters and digits, or letters of both cases beyond a capital at the start."""
+    letters = any(c.isalpha() for c in part)
+    return letters and (any(c.isdigit() for c in part) or not (part.islower() or part.isupper() or part.istitle()))
+
+
+def _random_in(run: str, low: Callable[[str], bool]) -> Iterator[tuple[int, int]]:
+    """Random stretches of a run: neighbouring parts between words, digests and UUIDs, or single parts of them."""
+    known = [m.span() for m in UUID.finditer(run)]
+    stretches: list[list[re.Match]] = [[]]
+    for m in PART.finditer(run):
+        part = m[0]
+        word = part.isalpha() and (len(part) >= 8 or (len(part) >= 3 and IDENTIFIER.match(part))) and not low(part)
+        if word or DIGEST.match(part) or any(a <= m.start() < b for a, b in known):
+            stretches.append([])
+        elif stretches[-1] or not IDENTIFIER.match(part) or len(part) >= LEAST_PART:
+            stretches[-1].append(m)
+    for parts in filter(None, stretches):
+        strong = [m for m in parts if not m[0].isdigit() and len(m[0]) >= (LEAST_PART if _mixed(m[0]) else LEAST_RUN) and low(m[0])]
+        start, stop = parts[0].start(), parts[-1].end()
+        while run[stop : stop + 1] == "=":
+            stop += 1
+        whole = run[start:stop]
+        if stop - start >= LEAST_RUN and low(whole) and (strong or (_mixed(whole) and not IDENTIFIER.match(whole))):
+            yield start, stop
+        else:
+            yield from (m.span() for m in strong)
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, max_efficiency: float = MAX_EFFICIENCY) -> list[tuple[int, str, int]]:
-    """Runs whose characters per token are few: random strings without a known shape."""
+    """Strings whose characters per token are few: random strings without a known shape."""
+
+    def low(s: str) -> bool:
+        return len(s) < max_efficiency * len(encoding.encode_ordinary(s))
+
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not run.isalpha() and (DIGEST.match(run) or UUID.match(run) or NUMBER.match(run) or IDENTIFIER.match(run)):
+        if NUMBER.match(run) or (len(run) < LEAST_RUN and not _mixed(run)):
             continue
-        if len(run) < max_efficiency * len(encoding.encode_ordinary(run)):
-            out.append((m.start(), "random", m.end()))
+        found = list(_random_in(run, low))
+        if not found and len(run) >= LEAST_RUN and _mixed(run) and not (DIGEST.match(run) or UUID.search(run) or IDENTIFIER.match(run)) and low(run):
+            found = [(0, len(run))]
+        out += [(m.start() + a, "random", m.start() + b) for a, b in found]
     return out
 
 

@@ -72,3 +72,16 @@ def test_random_letters_of_one_case_are_found():
         assert sum(_found(f"key {x} end") == [x] for x in drawn) >= least * len(drawn)
     for name in ("internationalization", "CONFIGURATION_MANAGEMENT_OFFICE", "AbstractSingletonProxyFactoryBean", "geschwindigkeitsbegrenzung", "2024-01-02/2024-02-03/1"):
         assert not _found(f"the {name} end"), name
+
+
+def test_random_parts_of_paths_and_keys_are_found():
+    base62 = string.ascii_letters + string.digits
+    for before in ("documents/shared/customers/reports/", "downloads/public/releases/archive/", "services/internal/production/configuration/", "session_identifier=", ""):
+        for n in (14, 24):
+            drawn = _drawn(base62, n, n)
+            hit = [_found(f"see {before}{x} end") == [x] for x in drawn]
+            assert sum(hit) >= 0.95 * len(drawn), (before, n, sum(hit))
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    assert not _found(f"objects/{uuid}/releases/{HEX40}/internal")
+    joined = "Zx9Qp2Lk8Vb3/Nm7Wd5Rt1Yh6+Uj4Kq0=="
+    assert _found(f"data {joined} end") == [joined]
