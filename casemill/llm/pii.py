@@ -3,19 +3,19 @@
 Information-theoretic sanitisation (after Sanchez & Batet, 2016): the spans of fixed shape are the
 protected entities. Over the whole corpus, the pointwise mutual information of a term and an
 entity says how much the term reveals of it; divided by the information of the entity, it is 1
-when the term occurs with that entity only. Terms beside an entity whose share exceeds a
-threshold, with co-occurrence in at least ``support`` documents, are reported for generalisation.
-
-Scale. Texts never move: one pass takes spans and neighbouring terms out of each text, and only
-these are stored. Documents without an entity end there. Document frequencies count every
-document, restricted to the terms that some entity asks about by a semi-join (sent to all tasks
-only while their number is checked to be small) and combined on the map side. Texts are
-identified by digest, so copies are worked out once.
+when the term occurs with that entity only. Terms are all words of a document, wherever in it.
+Those whose share exceeds a threshold, with co-occurrence in at least ``support`` documents, are
+reported for generalisation at every place of the documents that hold the entity.
+
+Scale. One pass takes the spans out of each text; documents without an entity end there. Texts
+are identified by digest, so copies are worked out once and count as often as they occur. Pairs
+are made only for entities of ``support`` documents or more. Pairs and the document frequencies
+of words, which count every document, are combined on the map side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.plans.cut import stored
@@ -27,16 +27,14 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 # End of fixed values.
+#: Terms are unbroken runs of letters.
+WORD = r"\p{L}++"
 KINDS = ("email", "ip", "card", "phone", "term")
 _QUICK = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]"}
 SPAN = "struct<start:int,k:int,kind:string,stop:int>"
 
-#: Code points on either side of an entity whose words count as its context.
-REACH = 48
 #: Share of an entity's information that a term may reveal, and documents that must say so.
 MAX_DISCLOSURE, SUPPORT = 0.8, 2
-#: Asked-for terms up to this number are sent to all tasks; beyond, both sides are shuffled.
-BROADCAST_TERMS = 100_000
 
 
 def _quoted(pattern: str) -> str:
@@ -90,57 +88,51 @@ def base_spans(text: str = "text") -> Column:
     return F.expr(f"array_sort(concat({', '.join(found)}))")
 
 
-def _beside(text: str, spans: str) -> str:
-    """For each span, the entity and the words next to it: array of (entity, term, start, stop)."""
-    word = _quoted(r"(?<![\p{L}\p{N}@.])\p{L}{3,}(?![\p{L}\p{N}@])")
-
-    def words(origin: str, part: str) -> str:
-        return f"""
-        filter(aggregate(
-          {_turns(part, word)},
-          named_struct('at', {origin}, 'out', cast(array() as array<struct<entity:string,term:string,start:int,stop:int>>)),
-          (acc, x) -> if(x.m is null, acc, named_struct('at', acc.at + x.g + length(x.m), 'out',
-             array_append(acc.out, named_struct('entity', concat(s.kind, ':', lower(substring({text}, s.start + 1, s.stop - s.start))),
-                                                'term', lower(x.m), 'start', acc.at + x.g, 'stop', acc.at + x.g + length(x.m))))),
-          acc -> acc.out), w -> w.start > {origin} or {origin} = 0)"""
-
-    left = f"greatest(s.start - {REACH}, 0)"
-    before = words(left, f"substring({text}, {left} + 1, s.start - {left})")
-    # a word that the reach cuts on the right is left out with the last character
-    after = words("s.stop", f"regexp_replace(substring({text}, s.stop + 1, {REACH}), {_quoted(r'[\p{L}\p{N}]+$')}, '')")
-    return f"flatten(transform({spans}, s -> concat({before}, {after})))"
+def _words(text: str = "text") -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.expr(f"array_distinct(transform(regexp_extract_all({text}, {_quoted(WORD)}, 0), w -> lower(w)))")
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """Spans, entities and the terms beside them; ``key`` is the text's digest, null without a span."""
+    """Spans and entities; ``key`` is the text's digest, null without a span, and so is the text. ``row`` tells rows apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans())
     marked = F.size("base") > 0
     entities = "array_distinct(transform(base, s -> concat(s.kind, ':', lower(substring(text, s.start + 1, s.stop - s.start)))))"
     return spans.select(
         "doc_id",
+        F.monotonically_increasing_id().alias("row"),
         F.when(marked, F.sha2("text", 256)).alias("key"),
         "base",
-        F.when(marked, F.expr(_beside("text", "base"))).alias("beside"),
         F.when(marked, F.expr(entities)).alias("entities"),
+        F.when(marked, F.col("text")).alias("text"),
     )
 
 
-def disclosing(docs: DataFrame, found: DataFrame, max_disclosure: float = MAX_DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def _repeated(found: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """Entities of ``support`` documents or more ``(entity, n_e)``, and the texts that hold them ``(key, entity, row, n)``.
+
+    ``row`` is the first row with the text, ``n`` the number of them.
+    """
+    keys = found.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "entities")).alias("x"))
+    held = stored(keys.select("key", "n", "x.row", F.explode("x.entities").alias("entity")), "held")
+    n_e = stored(held.groupBy("entity").agg(F.sum("n").alias("n_e")).filter(F.col("n_e") >= support), "entities")
+    return n_e, stored(held.join(n_e.select("entity"), "entity"), "repeated")
+
+
+def disclosing(
+    docs: DataFrame, found: DataFrame, n_e: DataFrame, held: DataFrame, max_disclosure: float = MAX_DISCLOSURE, support: int = SUPPORT
+) -> DataFrame:
     """``(entity, term, share)`` of the terms that reveal more of an entity than they may.
 
-    ``found`` is the stored result of the first pass over ``docs``.
+    ``found`` is the stored result of the first pass over ``docs``, ``n_e`` and ``held`` are those of ``_repeated``.
     """
-    pair = found.select(F.explode(F.expr("array_distinct(transform(beside, w -> named_struct('entity', w.entity, 'term', w.term)))")).alias("p"))
-    joint = stored(pair.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support), "joint")
-    n_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    asked = joint.select("term").distinct()
-    if (n_asked := asked.count()) == 0:
-        return joint.select("entity", "term", F.lit(1.0).alias("share"))
-    if n_asked <= BROADCAST_TERMS:
-        asked = F.broadcast(asked)
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}]+"))
-    n_t = docs.select(F.explode(words).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    texts = held.groupBy("row").agg(F.first("n").alias("n"), F.collect_list("entity").alias("entities"))
+    words = found.filter("key IS NOT NULL").select("row", "text").join(texts, "row").select("n", "entities", F.explode(_words()).alias("term"))
+    pair = words.select("n", "term", F.explode("entities").alias("entity"))
+    joint = stored(pair.groupBy("entity", "term").agg(F.sum("n").alias("n_te")).filter(F.col("n_te") >= support), "joint")
+    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n_t = text.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t") >= support)
     n_docs = found.count()
     shares = joint.join(n_t, "term").join(n_e, "entity")
     information = F.log2(n_docs / F.col("n_e"))
@@ -148,30 +140,39 @@ def disclosing(docs: DataFrame, found: DataFrame, max_disclosure: float = MAX_DI
     return shares.filter(information > 0).select("entity", "term", share.alias("share")).filter(F.col("share") > max_disclosure)
 
 
+def _places(texts: DataFrame) -> DataFrame:
+    """``(key, term, start, stop)`` of every word of ``texts``, a row for each key."""
+    # a piece before each word and one after the last, which has no word
+    turns = texts.select("key", F.posexplode(F.expr(_turns("text", _quoted(WORD)))).alias("i", "x"))
+    before = Window.partitionBy("key").orderBy("i")
+    stop = F.sum(F.col("x.g") + F.coalesce(F.length("x.m"), F.lit(0))).over(before).cast("int")
+    return turns.select("key", F.lower("x.m").alias("term"), (stop - F.length("x.m")).alias("start"), stop.alias("stop")).filter("term IS NOT NULL")
+
+
 def scan(docs: DataFrame, max_disclosure: float = MAX_DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``(doc_id, spans)``, one row for each row of ``docs``.
 
     ``spans`` is an array of (start, k, kind, stop) in code points, stop exclusive, by start and
-    then kind as in ``KINDS``: the fixed shapes, and the disclosing terms beside them that overlap
-    none of them. Null texts are empty and have none. Repeated rows and null doc_ids keep their
-    rows and count as documents; other columns do not matter.
+    then kind as in ``KINDS``: the fixed shapes, and all places of the disclosing terms of the
+    document's entities that overlap none of them. Null texts are empty and have none. Repeated
+    rows and null doc_ids keep their rows and count as documents; other columns do not matter.
     """
-    found = stored(_first_pass(docs), "entities")
-    flagged = disclosing(docs, found, max_disclosure, support)
-    texts = found.filter("key IS NOT NULL").groupBy("key").agg(F.first("beside").alias("beside"), F.first("base").alias("base"))
-    one = texts.select("key", "base", F.explode("beside").alias("w")).select("key", "base", "w.entity", "w.term", "w.start", "w.stop")
-    free = "NOT exists(base, s -> s.start < stop AND start < s.stop)"
+    found = stored(_first_pass(docs), "found")
+    n_e, held = _repeated(found, support)
+    flagged = stored(held.join(disclosing(docs, found, n_e, held, max_disclosure, support), "entity").select("row", "key", "term").distinct(), "flagged")
+    texts = found.filter("key IS NOT NULL").select("row", "key", "text").join(flagged.select("row").distinct(), "row", "left_semi")
     terms = (
-        one.join(flagged, ["entity", "term"])
-        .filter(free)
+        _places(texts)
+        .join(flagged, ["key", "term"])
         .select("key", F.struct("start", F.lit(4).alias("k"), F.lit("term").alias("kind"), "stop").alias("t"))
         .groupBy("key")
         .agg(F.collect_set("t").alias("terms"))
     )
     none = F.expr(f"cast(array() as array<{SPAN}>)")
+    free = F.expr("filter(terms, t -> NOT exists(base, s -> s.start < t.stop AND t.start < s.stop))")
     plain = found.filter("key IS NULL").select("doc_id", F.col("base").alias("spans"))
-    marked = found.filter("key IS NOT NULL").join(terms, "key", "left")
-    return plain.union(marked.select("doc_id", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans")))
+    marked = found.filter("key IS NOT NULL").select("doc_id", "key", "base").join(terms, "key", "left")
+    return plain.union(marked.select("doc_id", F.array_sort(F.concat("base", F.coalesce(free, none))).alias("spans")))
 
 
 def generalised(text: Column, spans: Column) -> Column:

@@ -70,3 +70,23 @@ def test_generalising(spark):
     df = spark.createDataFrame([("mail é a@b.cd or +1 555 123 4567",), ("",), ("none",)], "text string")
     out = df.select(pii.generalised(df.text, pii.base_spans("text")).alias("t")).collect()
     assert [r.t for r in out] == ["mail é [EMAIL] or [PHONE]", "", "none"]
+
+
+def test_terms_far_from_the_entity_are_found_and_marked_everywhere(spark):
+    gap = " filler" * 30 + ". "
+    texts = {1: f"Zorblatt Qu came.{gap}mail zz@top.org{gap}zorblatt, said QU", 2: f"zz@top.org{gap}so Zorblatt and qu", 3: "a zorblattish filler"}
+    for i in range(4, 40):
+        texts[i] = f"the filler so and {i}"
+    rows = [*texts.items(), (41, texts[1])]  # a copy counts as a document
+    out = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    entity, n = [i for i, t in rows if "zz@top.org" in t], len(rows)
+    words = {i: re.findall(r"[^\W\d_]+", t.lower()) for i, t in rows}
+    df_of = Counter(w for ws in words.values() for w in set(ws))
+    both = Counter(w for i in entity for w in set(words[i]))
+    bad = {w for w, k in both.items() if k >= 2 and math.log2(k * n / (df_of[w] * len(entity))) / math.log2(n / len(entity)) > pii.MAX_DISCLOSURE}
+    assert {"zorblatt", "qu"} <= bad and not bad & {"filler", "so", "and"}
+    for i, t in rows:
+        mail = [m.span() for m in re.finditer("zz@top.org", t)] if i in entity else []
+        want = [m.span() for m in re.finditer(r"[^\W\d_]+", t) if i in entity and m[0].lower() in bad and not any(a < m.end() and m.start() < b for a, b in mail)]
+        assert [(s.start, s.stop) for s in out[i] if s.kind == "term"] == want
+    assert len([s for s in out[1] if s.kind == "term"]) > 3
