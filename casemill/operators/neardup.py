@@ -3,7 +3,8 @@
 Equal normalised texts collapse first. Distinct ones get MinHash signatures in one Arrow pass;
 band keys meet by equality, each band group links its members to its least one, and a pair
 stands only if the exact Jaccard similarity of shingles confirms it. Members that the least one
-of a band does not confirm try again among themselves, so no link that a band offers is lost.
+of a band does not confirm try again among themselves. At last all pairs of a band group that are
+still in different components are compared, so no link that a band offers is lost.
 """
 
 from __future__ import annotations
@@ -64,22 +65,35 @@ def _similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Verified links between distinct texts ``(rep, norm)``."""
-    members = checkpointed(distinct.mapInPandas(_bands, "rep long, band int, key long"))
+    everyone = members = checkpointed(distinct.mapInPandas(_bands, "rep long, band int, key long"))
     texts = distinct.select("rep", "norm")
+    x, y = (texts.select(F.col("rep").alias(k), F.col("norm").alias(t)) for k, t in (("a", "x"), ("b", "y")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return checkpointed(pairs.join(x, "a").join(y, "b").select("a", "b", "band", "key", "x", "y").mapInPandas(_similar, "a long, b long, band int, key long"))
+
     found = None
     while True:
         heads = members.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         pairs = members.join(heads, ["band", "key"]).filter("rep > a").select("a", F.col("rep").alias("b"), "band", "key")
         if pairs.limit(1).count() == 0:
             break
-        x, y = (texts.select(F.col("rep").alias(k), F.col("norm").alias(t)) for k, t in (("a", "x"), ("b", "y")))
-        good = checkpointed(pairs.join(x, "a").join(y, "b").select("a", "b", "band", "key", "x", "y").mapInPandas(_similar, "a long, b long, band int, key long"))
+        good = confirmed(pairs)
         edges = good.select("a", "b")
         found = edges if found is None else found.union(edges)
         # what the least member did not confirm goes on without it and without those it did
         rest = pairs.join(good.select("b", "band", "key"), ["b", "band", "key"], "left_anti")
         members = checkpointed(rest.select(F.col("b").alias("rep"), "band", "key"))
-    return found if found is not None else members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    if found is None:
+        return members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    # a member confirmed by one head left with it: what links its component to another is still untested
+    member = connected_components(found, "a", "b")
+    placed = everyone.join(member, F.col("rep") == F.col("node"), "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("c"))
+    split = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band", "key")
+    open_ = checkpointed(placed.join(split, ["band", "key"]))
+    one, other = (open_.select(F.col("rep").alias(k), "band", "key", F.col("c").alias(f"c_{k}")) for k in ("a", "b"))
+    across = one.join(other, ["band", "key"]).filter("a < b AND c_a <> c_b").groupBy("a", "b").agg(F.min("band").alias("band"), F.min("key").alias("key"))
+    return found.union(confirmed(across).select("a", "b"))
 
 
 def template_groups(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,21 @@ def test_template_groups(spark):
     assert (s.n_groups, s.n_multi, s.rows_in_multi, s.pct_in_multi, s.largest) == (4, 1, 3, 50.0, 3)
 
 
+def test_template_groups_are_not_split_by_a_confirmed_member(spark, monkeypatch):
+    def one_band(frames):
+        for pdf in frames:
+            yield pdf[["rep"]].assign(band=0, key=5)[["rep", "band", "key"]]
+
+    words = [chr(97 + i % 26) * 3 + chr(97 + i // 26) * 2 + chr(122 - i % 26) for i in range(60)]
+    texts = {k: " ".join(words[4 * k : 4 * k + 36]) for k in range(1, 6)}  # each is like its neighbours only
+    like = {(a, b): len(np.intersect1d(ga, gb)) >= neardup.THRESHOLD * len(np.union1d(ga, gb)) for a in texts for b in texts if a < b for ga, gb in [(neardup._grams(texts[a]), neardup._grams(texts[b]))]}
+    assert {p for p, ok in like.items() if ok} == {(k, k + 1) for k in range(1, 5)}
+    monkeypatch.setattr(neardup, "_bands", one_band)
+    rows = [*texts.items(), (9, "an entirely different request about a missing invoice of last month")]
+    got = {r.id: r.template_group_id for r in neardup.template_groups(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    assert got == {**dict.fromkeys(texts, 1), 9: 9}
+
+
 def test_retrieval_by_hand(spark):
     v = spark.createDataFrame([(i, [1.0 - i / 10, i / 10]) for i in range(5)], "id long, vector array<double>")
     top = retrieval.dense_topk(v, v.filter("id = 0"), 2).collect()
