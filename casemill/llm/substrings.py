@@ -1,27 +1,26 @@
 """Exact substring dedup: bytes covered by a 50-byte string that an earlier document has too.
 
-The suffixes that can matter are found first, then sorted.
-
-0. Texts are cut into chunks where their content says so, all strings that start between two cuts
-   together. A pass gathers the first document of each distinct chunk, as a bit filter. A chunk
-   that is not in the filter with its own document has an earlier document, so it is removed
-   whole; its strings all stand in that first document too, so nothing else needs to see it. Only
-   what is left takes part in the steps below: exact copies not at all, near ones where they differ.
-1. Every 50-byte string names an anchor: of the 20-byte strings in it, the one with the least
-   hash. Equal strings name equal anchors, and neighbouring strings mostly share theirs, so there
-   is one anchor for some 16 strings. All strings of an anchor together make its stretch. A string
-   also holds the 15 bytes on the left of its anchor or the 15 on the right, so stretches with a
-   string in common agree in one of these 35-byte cores. A pass gathers, a bucket of hashes at a
-   time, which stretches and cores more than one document has, as two more bit filters.
-   A batch sends a stretch once, so a passage in a third of all documents costs a row a batch.
-2. A second pass emits the stretches that pass the filters. A stretch that an earlier document
-   has is removed whole. Stretches that differ but share a core are where repeats begin and end:
-   their suffixes are deep-shallow sorted, core by core, and runs of equals give the first
-   document of each string. Crowded cores are sorted string by string, batch before bucket.
-3. What was found is joined to the documents by doc_id and text digest.
-
-All filters have a fixed size. One that fills up lets more chunks or stretches through and costs
-time, never results.
+Every 50-byte string names an anchor: of the 20-byte strings in it, the one with the least hash.
+Equal strings name equal anchors, and neighbouring strings mostly share theirs, so there is one
+anchor for some 16 strings. All strings of a text with one anchor together are its stretch.
+
+Documents are dealt into packs, some hundreds of texts each, and packs ask twice:
+
+1. Which of my anchors does another pack have? A pack sends the hashes of its anchors, each once,
+   dealt into buckets; a bucket answers with a bit for each. Anchors of one document only, most of
+   all, end here.
+2. Which of the strings around the other anchors stand in an earlier document? A pack deep-shallow
+   sorts these stretches and sends each distinct one once, with the first document that has it and
+   the places where it stands. A bucket sorts the stretches of all packs: runs of equals give the
+   first document of a stretch. Stretches that differ but have an anchor in common are where
+   repeats begin and end: their suffixes are sorted, and runs of equals give the first document of
+   each string. An anchor with very many different stretches (``HOT``) would be one large group;
+   packs send its strings one by one instead, dealt by string, so that no group has more rows than
+   there are packs.
+
+Hashes only say which strings are sorted against each other. That strings are equal is decided by
+the sort, which compares their bytes. Texts are shuffled once; the three passes over the packs
+read the same exchange. Nothing is broadcast or sent to the driver.
 """
 
 from __future__ import annotations
@@ -30,34 +29,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrow import as_bytes, slices
 from casemill.llm.suffix_sort import deep_shallow_sort
-from casemill.plans.cut import discard, stored
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM) // 2
-#: Stretches of one core that are sorted in one task; more are sorted string by string.
+#: Different stretches of an anchor that are sorted together; more are dealt out string by string.
 HOT = 20_000
-#: Mean distance of cuts between chunks.
-CHUNK = 128
-#: Bits of each filter; a bound on what is broadcast.
-FILTER_BITS = 1 << 27
-BLOCK_BYTES = 1 << 18
-#: Documents whose stretches are held at a time.
-ROWS = 1000
+#: Packs, and buckets of hashes, for each partition of the input.
+PACKS, BUCKETS = 16, 8
+#: Bytes of text that are hashed at a time, and stretches that are sorted at a time.
+BLOCK_BYTES, BLOCK_STRETCHES = 1 << 18, 60_000
 NO_ID = 2**63 - 1
+#: Bits of an anchor's hash that travel.
+KEY_BITS = 48
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _POWER = np.cumprod(np.r_[_U(1), np.full(BLOCK_BYTES, _BASE, _U)])
-
-
-_KINDS = (np.int64, _U, np.uint32, np.uint32, np.int64, np.int64, np.int64)
+_KINDS = (np.int64, _U, _U, np.int64, np.int64, np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,11 +80,10 @@ def _sliding_least(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """``(text number, anchor hash, stretch hash, cores, first start, strings, anchor)`` of all stretches.
+    """``(text number, anchor hash, stretch hash, first start, strings, anchor)`` of all stretches.
 
-    ``cores`` has the hashes of the left and the right core, 16 bits each, 0 where no string of the
-    stretch holds that core. ``first start`` is where the stretch begins in its text; it has ``strings`` starts and its anchor
-    ``anchor`` bytes after the first.
+    ``first start`` is where the stretch begins in its text; it has ``strings`` starts and its
+    anchor ``anchor`` bytes after the first.
     """
     parts: list[tuple[np.ndarray, ...]] = []
     at = 0
@@ -103,8 +95,10 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         if size > BLOCK_BYTES:  # one long text: pieces that overlap by all but one start
             text = texts[at]
             step = BLOCK_BYTES - LENGTH - 2 * SPAN
-            found = [(a, _stretches([text[a : a + BLOCK_BYTES]])) for a in range(0, max(1, len(text) - LENGTH - 2 * SPAN), step)]
-            parts.append((np.full(sum(len(p[1][0]) for p in found), at), *_stitched(found, step, len(text))))
+            for a in range(0, max(1, len(text) - LENGTH - 2 * SPAN), step):
+                # a stretch that a piece cuts off comes whole in the next one; what is covered is a union
+                doc, h, u, start, n, anchor = _stretches([text[a : a + BLOCK_BYTES]])
+                parts.append((doc + at, h, u, start + a, n, anchor))
         else:
             doc, *rest = _stretches(texts[at:end])
             parts.append((doc + at, *rest))
@@ -112,12 +106,6 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, t) for t in _KINDS)
 
 
-def _stitched(found: list, step: int, size: int) -> tuple[np.ndarray, ...]:
-    """Stretches of the pieces of a long text. A stretch that a piece cuts off comes whole in the next
-    one as well; both stand, which changes no result: what is covered is a union."""
-    return tuple(np.concatenate([(x + a if k == 3 else x) for a, p in found for x in [p[k + 1]]]) for k in range(6))
-
-
 def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -130,428 +118,282 @@ def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     first = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
     whole = doc[: len(anchor)] == doc[LENGTH - 1 : LENGTH - 1 + len(anchor)]
-    start = np.flatnonzero(whole & np.r_[True, ~whole[:-1] | (anchor[1:] != anchor[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1])])
-    stop = np.flatnonzero(whole & np.r_[~whole[1:] | (anchor[1:] != anchor[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1]), True])
+    turn = (anchor[1:] != anchor[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1])
+    start = np.flatnonzero(whole & np.r_[True, ~whole[:-1] | turn])
+    stop = np.flatnonzero(whole & np.r_[~whole[1:] | turn, True])
     sums = np.r_[_U(0), np.cumsum((raw.astype(_U) + _U(1)) * _U(0x8EBC6AF09C88C6E3) * _POWER[: len(raw)], dtype=_U)]
     # the same string has the same hash wherever it stands: all are brought to one power
     end = stop + LENGTH
-    total = (sums[end] - sums[start]) * _POWER[BLOCK_BYTES - start]
-    u = (_mixed(total + (end - start).astype(_U) * _U(0x589965CC75374CC3)) >> _U(32)).astype(np.uint32)
+    u = _mixed((sums[end] - sums[start]) * _POWER[BLOCK_BYTES - start] + (end - start).astype(_U) * _U(0x589965CC75374CC3))
     at = anchor[start]
-
-    def core(a: np.ndarray, held: np.ndarray) -> np.ndarray:
-        a = np.where(held, a, start)  # any place inside the text
-        total = (sums[a + GRAM + SIDE] - sums[a]) * _POWER[BLOCK_BYTES - a]
-        return np.where(held, (_mixed(total) >> _U(48)).astype(np.uint32) | 1, 0).astype(np.uint32)
-
-    cores = core(at - SIDE, start <= at - SIDE) << np.uint32(16) | core(at, stop > at - SIDE)
     # a least hash is a low one; mixed again, hashes fill the buckets evenly
-    return doc[start], _mixed(grams[at]), u, cores, start - first[doc[start]], stop - start + 1, at - start
+    return doc[start], _mixed(grams[at]), u, start - first[doc[start]], stop - start + 1, at - start
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers by their octets of one weight, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, by their octets of one weight, compressed."""
+    parts = [np.array([len(arrays), *(len(a) for a in arrays), *(ord(a.dtype.char) for a in arrays)], "<i4").tobytes()]
+    parts += [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"" for a in arrays]
+    return zstandard.compress(b"".join(parts), 1)
 
 
-def _unpack(data: bytes, kind) -> np.ndarray:
+def _unpacked(data: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    n = int(np.frombuffer(raw, "<i4", 1)[0])
+    head = np.frombuffer(raw, "<i4", 2 * n, 4).tolist()
+    out, at = [], 4 + 8 * n
+    for size, kind in zip(head[:n], head[n:], strict=True):
+        kind = np.dtype(chr(kind))
+        block = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(block.T).view(kind).ravel() if size else np.zeros(0, kind))
+        at += size * kind.itemsize
+    return out
+
 
+def _rows(pack: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """Ids and texts of a pack in an order that does not depend on how its rows came, and that order."""
+    ids, texts = pack.column("doc").to_pylist(), pack.column("text").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    return np.array([ids[i] for i in order], np.int64), [texts[i] for i in order], order
 
-def _probes(h: np.ndarray, u: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Bits of a key inside its bucket's section."""
-    key = h ^ (u.astype(_U) * _BASE)
-    for k in range(3):
-        key = _mixed(key + _U(0x2545F4914F6CDD1D + k))
-        yield (key % _U(bits)).astype(np.int64)
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes, in the order of the hashes."""
+    return ((key >> _U(KEY_BITS - 24)) * _U(buckets) >> _U(24)).astype(np.int64)
+
+
+def _cuts(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(bucket, from, to)`` of each bucket that occurs."""
+    if not len(sorted_buckets):
+        return []
+    at = np.flatnonzero(np.r_[True, sorted_buckets[1:] != sorted_buckets[:-1]])
+    return list(zip(sorted_buckets[at].tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_buckets)], strict=True))
+
+
+def _anchors(ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct anchor hashes in order, what is said of each, and which one each stretch has.
+
+    What is said: the number of different stretches, 127 at most, and bit 7 for several documents.
+    """
+    doc, h, u, *_ = found
+    key = h >> _U(64 - KEY_BITS)
+    order = np.lexsort((u, key))
+    key, u, own = key[order], u[order], ids[doc[order]]
+    new = np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]
+    at = np.flatnonzero(new)
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    if not len(at):
+        return key, np.zeros(0, np.uint8), which
+    different = np.add.reduceat((new | np.r_[True, u[1:] != u[:-1]]).astype(np.int64), at)
+    several = np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at)
+    return key[at], (np.minimum(different, 127) | several * 128).astype(np.uint8), which
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
+_ASKED, _TOLD = "bucket int, pack long, data binary", "pack long, bucket int, data binary"
 
-def _cuts(raw: np.ndarray) -> np.ndarray:
-    """Where the eight bytes from a position say that a chunk begins; never twice in a run of one byte."""
-    parts = [np.zeros(0, np.int64)]
-    for a in range(0, max(0, len(raw) - 7), BLOCK_BYTES):
-        x = (raw[a : a + BLOCK_BYTES + 7].astype(_U) + _U(1)) * _U(0xA0761D6478BD642F)
-        for size in (1, 2, 4):
-            x = x[:-size] * _POWER[size] + x[size:]
-        x = _mixed(x)
-        hit = x < _U(2**64 // CHUNK)
-        hit[1:] &= x[1:] != x[:-1]
-        parts.append(np.flatnonzero(hit) + a)
-    return np.concatenate(parts)
 
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First starts of a text's chunks with the end of the last one, and the chunks' hashes (two numbers each)."""
-    stop = len(text) - LENGTH + 1
-    if stop <= 0:
-        return np.zeros(1, np.int64), np.zeros((0, 2), _U)
-    cut = _cuts(np.frombuffer(text, np.uint8))
-    edges = np.r_[0, cut[(cut > 0) & (cut < stop)], stop]
-    at = edges.tolist()
-    hashes = b"".join([xxhash.xxh3_128_digest(text[a : b + LENGTH - 1]) for a, b in zip(at, at[1:])])  # noqa: B905
-    return edges, np.frombuffer(hashes, _U).reshape(-1, 2)
 
+_ASKED_ROWS = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("data", pa.binary())])
+_TOLD_ROWS = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
-def _owned(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A key for a chunk and its document."""
-    return _mixed(hashes[:, 1] + ids.astype(_U) * _BASE)
 
+def _asker(buckets: int):
+    def ask(pack: pa.Table) -> pa.Table:
+        ids, texts, _ = _rows(pack)
+        key, said, _ = _anchors(ids, stretches(texts))
+        name = pack.column("pack")[0].as_py()
+        return _table(_ASKED_ROWS, [(b, name, _packed(np.diff(key[i:j], prepend=_U(0)), said[i:j])) for b, i, j in _cuts(_bucket(key, buckets))])
 
-def _new_regions(texts: list[bytes], ids: np.ndarray, firsts: _Sections) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """What of the texts an earlier document may not have, and the runs of starts that one has.
+    return ask
 
-    The regions with the number of their text, their place in it, and the first and last but one
-    start in them that count: a region reaches on so far that the stretches at its edges are whole.
+
+def _told(hot: int):
+    """A bucket's answer to each pack: which of its anchors several documents have, and which are crowded."""
+
+    def tell(bucket: pa.Table) -> pa.Table:
+        asked = [_unpacked(x) for x in bucket.column("data").to_pylist()]
+        sizes = np.cumsum([0, *(len(x) for _, x in asked)])
+        key = np.concatenate([np.cumsum(k, dtype=_U) for k, _ in asked])
+        said = np.concatenate([x for _, x in asked])
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        size = np.diff(np.r_[at, len(key)])
+        shared = (size > 1) | (np.maximum.reduceat(said[order], at) >= 128)
+        crowded = shared & (np.add.reduceat((said[order] & 127).astype(np.int64), at) > hot)
+        flags = np.empty(len(key), np.uint8)
+        flags[order] = np.repeat(shared + 2 * crowded, size)
+        packs, b = bucket.column("pack").to_pylist(), bucket.column("bucket")[0].as_py()
+        return _table(_TOLD_ROWS, [(p, b, zstandard.compress(flags[i:j].tobytes(), 1)) for p, i, j in zip(packs, sizes.tolist(), sizes[1:].tolist(), strict=False)])
+
+    return tell
+
+
+def _gathered(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of strings, end to end."""
+    end = np.cumsum(size)
+    return raw[np.arange(end[-1] if len(end) else 0) + np.repeat(at - end + size, size)]
+
+
+def _string_keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the 50 bytes from each place."""
+    x = np.zeros(len(at), _U)
+    for k in range(LENGTH):
+        x = x * _BASE + raw[at + k].astype(_U) + _U(1)
+    return _mixed(x) >> _U(64 - KEY_BITS)
+
+
+def _offers(
+    raw: np.ndarray, place: np.ndarray, key: np.ndarray, ids: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray, buckets: int, alone: bool
+) -> Iterator[tuple[int, bytes]]:
+    """Strings of a pack, each distinct one once, dealt into buckets.
+
+    The string of entry i is the ``n[i]`` + 49 bytes of ``raw`` from ``place[i]``; ``doc`` counts
+    the pack's rows in the order of their ids. Sent are: first document, strings, anchor, places
+    in the first document and in others, whether it stands ``alone``, bytes; then row and start of
+    all places.
     """
-    regions, owner, place, low, high = [], [], [], [], []
-    gone: list[tuple[int, int, int]] = []
-    cut = [chunks(t) for t in texts]
-    count = np.array([len(c[1]) for c in cut], np.int64)
-    hashes = np.concatenate([np.zeros((0, 2), _U), *(c[1] for c in cut)])
-    first = firsts.has(hashes[:, 0], _owned(hashes, np.repeat(ids, count)))
-    at = np.cumsum(count) - count
-    for i, (edges, _) in enumerate(cut):
-        own = first[at[i] : at[i] + count[i]]
-        turn = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-        for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(own)], strict=False):
-            start, stop = int(edges[a]), int(edges[b])
-            if own[a]:
-                begin = max(0, start - SPAN - 1)
-                regions.append(texts[i][begin : stop + SPAN + LENGTH])
-                owner.append(i)
-                place.append(begin)
-                low.append(start)
-                high.append(stop)
-            else:
-                gone.append((i, start, stop - start))
-    return regions, *(np.array(x, np.int64) for x in (owner, place, low, high)), gone
-
-
-def _new_stretches(texts: list[bytes], ids: np.ndarray, firsts: _Sections) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, int]]]:
-    """The stretches, as of ``stretches``, that hold a string of a chunk that may be a first one; the runs of the others."""
-    regions, owner, place, low, high, gone = _new_regions(texts, ids, firsts)
-    region, h, u, c, start, n, anchor = stretches(regions)
-    if not len(region):
-        return (region, h, u, c, start, n, anchor), gone
-    start = start + place[region]
-    keep = (start < high[region]) & (start + n > low[region])
-    region, h, u, c, start, n, anchor = (x[keep] for x in (region, h, u, c, start, n, anchor))
-    return (owner[region], h, u, c, start, n, anchor), gone
-
-
-def _request(batch: tuple, buckets: int) -> Iterator[tuple]:
-    """One packed row for each bucket: each anchor and stretch once, with its first and last document."""
-    ids, h, u, c = batch
-    order = np.lexsort((ids, u, h))
-    ids, h, u, c = ids[order], h[order], u[order], c[order]
-    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])]) if len(h) else np.zeros(0, np.int64)
-    least, most = ids[new], ids[np.r_[new[1:], len(ids)] - 1] if len(new) else ids[new]
-    h, u, c = h[new], u[new], c[new]
-    bounds = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(bounds)).tolist():
-        i, j = bounds[b], bounds[b + 1]
-        yield b, _pack(np.diff(h[i:j], prepend=_U(0))), _pack(u[i:j]), _pack(c[i:j]), _pack(least[i:j]), _pack(most[i:j] - least[i:j])
-
-
-_PACKED = ("h", "u", "c", "lo", "span")
-
-
-def _left(c: np.ndarray) -> np.ndarray:
-    return c >> np.uint32(16) | np.uint32(1 << 16)
-
-
-def _right(c: np.ndarray) -> np.ndarray:
-    return c & np.uint32(65535)
-
-
-def _held(key: np.ndarray) -> np.ndarray:
-    return (key & np.uint32(65535)) != 0
-
-
-def _shared(group: pa.Table, bits: int) -> tuple[bytes, bytes]:
-    """Sections of the two filters: stretches of several documents, cores of several stretches."""
-    parts = [
-        (np.cumsum(_unpack(h, _U), dtype=_U), _unpack(u, np.uint32), _unpack(c, np.uint32), (lo := _unpack(a, np.int64)), lo + _unpack(d, np.int64))
-        for h, u, c, a, d in zip(*(group.column(k).to_pylist() for k in _PACKED), strict=True)
-    ]
-    h, u, c, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((u, h))
-    h, u, c, lo, hi = h[order], u[order], c[order], lo[order], hi[order]
-    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])])
-    h, u, c, lo, hi = h[new], u[new], c[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new)
-    # a core matters to the sort if some stretch with it begins after the core's first document
-    cores_h, cores_c = [], []
-    for key in (_left(c), _right(c)):
-        own = np.flatnonzero(_held(key))
-        own = own[np.lexsort((key[own], h[own]))]
-        first = np.flatnonzero(np.r_[np.ones(min(1, len(own)), bool), (h[own][1:] != h[own][:-1]) | (key[own][1:] != key[own][:-1])])
-        if len(own):
-            earliest = np.repeat(np.minimum.reduceat(lo[own], first), np.diff(np.r_[first, len(own)]))
-            later = np.logical_or.reduceat(lo[own] > earliest, first)
-            cores_h.append(h[own][first][later])
-            cores_c.append(key[own][first][later])
-    return _section(h[lo < hi], u[lo < hi], bits), _section(np.concatenate([*cores_h, h[:0]]), np.concatenate([*cores_c, u[:0]]), bits)
-
-
-class _Sections:
-    """A bit filter in sections, one for each bucket of hashes."""
-
-    def __init__(self, sections: dict[int, bytes], buckets: int, bits: int) -> None:
-        self.buckets, self.bits = buckets, bits
-        blank = bytes(bits // 8)
-        self.set = np.frombuffer(b"".join(sections.get(b, blank) for b in range(buckets)), np.uint8)
-
-    def has(self, h: np.ndarray, u: np.ndarray) -> np.ndarray:
-        base, out = _bucket(h, self.buckets) * self.bits, np.ones(len(h), bool)
-        for at in _probes(h, u, self.bits):
-            at = base + at
-            out &= (self.set[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return out
-
-
-def _section(h: np.ndarray, u: np.ndarray, bits: int) -> bytes:
-    section = np.zeros(bits, bool)
-    for at in _probes(h, u, bits):
-        section[at] = True
-    return np.packbits(section, bitorder="little").tobytes()
-
-
-def _pick(several: _Sections, sorting: _Sections, h: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which stretches several documents may have, and which have to be sorted."""
-    left, right = _left(c), _right(c)
-    return several.has(h, u), _held(left) & sorting.has(h, left) | _held(right) & sorting.has(h, right)
-
-
-def _shape(docs: DataFrame, filter_bits: int) -> tuple[int, int]:
-    """Buckets of a filter, and bits in each."""
-    buckets = max(16, 4 * docs.rdd.getNumPartitions())
-    return buckets, max(64, filter_bits // buckets // 64 * 64)
-
-
-def _sent_firsts(docs: DataFrame, filter_bits: int):
-    """A filter of each distinct chunk with its first document, for the executors."""
-    buckets, bits = _shape(docs, filter_bits)
-    schema = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("lo", pa.binary())])
-
-    def ask(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            own = [chunks(t)[1] for t in batch.column(1).to_pylist()]
-            ids = np.repeat(ids, [len(x) for x in own])
-            hashes = np.concatenate([np.zeros((0, 2), _U), *own])
-            order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
-            ids, hashes = ids[order], hashes[order]
-            new = np.r_[np.ones(min(1, len(ids)), bool), (hashes[1:] != hashes[:-1]).any(1)]
-            ids, hashes = ids[new], hashes[new]
-            bounds = np.searchsorted(_bucket(hashes[:, 0], buckets), np.arange(buckets + 1)).tolist()
-            rows = [(b, hashes[i:j].tobytes(), _pack(ids[i:j])) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]  # noqa: B905
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    def answer(group: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(group.column("h").to_pylist()), _U).reshape(-1, 2)
-        ids = np.concatenate([_unpack(x, np.int64) for x in group.column("lo").to_pylist()])
-        order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
-        ids, hashes = ids[order], hashes[order]
-        new = np.r_[True, (hashes[1:] != hashes[:-1]).any(1)]
-        return pa.table({"bucket": group.column("bucket")[:1], "a": pa.array([_section(hashes[new][:, 0], _owned(hashes[new], ids[new]), bits)])})
-
-    asked = docs.mapInArrow(ask, "bucket int, h binary, lo binary")
-    sections = {r.bucket: bytes(r.a) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary").collect()}
-    return docs.sparkSession.sparkContext.broadcast(_Sections(sections, buckets, bits))
-
-
-def _sent_filters(docs: DataFrame, firsts, filter_bits: int):
-    """Filters of the stretches that several documents have and of the cores to sort, for the executors."""
-    buckets, bits = _shape(docs, filter_bits)
-    schema = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in _PACKED)])
-
-    def ask(batches):
-        for batch in slices(batches, ROWS):
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            (doc, h, u, c, *_), _ = _new_stretches(texts, ids, firsts.value)
-            rows = list(_request((ids[doc], h, u, c), buckets))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    def answer(group: pa.Table) -> pa.Table:
-        a, b = _shared(group, bits)
-        return pa.table({"bucket": group.column("bucket")[:1], "a": pa.array([a]), "b": pa.array([b])})
-
-    asked = docs.mapInArrow(ask, "bucket int, h binary, u binary, c binary, lo binary, span binary")
-    answers = {r.bucket: (bytes(r.a), bytes(r.b)) for r in asked.groupBy("bucket").applyInArrow(answer, "bucket int, a binary, b binary").collect()}
-    return docs.sparkSession.sparkContext.broadcast([_Sections({b: x[k] for b, x in answers.items()}, buckets, bits) for k in (0, 1)])
-
-
-def _firsts(windows: list[bytes], docs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct strings in order, with their least and greatest document, by a deep-shallow sort."""
-    text = np.frombuffer(b"".join(windows), np.uint8)
-    order, run = deep_shallow_sort(text, np.arange(len(windows)) * LENGTH, LENGTH)
+    if not len(place):
+        return
+    size = n + LENGTH - 1
+    raw, place = _gathered(raw, place, size), np.cumsum(size) - size
+    order, run = deep_shallow_sort(raw, place, size, key.astype(np.int64) << 13 | n << 8 | anchor)
+    runs = np.empty(len(order), np.int64)
+    runs[order] = run
+    own = np.lexsort((start, doc, runs, key))
+    head = np.flatnonzero(np.r_[True, runs[own][1:] != runs[own][:-1]])
+    lead, ends = own[head], np.r_[head[1:], len(own)]
+    first = ids[doc[lead]]
+    in_first = np.add.reduceat((ids[doc[own]] == np.repeat(first, ends - head)).astype(np.int64), head)
+    for b, i, j in _cuts(_bucket(key[lead], buckets)):
+        d, places = lead[i:j], own[head[i] : ends[j - 1]]
+        yield b, _packed(
+            first[i:j], n[d].astype(np.uint8), anchor[d].astype(np.uint8), in_first[i:j].astype(np.int32), (ends - head - in_first)[i:j].astype(np.int32),
+            np.full(1, alone, np.uint8), _gathered(raw, place[d], size[d]), doc[places].astype(np.int32), start[places].astype(np.int32),
+        )
+
+
+def _emitter(buckets: int):
+    """The strings of a pack around anchors that several documents have."""
+
+    def emit(pack: pa.Table, told: pa.Table) -> pa.Table:
+        if not pack.num_rows or not told.num_rows:
+            return _table(_ASKED_ROWS, [])
+        ids, texts, _ = _rows(pack)
+        found = stretches(texts)
+        key, _, which = _anchors(ids, found)
+        answers = dict(zip(told.column("bucket").to_pylist(), told.column("data").to_pylist(), strict=True))
+        flags = np.frombuffer(b"".join(zstandard.decompress(answers[b]) for b in sorted(answers)), np.uint8)[which]
+        doc, _, _, start, n, anchor = found
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        base = np.cumsum([0, *map(len, texts)])
+        name, rows = pack.column("pack")[0].as_py(), []
+        own = np.flatnonzero(flags == 1)
+        rows += [(b, name, x) for b, x in _offers(raw, base[doc[own]] + start[own], key[which[own]], ids, doc[own], start[own], n[own], anchor[own], buckets, False)]
+        own = np.flatnonzero(flags == 3)
+        if len(own):  # crowded anchors: string by string
+            times = n[own]
+            k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            doc, start = np.repeat(doc[own], times), np.repeat(start[own], times) + k
+            place = base[doc] + start
+            one = np.ones(len(place), np.int64)
+            rows += [(b, name, x) for b, x in _offers(raw, place, _string_keys(raw, place), ids, doc, start, one, 0 * one, buckets, True)]
+        return _table(_ASKED_ROWS, rows)
+
+    return emit
+
+
+def _settle(bucket: pa.Table) -> pa.Table:
+    """For each pack: row, start and mask of its strings that an earlier document has."""
+    packs, offers = bucket.column("pack").to_pylist(), [_unpacked(x) for x in bucket.column("data").to_pylist()]
+    count = np.array([len(x[0]) for x in offers])
+    offer = np.repeat(np.arange(len(offers)), count)
+    lo, n, anchor = (np.concatenate([x[k] for x in offers]).astype(np.int64) for k in range(3))
+    alone = np.repeat(np.array([x[5][0] for x in offers], bool), count)
+    raw = np.concatenate([x[6] for x in offers])
+    size = n + LENGTH - 1
+    place = np.cumsum(size) - size
+    # an alone string is grouped by all of its bytes, a stretch by those of its anchor
+    gram = np.zeros(len(place), _U)
+    for k in range(GRAM):
+        gram = gram * _BASE + raw[place + anchor + k].astype(_U) + _U(1)
+    gram = _mixed(gram) >> _U(1)
+    gram[alone] = _string_keys(raw, place[alone]) | _U(1 << 63)
+    mask = np.zeros(len(lo), np.uint32)
+    by = np.argsort(gram, kind="stable")
+    edge = np.r_[np.flatnonzero(np.r_[True, gram[by][1:] != gram[by][:-1]]), len(by)]
+    a = 0
+    while a < len(edge) - 1:  # whole groups, some at a time
+        z = max(a + 1, int(np.searchsorted(edge, edge[a] + BLOCK_STRETCHES, "right")) - 1)
+        own = by[edge[a] : edge[z]]
+        mask[own] = _masks(raw, place[own], gram[own], lo[own], n[own], anchor[own], alone[own])
+        a = z
+    rows = []
+    full = (np.uint32(1) << n.astype(np.uint32)) - np.uint32(1)
+    ends = np.cumsum([0, *count]).tolist()
+    for k, x in enumerate(offers):
+        i, j = ends[k], ends[k + 1]
+        in_first, others, doc, start = x[3].astype(np.int64), x[4].astype(np.int64), x[7], x[8]
+        # places in the first document of the pack come first; the others have that one before them
+        times = np.stack([in_first, others], 1).ravel()
+        masks = np.repeat(np.stack([mask[i:j], full[i:j]], 1).ravel(), times)
+        hit = masks != 0
+        if hit.any():
+            rows.append((packs[k], bucket.column("bucket")[0].as_py(), _packed(doc[hit], start[hit], masks[hit])))
+    return _table(_TOLD_ROWS, rows)
+
+
+def _masks(raw: np.ndarray, place: np.ndarray, gram: np.ndarray, lo: np.ndarray, n: np.ndarray, anchor: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Which strings of each stretch (bits, from its first start) stand in a document before ``lo``."""
+    _, key = np.unique(gram, return_inverse=True)
+    size = n + LENGTH - 1
+    raw, place = _gathered(raw, place, size), np.cumsum(size) - size
+    order, run = deep_shallow_sort(raw, place, size, key << 13 | n << 8 | anchor)
     new = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    docs = docs[order]
-    return [windows[i] for i in order[new].tolist()], np.minimum.reduceat(docs, new), np.maximum.reduceat(docs, new)
-
-
-_SORTED = pa.schema([("s", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())])
-
-
-def _combine(batches):
-    """Strings of the stretches of each batch, sorted, each once."""
-    for batch in batches:
-        if batch.num_rows:
-            windows, docs = [], []
-            for ctx, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [ctx[i : i + LENGTH] for i in range(len(ctx) - LENGTH + 1)]
-                windows += own
-                docs += [doc] * len(own)
-            s, lo, hi = _firsts(windows, np.array(docs, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.binary()), pa.array(lo), pa.array(hi)], schema=_SORTED)
-
-
-def _merge(batches):
-    """A bucket's strings, sorted; those of more than one document stay."""
-    parts = [b for b in batches if b.num_rows]
-    if parts:
-        t = pa.Table.from_batches(parts)
-        windows = t.column("s").to_pylist()
-        s, lo, _ = _firsts(windows, t.column("lo").to_numpy())
-        _, _, hi = _firsts(windows, t.column("hi").to_numpy())
-        keep = lo < hi
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, k in zip(s, keep.tolist(), strict=True) if k], pa.binary()), pa.array(lo[keep]), pa.array(hi[keep])], schema=_SORTED
-        )
-
-
-def _offsets(ctx: bytes, anchor: int, core: int) -> range:
-    """The strings of a stretch that hold this core: from the first one's start."""
-    n, edge = len(ctx) - LENGTH + 1, anchor - SIDE
-    return range(0, min(n, edge + 1)) if core >> 16 else range(max(0, edge + 1), n)
-
-
-def _partly(batches):
-    """Which strings of a stretch an earlier document has, by a deep-shallow sort of whole groups of a core."""
-    schema = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("part", pa.int64())])
-    rows: list[tuple] = []
-
-    def flush():
-        offsets = [_offsets(r[4], r[5], r[1]) for r in rows]
-        own = np.repeat(np.arange(len(rows)), [len(o) for o in offsets])
-        base = np.cumsum([0, *(len(r[4]) for r in rows)])[:-1]
-        k = np.fromiter((x for o in offsets for x in o), np.int64, len(own))
-        docs = np.array([r[3] for r in rows], np.int64)[own]
-        order, run = deep_shallow_sort(np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), base[own] + k, LENGTH)
-        new = np.flatnonzero(np.r_[np.ones(min(1, len(run)), bool), run[1:] != run[:-1]])
-        mask = np.zeros(len(rows), np.int64)
-        if len(new):
-            hit = order[docs[order] > np.repeat(np.minimum.reduceat(docs[order], new), np.diff(np.r_[new, len(run)]))]
-            np.bitwise_or.at(mask, own[hit], np.int64(1) << k[hit])
-        found = np.flatnonzero(mask).tolist()
-        out = pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in found], pa.int64()), pa.array([rows[i][2] for i in found], pa.int64()), pa.array(mask[found])], schema=schema)
-        rows.clear()
-        return out
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(rows) >= 20_000 and rows[-1][:2] != row[:2]:
-                yield flush()
-            rows.append(row)
-    if rows:
-        yield flush()
-
-
-def _crowded(grouped: DataFrame) -> DataFrame:
-    """The same for cores with very many stretches: string by string, so no group meets in one task."""
-    spread = grouped.select(
-        "h", "u", "first", "core", "anchor", F.posexplode(F.expr(f"transform(sequence(1, octet_length(ctx) - {LENGTH - 1}), i -> substring(ctx, i, {LENGTH}))")).alias("k", "s")
-    ).filter(F.expr(f"if(core >= 65536, k <= anchor - {SIDE}, k > anchor - {SIDE})"))
-    strings = grouped.select("ctx", "first").mapInArrow(_combine, "s binary, lo long, hi long").repartition("s").mapInArrow(_merge, "s binary, lo long, hi long")
-    return spread.join(strings, "s").filter("lo < first").select("h", "u", F.expr("shiftleft(1L, k)").alias("part"))
-
-
-def repeats(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """``(doc, digest, hits)``: for each document with repeats, (start, mask) of its stretches and runs.
-
-    ``doc`` is the doc_id, the greatest number for null; ``digest`` the XXH64 of the text. Bit k of
-    ``mask`` says that the string at ``start`` + k also starts in a document with a smaller doc_id;
-    a negative mask says so of that many strings from ``start``.
-    """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), as_bytes().alias("text"))
-    firsts = _sent_firsts(rows, filter_bits)
-    discard(docs.sparkSession)
-    sent = _sent_filters(rows, firsts, filter_bits)
-    schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64()), ("h", pa.int64()), ("u", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int32()), ("c", pa.int64()), ("ctx", pa.binary())])
-
-    def emit(batches):
-        for batch in slices(batches, ROWS):
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            (doc, h, u, c, start, n, anchor), gone = _new_stretches(texts, ids, firsts.value)
-            several, sort = _pick(*sent.value, h, u, c)
-            at = np.flatnonzero(several | sort)
-            digests = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], _U).astype(np.int64)
-            # of equal stretches in a batch, the one of the first document brings the bytes to sort
-            key = h[at] ^ u[at].astype(_U) * _BASE
-            order = np.lexsort((ids[doc[at]], key))
-            bring = np.zeros(len(at), bool)
-            bring[order[np.r_[np.ones(min(1, len(at)), bool), key[order][1:] != key[order][:-1]]]] = True
-            bring &= sort[at]
-            ctx = [texts[d][a : a + k + LENGTH - 1] if s else None for d, a, k, s in zip(doc[at].tolist(), start[at].tolist(), n[at].tolist(), bring.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[doc[at]]), pa.array(digests[doc[at]]), pa.array(h[at].astype(np.int64)), pa.array(u[at].astype(np.int64)),
-                    pa.array(start[at].astype(np.int32)), pa.array(n[at].astype(np.int32)),
-                    pa.array(anchor[at].astype(np.int32)), pa.array(c[at].astype(np.int64)), pa.array(ctx, pa.binary()),
-                ],
-                schema=schema,
-            )
-            if gone:
-                own, first, size = (np.array(x, np.int64) for x in zip(*gone, strict=True))
-                none = pa.nulls(len(gone))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[own]), pa.array(digests[own]), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())],
-                    schema=schema,
-                )
-
-    found = stored(rows.mapInArrow(emit, "doc long, digest long, h long, u long, start int, n int, anchor int, c long, ctx binary"), "stretches")
-    spark = docs.sparkSession
-    discard(spark)
-    # the first document of a stretch in each batch brought its bytes, so the least of these is the first of all
-    unsure = found.filter("ctx IS NOT NULL").groupBy("h", "u").agg(*(F.first(x).alias(x) for x in ("ctx", "anchor", "c")), F.min("doc").alias("first"))
-    unsure = stored(unsure, "unsure")
-    discard(spark)
-    sided = unsure.withColumn("core", F.explode(F.array(F.expr("shiftright(c, 16) | 65536"), F.expr("c & 65535")))).filter("(core & 65535) <> 0").drop("c")
-    hot = stored(sided.groupBy("h", "core").count().filter(F.col("count") > HOT).select("h", "core"), "hot")
-    discard(spark)
-    crowds = not hot.isEmpty()
-    alone = sided.join(hot, ["h", "core"], "left_anti") if crowds else sided
-    part = alone.select("h", "core", "u", "first", "ctx", "anchor").repartition("h", "core").sortWithinPartitions("h", "core").mapInArrow(_partly, "h long, u long, part long")
-    if crowds:
-        part = part.unionAll(_crowded(sided.join(hot, ["h", "core"])))
-    partly = stored(part.groupBy("h", "u").agg(F.bit_or("part").alias("part")), "partly")
-    discard(spark, unsure, hot)
-    shared = found.filter("h IS NOT NULL").groupBy("h", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    known = stored(shared.join(partly, ["h", "u"], "left").filter("first < last OR part IS NOT NULL").drop("last"), "known")
-    discard(spark, partly)
-    mask = F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.coalesce("part", F.lit(0).cast("long")))
-    hits = found.select("doc", "digest", "h", "u", "start", "n").join(known, ["h", "u"]).withColumn("mask", mask).filter("mask <> 0").select("doc", "digest", "start", "mask")
-    whole = found.filter("h IS NULL").select("doc", "digest", "start", F.expr("-cast(n as bigint)").alias("mask"))
-    hit = stored(hits.unionAll(whole), "hits")
-    discard(spark, known, found)
-    return hit.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    first = np.minimum.reduceat(lo[order], new)  # the first document of each distinct stretch
+    lead, which = order[new], np.empty(len(order), np.int64)
+    which[order] = run
+    partly = np.zeros(len(new), np.uint32)
+    # different stretches round one anchor: strings that hold the same bytes beside it are sorted
+    open_ = np.flatnonzero((np.bincount(key[lead])[key[lead]] > 1) & ~alone[lead])
+    if len(open_):
+        d = lead[open_]
+        own, start, side = [], [], []
+        for right in (False, True):
+            low, high = (np.maximum(anchor[d] - SIDE + 1, 0), n[d]) if right else (np.zeros(len(d), np.int64), np.minimum(n[d], anchor[d] - SIDE + 1))
+            held = np.flatnonzero(low < high)
+            at = place[d[held]] + anchor[d[held]] + (GRAM if right else -SIDE)
+            core = key[d[held]].astype(_U)
+            for k in range(SIDE):
+                core = core * _BASE + raw[at + k].astype(_U) + _U(1)
+            _, core = np.unique(_mixed(core), return_inverse=True)
+            several = np.bincount(core, minlength=1)[core] > 1
+            held, core = held[several], core[several]
+            times = high[held] - low[held]
+            own.append(np.repeat(open_[held], times))
+            start.append(np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[held], times))
+            side.append(np.repeat(core * 2 + right, times))
+        own, start, side = (np.concatenate(x) for x in (own, start, side))
+        order, run = deep_shallow_sort(raw, place[lead[own]] + start, np.full(len(own), LENGTH), side)
+        if len(order):
+            new = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            earliest = np.repeat(np.minimum.reduceat(first[own[order]], new), np.diff(np.r_[new, len(run)]))
+            hit = order[first[own[order]] > earliest]
+            np.bitwise_or.at(partly, own[hit], np.uint32(1) << start[hit].astype(np.uint32))
+    full = (np.uint32(1) << n.astype(np.uint32)) - np.uint32(1)
+    return np.where(lo > first[which], full, partly[which])
 
 
 def _cover(size: int, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which bytes are covered."""
-    count = np.where(mask < 0, -mask, 0)
-    line = (mask >= 0) & (mask & (mask + 1) == 0)  # strings one after another from the first start
-    count[line] = np.round(np.log2(mask[line] + 1)).astype(np.int64)
+    """Which bytes are covered by the strings that the masks name."""
     step = np.zeros(size + 1, np.int64)
-    for begin, n in [(start[count > 0], count[count > 0]), *_single(start[count == 0], mask[count == 0])]:
+    line = mask & (mask + 1) == 0  # strings one after another from the first start
+    count = np.round(np.log2(mask[line] + 1)).astype(np.int64)
+    for begin, n in [(start[line], count), *_single(start[~line], mask[~line])]:
         step += np.bincount(begin, minlength=size + 1) - np.bincount(begin + n + LENGTH - 1, minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
 
@@ -563,34 +405,46 @@ def _single(start: np.ndarray, mask: np.ndarray, rows: int = 1 << 16) -> Iterato
         yield start[a : a + rows][own] + k, 1
 
 
-def dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
+
+def _cut(pack: pa.Table, told: pa.Table) -> pa.Table:
+    """The rows of a pack without what is covered."""
+    if not pack.num_rows:
+        return _table(_RESULT, [])
+    ids, texts, order = _rows(pack)
+    parts = [_unpacked(x) for x in told.column("data").to_pylist()]
+    doc, start, mask = (np.concatenate([np.zeros(0, np.int64), *(x[k].astype(np.int64) for x in parts)]) for k in range(3))
+    by = np.argsort(doc, kind="stable")
+    start, mask, edge = start[by], mask[by], np.searchsorted(doc[by], np.arange(len(texts) + 1)).tolist()
+    names = pack.column("doc_id").to_pylist()
+    out = []
+    for i, text in enumerate(texts):
+        a, b = edge[i], edge[i + 1]
+        if a == b:
+            out.append((names[order[i]], len(text), 0, 0, text))
+            continue
+        gone = _cover(len(text), start[a:b], mask[a:b])
+        spans = int((gone & ~np.r_[False, gone[:-1]]).sum())
+        out.append((names[order[i]], len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
+    return _table(_RESULT, out)
+
+
+def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``, one row for each row of ``docs``.
 
     ``kept`` are the remaining UTF-8 bytes. Null texts are empty; documents without a doc_id come
     after all others and not before one another; rows of equal doc_id are one document as far as
-    order goes and keep their rows. Other columns do not matter.
+    order goes and keep their rows. Other columns do not matter. Results do not depend on ``hot``.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "digest": F.xxhash64("text")})
-    joined = own.join(repeats(docs, filter_bits), ["doc", "digest"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "hits")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-
-    def cut(batches):
-        for batch in slices(batches, ROWS):
-            if not batch.num_rows:
-                continue
-            out = []
-            hits = batch.column(2)
-            at = hits.offsets.to_pylist()
-            starts, masks = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in hits.values.flatten())
-            for text, a, b in zip(batch.column(1).to_pylist(), at, at[1:], strict=False):
-                if a == b:
-                    out.append((len(text), 0, 0, text))
-                    continue
-                gone = _cover(len(text), starts[a:b], masks[a:b])
-                spans = int((gone & ~np.r_[False, gone[:-1]]).sum())
-                out.append((len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
-
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+    parts = docs.rdd.getNumPartitions()
+    n_packs, buckets = max(16, PACKS * parts), max(16, BUCKETS * parts)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"))
+    # rows that repeat lie in different packs as far as they come from different partitions
+    dealt = rows.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "pack": F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_packs))})
+    packs = dealt.groupBy("pack")
+    told = packs.applyInArrow(_asker(buckets), _ASKED).groupBy("bucket").applyInArrow(_told(hot), _TOLD)
+    offers = packs.cogroup(told.groupBy("pack")).applyInArrow(_emitter(buckets), _ASKED)
+    hits = offers.groupBy("bucket").applyInArrow(_settle, _TOLD)
+    return packs.cogroup(hits.groupBy("pack")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -1,10 +1,11 @@
 """Deep-shallow sorting of suffixes (after Manzini & Ferragina, 2004).
 
-Shallow: multikey quicksort over characters of eight bytes, down to ``SHALLOW`` bytes: each level
-sorts the groups that are still equal by their next character. Deep: a group whose members share
-more than that goes through a blind trie, whose inner nodes know only where their members first
-differ; a suffix is placed by one blind walk, one comparison with the leaf it ends at, and one
-new node.
+Shallow: multikey quicksort over characters of eight bytes, down to ``SHALLOW`` bytes. Every round
+parts all open groups at once by a pivot character into less, equal and greater; the equal part
+goes on with its next character. Deep: a group that shares more than that goes through a blind
+trie, whose inner nodes know only where their members first differ; a suffix is placed by one
+blind walk, one comparison with the leaf it ends at, and one new node. Groups that turn out to be
+equal to their first member need no trie.
 """
 
 from __future__ import annotations
@@ -71,57 +72,99 @@ def _common(a: bytes, b: bytes) -> int:
     return (8 * len(a) - x.bit_length()) // 8
 
 
-def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at ``starts``, read for ``length`` bytes, and their runs of equals.
-
-    Returns the sorted indices into ``starts`` and, beside each, the number of its run: members of
-    a run have their first ``length`` bytes in common. The order within a run is that of ``starts``.
+def _characters(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number; zeros follow the end."""
+    padded = np.r_[text, np.zeros(8, np.uint8)]
+    out = np.zeros(len(text) + 1, np.uint64)
+    for k in range(8):
+        out |= padded[k : k + len(out)].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return out
+
+
+def _character(wide: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The character at each place, of which only ``left`` bytes belong to the string."""
+    cut = np.clip(8 - left, 0, 8).astype(np.uint64) << np.uint64(3)
+    key = wide[np.minimum(at, len(wide) - 1)]
+    return np.where(cut >= 64, np.uint64(0), key >> np.minimum(cut, np.uint64(63)))
+
+
+def _parted(order: np.ndarray, first: np.ndarray, wide: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth_limit: int) -> None:
+    """Multikey quicksort of ``order`` in place; ``first`` marks where its groups begin, before and after."""
+    depth = np.zeros(len(order), np.int64)
+    at = _open(first, np.arange(len(order)))
+    while len(at):
+        own = order[at]
+        key = _character(wide, starts[own] + depth[at], lengths[own] - depth[at])
+        begin = np.flatnonzero(first[at])
+        size = np.diff(np.r_[begin, len(at)])
+        # the pivot of a group: the median of its first, middle and last character
+        a, b, c = key[begin], key[begin + size // 2], key[begin + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        less, more = (key < pivot).astype(np.int64), (key > pivot).astype(np.int64)
+        n_less, n_more = np.add.reduceat(less, begin), np.add.reduceat(more, begin)
+        n_same = size - n_less - n_more
+        low = np.cumsum(less) - np.repeat(np.cumsum(less)[begin] - less[begin], size) - 1
+        high = np.cumsum(more) - np.repeat(np.cumsum(more)[begin] - more[begin], size) - 1
+        same = 1 - less - more
+        mid = np.cumsum(same) - np.repeat(np.cumsum(same)[begin] - same[begin], size) - 1
+        to = np.where(less > 0, low, np.where(more > 0, np.repeat(n_less + n_same, size) + high, np.repeat(n_less, size) + mid)) + np.repeat(begin, size)
+        moved, grown = np.empty_like(own), np.empty(len(at), np.int64)
+        moved[to], grown[to] = own, depth[at] + 8 * same
+        order[at], depth[at] = moved, grown
+        for n, offset in ((n_same, n_less), (n_more, n_less + n_same)):
+            first[at[(begin + offset)[n > 0]]] = True
+        at = at[depth[at] < np.minimum(lengths[order[at]], depth_limit)]
+        at = _open(first, at)
+
+
+def _open(first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the positions ``at`` (whole groups) those whose group has several members."""
+    if not len(at):
+        return at
+    alone = first[at] & np.r_[first[at[1:]], True]
+    return at[~alone]
+
+
+def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, groups: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings inside each group, and their runs of equals.
+
+    String i is the ``lengths[i]`` bytes of ``text`` from ``starts[i]``; ``groups`` says which
+    strings to sort against each other, and strings of a group have one length. Returns the
+    indices, group by group and sorted inside, and beside each the number of its run: members of a
+    run are equal byte for byte and of one group.
     """
-    n = len(starts)
-    order = np.arange(n)
+    order = np.argsort(groups, kind="stable")
+    n = len(order)
     if n == 0:
         return order, order
-    group = np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)  # still equal to a neighbour
-    for depth in range(0, min(SHALLOW, length), 8):
-        width = min(8, length - depth)
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        key = np.zeros(len(at), np.uint64)
-        base = starts[order[at]] + depth
-        for k in range(width):
-            key = key << np.uint64(8) | text[base + k].astype(np.uint64)
-        by = np.lexsort((key, group[at]))
-        order[at] = order[at][by]
-        key = key[by]
-        g = group[at]
-        new = np.r_[True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])]
-        first = np.zeros(n, bool)
-        first[at[new]] = True
-        first |= ~open_
-        group = np.cumsum(first) - 1
-        size = np.bincount(group)
-        open_ = size[group] > 1
-    if length > SHALLOW:
+    starts, lengths = starts.astype(np.int64), lengths.astype(np.int64)
+    ordered = groups[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]]
+    wide = _characters(text)
+    _parted(order, first, wide, starts, lengths, shallow)
+    at = _open(first, np.arange(n))
+    at = at[lengths[order[at]] > shallow]
+    if not len(at):
+        return order, np.cumsum(first) - 1
+    begin = np.flatnonzero(first[at])
+    size = np.diff(np.r_[begin, len(at)])
+    own = order[at]
+    head = np.repeat(own[begin], size)
+    equal = np.ones(len(at), bool)
+    for d in range(shallow, int(lengths[own].max()), 8):
+        left = lengths[own] - d
+        equal &= (_character(wide, starts[own] + d, left) == _character(wide, starts[head] + d, left)) | (left <= 0)
+    mixed = np.flatnonzero(~np.logical_and.reduceat(equal, begin))
+    if len(mixed):
         raw = text.tobytes()
-        at = np.flatnonzero(open_)
-        run = np.ones(n, bool)  # begins a run
-        cuts = np.flatnonzero(np.r_[True, group[at][1:] != group[at][:-1]]) if len(at) else np.zeros(0, np.int64)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True) if len(at) else ():
-            trie, where = BlindTrie(), int(at[a])
-            seen: dict[bytes, list] = {}
-            for i in order[where : where + b - a].tolist():
-                s = int(starts[i])
-                seen.setdefault(raw[s : s + length], []).append(i)
-            for k, (own, members) in enumerate(seen.items()):
-                trie.insert(own, k)
-            groups = list(seen.values())
-            p = where
+        for a, b in zip(begin[mixed].tolist(), (begin + size)[mixed].tolist(), strict=True):
+            trie = BlindTrie()
+            for i in own[a:b].tolist():
+                s = int(starts[i]) + shallow
+                trie.insert(raw[s : s + int(lengths[i]) - shallow], i)
+            p = int(at[a])
             for leaf in trie.leaves():
-                members = groups[leaf[1]]
-                order[p : p + len(members)] = members
-                run[p + 1 : p + len(members)] = False
-                p += len(members)
-        return order, np.cumsum(run) - 1
-    return order, group
+                order[p : p + len(leaf) - 1] = leaf[1:]
+                first[p] = True
+                p += len(leaf) - 1
+    return order, np.cumsum(first) - 1

@@ -27,17 +27,21 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def test_sorting_matches_python():
+@pytest.mark.parametrize("shallow", [8, 16, 40])
+def test_sorting_matches_python(shallow):
     rng = random.Random(3)
     raw = ("".join(rng.choices("ab", k=300)) + "a" * 400 + "".join(rng.choices("abc", k=300)) + "xyz" * 150).encode() * 2
     text = np.frombuffer(raw, np.uint8)
-    for length in (3, 8, 13, 16, 17, 50):
-        starts = np.array(rng.sample(range(len(raw) - length), 900))
-        order, run = deep_shallow_sort(text, starts, length)
-        strings = [raw[starts[i] : starts[i] + length] for i in order]
-        assert sorted(order.tolist()) == list(range(900)) and strings == sorted(strings)
-        assert [a == b for a, b in zip(strings, strings[1:])] == (run[1:] == run[:-1]).tolist()  # noqa: B905
-    assert len(deep_shallow_sort(text, np.zeros(0, int), 50)[0]) == 0
+    groups = np.array([rng.randrange(6) for _ in range(3000)])
+    lengths = np.array([3, 8, 13, 17, 50, 79])[groups]
+    starts = np.array([rng.randrange(len(raw) - 79) for _ in range(3000)])
+    order, run = deep_shallow_sort(text, starts, lengths, groups, shallow)
+    assert sorted(order.tolist()) == list(range(3000))
+    strings = [(groups[i], raw[starts[i] : starts[i] + lengths[i]]) for i in order]
+    assert strings == sorted(strings)
+    assert [a == b for a, b in zip(strings, strings[1:])] == (run[1:] == run[:-1]).tolist()  # noqa: B905
+    none = np.zeros(0, np.int64)
+    assert len(deep_shallow_sort(text, none, none, none)[0]) == 0
 
 
 def test_blind_trie():
@@ -54,28 +58,21 @@ def test_blind_trie():
 def test_stretches_hold_every_start_once():
     rng = random.Random(2)
     texts = ["".join(rng.choices("abcd ", k=n)).encode() for n in (0, 10, 49, 50, 51, 400, 3000)]
-    doc, h, u, c, start, n, anchor = S.stretches(texts)
+    doc, h, u, start, n, anchor = S.stretches(texts)
     for d, text in enumerate(texts):
         covered = sorted(s + k for s, c in zip(start[doc == d], n[doc == d], strict=True) for k in range(c))
         assert covered == list(range(max(0, len(text) - 49)))
     assert n.max() <= S.SPAN
 
 
-def test_chunks_hold_every_start_once(monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_BYTES", 512)
-    rng = random.Random(4)
-    for n in (0, 10, 49, 50, 57, 3000):
-        text = "".join(rng.choices("abcd ", k=n)).encode()
-        edges, hashes = S.chunks(text)
-        assert len(edges) == len(hashes) + 1 and edges[0] == 0 and edges[-1] == max(0, n - 49) and (edges[1:] > edges[:-1]).all()
-        moved = {x.tobytes() for x in S.chunks(b"#" * 700 + text)[1]}
-        assert all(x.tobytes() in moved for x in hashes[1:])
-    assert len(S.chunks(b"=" * 5000)[1]) <= 2
+def test_packing():
+    arrays = [np.arange(5, dtype=np.int64) - 2, np.zeros(0, np.uint8), np.array([7], np.uint32), np.array([2**63], np.uint64)]
+    for a, b in zip(arrays, S._unpacked(S._packed(*arrays)), strict=True):
+        assert a.dtype == b.dtype and a.tolist() == b.tolist()
 
 
-@pytest.mark.parametrize("bits,hot", [(S.FILTER_BITS, 20_000), (1, 20_000), (S.FILTER_BITS, 2), (1, 0)])
-def test_matches_brute_force(spark, bits, hot, monkeypatch):
-    monkeypatch.setattr(S, "HOT", hot)
+@pytest.mark.parametrize("hot,block", [(20_000, 60_000), (2, 3), (0, 60_000)])
+def test_matches_brute_force(spark, hot, block, monkeypatch):
     rng = random.Random(5)
     say = lambda n: "".join(rng.choices("abcdefgh é\n", k=n))
     shared = [say(70), say(50), say(49), say(400), "=" * 120]
@@ -85,10 +82,25 @@ def test_matches_brute_force(spark, bits, hot, monkeypatch):
         k = rng.randrange(850)
         rows.append((i, base[:k] + "#" + base[k + 1 :]))
     rows += [(1500, base), (1501, base), (None, base), (None, base + "tail"), (7000, ""), (7001, None), (7002, "x" * 300), (6000, "x" * 99)]
-    rows += [(1500, base), (5000, say(100)), (5000, base[:200])]
-    df = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, kept string").repartition(4)
-    got = sorted((tuple(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in r) for r in S.dedup(df, bits).collect()), key=repr)
-    assert got == brute(rows)
+    rows += [(1500, base), (5000, say(100)), (5000, base[:200]), *[(8000, base)] * 9]
+    df = spark.createDataFrame([(*r, "e", "p") for r in rows], "doc_id long, text string, kept string, pack string").repartition(4)
+    got = sorted((tuple(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in r) for r in S.dedup(df, hot).collect()), key=repr)
+    assert got == sorted([(None if r[0] == S.NO_ID else r[0], *r[1:]) for r in brute(rows)], key=repr)
+
+
+def test_strings_round_one_phrase_are_told_apart(spark):
+    """Different strings with a common anchor, whatever their hashes, have nothing removed."""
+    rows = [(1, "abzmrkjjcmshruykjtioqenuxnbyztcnbiswhskeofdvjkuzsp"), (2, "iuzldgvjyjtrwikkjtioqenuxnbyztcnbisdzfrnfissyvvwfz")]
+    assert [r.n_removed for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0, 0]
+    # many contexts of one phrase, in one sort: bytes decide, so nothing is found but the planted pair
+    rng = np.random.default_rng(1)
+    n, phrase = 300_000, np.frombuffer(b"kjtioqenuxnbyztcnbis", np.uint8)
+    text = rng.integers(97, 123, (n, 50)).astype(np.uint8)
+    text[:, 15:35] = phrase
+    text[n - 1] = text[5]
+    lo, ones = np.arange(n), np.ones(n, np.int64)
+    mask = S._masks(text.ravel(), np.arange(n) * 50, np.zeros(n, np.uint64), lo, ones, 15 * ones, np.zeros(n, bool))
+    assert np.flatnonzero(mask).tolist() == [n - 1]
 
 
 def test_long_texts_and_empty_tables(spark):
