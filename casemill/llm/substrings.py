@@ -41,9 +41,9 @@ SIDE = (LENGTH - GRAM) // 2
 #: Different stretches of an anchor that are sorted together; more are dealt out string by string.
 HOT = 20_000
 #: Packs, and buckets of hashes, for each partition of the input.
-PACKS, BUCKETS = 16, 8
+PACKS, BUCKETS = 32, 8
 #: Bytes of text that are hashed at a time, and stretches that are sorted at a time.
-BLOCK_BYTES, BLOCK_STRETCHES = 1 << 18, 60_000
+BLOCK_BYTES, BLOCK_STRETCHES = 1 << 18, 10_000
 NO_ID = 2**63 - 1
 #: Bits of an anchor's hash that travel.
 KEY_BITS = 48
