@@ -40,8 +40,9 @@ SPAN = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM) // 2
 #: Different stretches of an anchor that are sorted together; more are dealt out string by string.
 HOT = 20_000
-#: Packs, and buckets of hashes, for each partition of the input.
-PACKS, BUCKETS = 32, 8
+#: Packs, buckets of anchors and buckets of strings, for each partition of the input. A pack sends
+#: each bucket one row, if it has anything for it.
+PACKS, ANCHOR_BUCKETS, STRING_BUCKETS = 32, 2, 4
 #: Bytes of text that are hashed at a time, and stretches that are sorted at a time.
 BLOCK_BYTES, BLOCK_STRETCHES = 1 << 18, 10_000
 NO_ID = 2**63 - 1
@@ -438,13 +439,13 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     order goes and keep their rows. Other columns do not matter. Results do not depend on ``hot``.
     """
     parts = docs.rdd.getNumPartitions()
-    n_packs, buckets = max(16, PACKS * parts), max(16, BUCKETS * parts)
+    n_packs, anchor_buckets, string_buckets = (max(16, k * parts) for k in (PACKS, ANCHOR_BUCKETS, STRING_BUCKETS))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"))
     # rows that repeat lie in different packs as far as they come from different partitions
     dealt = rows.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "pack": F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_packs))})
     packs = dealt.groupBy("pack")
-    told = packs.applyInArrow(_asker(buckets), _ASKED).groupBy("bucket").applyInArrow(_told(hot), _TOLD)
-    offers = packs.cogroup(told.groupBy("pack")).applyInArrow(_emitter(buckets), _ASKED)
+    told = packs.applyInArrow(_asker(anchor_buckets), _ASKED).groupBy("bucket").applyInArrow(_told(hot), _TOLD)
+    offers = packs.cogroup(told.groupBy("pack")).applyInArrow(_emitter(string_buckets), _ASKED)
     hits = offers.groupBy("bucket").applyInArrow(_settle, _TOLD)
     return packs.cogroup(hits.groupBy("pack")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
