@@ -1,12 +1,16 @@
 """Quality rules: counters of a text, and perplexity bands of each language.
 
-The language model is a modified Kneser-Ney model (Chen & Goodman, 1998) of order four over the
-characters of words. Characters fold into 32 symbols, so a language has at most 32**4 four-grams:
-the model has a proven bound of about 20 MB a language, however large the corpus, while its
-counts come from every word of every document. Counting combines on the map side: a task adds up
-its own four-grams before anything is shuffled. The model is kept as sorted arrays of n-gram
-hashes beside their log probabilities and is looked up by binary search, once for each distinct
-word that a worker meets.
+The language model is an interpolated modified Kneser-Ney model (Chen & Goodman, 1998) of order
+five over characters, contexts running across words; characters stay what they are, in whatever
+script. Spark counts the n-grams and works out their probabilities by joins, so the model grows
+with the corpus and nothing of it has to fit one task. Every n-gram is scored as if its own
+occurrence had not been counted (leaving one out), down through the orders: what occurs once is
+as surprising as if it had never been seen.
+
+The finished model is a table of n-grams with log probabilities. It is cut into blocks of at most
+``BLOCK_BYTES``; a block is sent to the executors as a sorted array of n-gram hashes beside its
+values. A document's log perplexity is a sum over its n-grams, so blocks simply add up, one pass
+over the documents a block.
 
 Bands come from all documents of a language, through a histogram whose size is bounded by its
 bins. Nothing is sampled.
@@ -14,346 +18,379 @@ bins. Nothing is sampled.
 
 from __future__ import annotations
 
-import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from casemill.llm.arrow import as_bytes, slices
+from casemill.llm.arrow import slices
 from casemill.plans.cut import stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
-ORDER, FOLDED = 4, 32
+ORDER = 5
+#: No count is discounted by less, so every character stays possible in every context.
+LEAST_DISCOUNT = 0.01
 #: Perplexity bands: median plus or minus so many deviations. A deviation joins the normalised
 #: interquartile range of the language and the noise of a mean over the characters of the text.
-BAND_WIDTH = 4.5
-NOISE = 0.6
-#: Languages with fewer documents than this have no bands.
+BAND_WIDTH = 4.0
+NOISE = 1.0
+#: Languages with fewer documents than this share the bands of all documents.
 LEAST_DOCS = 20
-#: Models that are sent to the executors at a time, in bytes; languages beyond have a pass of their own.
-BLOCK_BYTES = 64 << 20
+#: Bytes of the model that are sent to the executors at a time, and of an entry of it.
+BLOCK_BYTES, ENTRY_BYTES = 64 << 20, 12
+#: Characters of text that are worked on at a time.
+BLOCK_CHARS = 2_000_000
 BINS = 1000
+#: Distinct words of a text from which three of their numbers may not fit one of 64 bits.
+WIDE = 2_000_000
+UNKNOWN = "und"
 _SPACE = bytes([9, 10, 11, 12, 13, 32])
 _NOT_COUNTED = _SPACE + bytes(range(128, 192))
-_REMEMBERED = 100_000
-UNKNOWN = "und"
+_PAD = " " * (ORDER - 1)
+_U = np.uint64
 
 
-def _fold_table() -> np.ndarray:
-    """Symbol of each code point: 0 a word's edge, 1-26 letters without marks, then classes."""
-    table = np.full(0x110000, 29, np.int64)
-    for cp in range(0x3000):
-        c = chr(cp)
-        base = unicodedata.normalize("NFD", c)[0].lower()
-        if "a" <= base <= "z":
-            table[cp] = ord(base) - 96
-        elif c.isalpha():
-            table[cp] = 30
-        elif c.isdigit():
-            table[cp] = 27
-        elif c in ".,;:?!'\"()-":
-            table[cp] = 28
-    table[0x3000:] = 30
-    return table
-
-
-_FOLD = _fold_table()
-_CAPITAL = np.zeros(0x110000, bool)
-_CAPITAL[[cp for cp in range(0x3000) if chr(cp).isupper()]] = True
-
-
-def four_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All four-grams of the words end to end, three edges before each, and each word's number of them."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    chars = np.frombuffer(" ".join([*words, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    symbols = _FOLD[chars]
-    ends = np.cumsum(sizes) - 1
-    symbols[ends] = 0
-    inner = np.ones(len(symbols), bool)
-    inner[np.r_[0, ends[:-1] + 1]] = False
-    symbols[inner & _CAPITAL[chars]] = 31  # a capital inside a word
-    symbols[ends] = 0
-    keys, back = symbols.copy(), symbols
-    place = np.arange(len(symbols)) - np.repeat(np.r_[0, ends[:-1] + 1], sizes)
-    for k in range(1, ORDER):
-        back = np.r_[0, back[:-1]]
-        keys |= np.where(place >= k, back, 0) << 5 * k
-    return keys, sizes
-
-
-def hashed(keys: np.ndarray) -> np.ndarray:
-    """A 64-bit mix of n-gram keys; one-to-one."""
-    x = keys.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts for counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):  # too regular for the estimates
-        return np.array([0, 0.5, 0.75, 1.0])
-    y = n1 / (n1 + 2 * n2)
-    return np.maximum(np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]), 0)
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities in sorted hash arrays."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """``keys``: distinct four-grams, five bits a symbol, the last symbol lowest."""
-        levels = [(keys.astype(np.int64), counts.astype(np.int64))]
-        for k in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols stand before
-            low, n = np.unique(levels[-1][0] & (1 << 5 * k) - 1, return_counts=True)
-            levels.append((low, n))
-        self.gram: list[tuple[np.ndarray, np.ndarray]] = []
-        self.back: list[tuple[np.ndarray, np.ndarray]] = []
-        lower = None
-        for k, (own, n) in zip(range(1, ORDER + 1), levels[::-1], strict=True):
-            discount = _discounts(n)[np.minimum(n, 3)]
-            context, at = np.unique(own >> 5, return_inverse=True)
-            total = np.bincount(at, n)
-            kept = np.bincount(at, discount) / total
-            base = 1 / FOLDED if lower is None else lower(own & (1 << 5 * (k - 1)) - 1)
-            p = (n - discount) / total[at] + kept[at] * base
-            self.gram.append(_sorted(own, np.log(p)))
-            self.back.append(_sorted(context, np.log(np.maximum(kept, 1e-12))))
-            lower = lambda q, k=k: np.exp(self.log_p(q, k))
-
-    def log_p(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log probabilities of n-grams of ``order``, the longest stored context first."""
-        out = np.zeros(len(keys))
-        left = np.arange(len(keys))
-        for k in range(order, 0, -1):
-            q = keys[left] & (1 << 5 * k) - 1
-            found, value = _find(self.gram[k - 1], q)
-            out[left[found]] += value[found]
-            left, q = left[~found], q[~found]
-            known, value = _find(self.back[k - 1], q >> 5)
-            out[left[known]] += value[known]
-        out[left] += np.log(1 / FOLDED)
-        return out
+def streams(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts end to end, and where each begins.
 
-    def nbytes(self) -> int:
-        return sum(a.nbytes for pair in self.gram + self.back for a in pair)
+    A text is its words, a space after each, behind a context of spaces; a text of n characters in
+    w words has n + w n-grams, one for each character and space.
+    """
+    texts = [_PAD + b" ".join(w).decode() + " " if w else "" for w in words]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    return codes, np.cumsum([0, *map(len, texts)])
 
 
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = hashed(keys)
-    order = np.argsort(h)
-    return h[order], values[order]
+def _windows(starts: np.ndarray) -> np.ndarray:
+    """Which places of the stream begin an n-gram: not those whose n-gram would reach into the next text."""
+    inside = np.ones(int(starts[-1]), bool)
+    ends = starts[1:][starts[1:] > starts[:-1]]
+    for k in range(1, ORDER):
+        inside[ends - k] = False
+    return inside[: max(0, len(inside) - ORDER + 1)]
 
 
-def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = hashed(keys)
-    at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-    return table[0][at] == h, table[1][at]
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """A hash of the ``ORDER`` code points from each place."""
+    out = np.zeros(max(0, len(codes) - ORDER + 1), _U)
+    for k in range(ORDER):
+        out = out * _U(0x9E3779B97F4A7C15) + codes[k : k + len(out)].astype(_U) + _U(1)
+    return out
 
 
-def _language(df: DataFrame):
+def _seeded(h: np.ndarray, lang: str) -> np.ndarray:
+    x = h ^ _U(xxhash.xxh64_intdigest(lang.encode()))
+    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
+    return x ^ x >> _U(31)
+
+
+def counted(codes: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of the stream, and how often each occurs."""
+    places = np.flatnonzero(_windows(starts))
+    if not len(places):
+        return [], np.zeros(0, np.int64)
+    used = np.zeros(0x110000, np.int64)
+    used[codes] = 1
+    alphabet = np.flatnonzero(used)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    used[alphabet] = np.arange(len(alphabet))
+    small = used[codes]
+    if ORDER * bits <= 63:
+        keys = np.zeros(len(places), np.int64)
+        for k in range(ORDER):
+            keys = keys << bits | small[places + k]
+        keys.sort()
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        grams = np.stack([keys[new] >> bits * (ORDER - 1 - k) & (1 << bits) - 1 for k in range(ORDER)], 1)
+        times = np.diff(np.r_[new, len(keys)])
+    else:  # a very large alphabet
+        grams, times = np.unique(np.stack([small[places + k] for k in range(ORDER)], 1), axis=0, return_counts=True)
+    text = alphabet[grams].astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], times
+
+
+def _language(df: DataFrame) -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)) if "lang" in df.columns else F.lit(UNKNOWN)
 
 
-def count_four_grams(docs: DataFrame) -> DataFrame:
-    """``(lang, gram, n)``: the four-grams of all words of all documents, counted by language."""
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
+def _blocks(langs: list[str], texts: list[bytes]) -> Iterator[tuple[str, list[int], list[list[bytes]]]]:
+    """Texts of one language with their words, some MB at a time: language, their numbers, their words."""
+    by: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        by.setdefault(lang, []).append(i)
+    for lang, own in by.items():
+        at = 0
+        while at < len(own):
+            end, size = at, 0
+            while end < len(own) and (size == 0 or size + len(texts[own[end]]) <= BLOCK_CHARS):
+                size += len(texts[own[end]])
+                end += 1
+            yield lang, own[at:end], [texts[i].split() for i in own[at:end]]
+            at = end
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """``(lang, gram, n)``: the n-grams of all documents, counted by language."""
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        sums: dict[str, np.ndarray] = {}
-
-        def flush():
-            for lang, n in sums.items():
-                seen = np.flatnonzero(n)
-                for k in range(0, len(seen), 100_000):
-                    part = seen[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part)), pa.array(part.astype(np.int32)), pa.array(n[part])], schema=schema
-                    )
-            sums.clear()
-
-        for batch in slices(batches, 1024):
-            words: dict[str, Counter] = {}
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words.setdefault(lang, Counter()).update(text.split())
-            for lang, seen in words.items():
-                if not seen:
-                    continue
-                keys, sizes = four_grams([w.decode() for w in seen])
-                times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), sizes)
-                if lang not in sums:
-                    if len(sums) >= 8:  # memory stays bounded whatever the number of languages
-                        yield from flush()
-                    sums[lang] = np.zeros(FOLDED**ORDER, np.int64)
-                sums[lang] += np.bincount(keys, times, FOLDED**ORDER).astype(np.int64)
-        yield from flush()
-
-    grams = docs.select(_language(docs).alias("lang"), as_bytes()).mapInArrow(run, "lang string, gram int, n long")
-    return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame) -> list[dict[str, KneserNey]]:
-    """Models of all languages, in blocks of at most ``BLOCK_BYTES`` (or one language)."""
-    counts = stored(count_four_grams(docs), "grams")
-    sizes = sorted((r.lang, r["count"]) for r in counts.groupBy("lang").count().collect())
-    blocks: list[list[str]] = []
-    room = 0
-    for lang, n in sizes:
-        if not blocks or room + 40 * n > BLOCK_BYTES:
-            blocks.append([])
-            room = 0
-        blocks[-1].append(lang)
-        room += 40 * n
-    models = []
-    for langs in blocks:
-        pdf = counts.filter(F.col("lang").isin(langs)).toPandas()
-        models.append({k: KneserNey(g["gram"].to_numpy(), g["n"].to_numpy()) for k, g in pdf.groupby("lang")})
-    return models
-
-
-class _Scorer:
-    """Counters and log perplexities, with what a worker remembers about words."""
-
-    def __init__(self, models: dict[str, KneserNey]) -> None:
-        self.models = models
-        self.index: dict[str, dict[bytes, int]] = {}
-        self.logs: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
-
-    def learn(self, lang: str, texts: list[list[bytes]]) -> None:
-        known = self.index.setdefault(lang, {})
-        fresh = set().union(*texts).difference(known)
-        if len(known) + len(fresh) > _REMEMBERED:
-            known.clear()
-            fresh = set().union(*texts)
-        if not fresh and lang in self.logs:
-            return
-        if not known:
-            self.logs[lang], self.grams[lang] = np.zeros(0), np.zeros(0, np.int64)
-        new = list(fresh)
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        if not new:
-            return
-        keys, sizes = four_grams([w.decode() for w in new])
-        if model := self.models.get(lang):
-            unique, at = np.unique(keys, return_inverse=True)
-            sums = np.add.reduceat(model.log_p(unique)[at], np.r_[0, np.cumsum(sizes)[:-1]])
-        else:
-            sums = np.zeros(len(new))
-        self.logs[lang] = np.r_[self.logs[lang], sums]
-        self.grams[lang] = np.r_[self.grams[lang], sizes]
-
-    def measure(self, lang: str, text: bytes, words: list[bytes]) -> tuple:
-        n = len(words)
-        lines = [x for x in text.split(b"\n") if x.strip()]
-        if n:
-            ids = np.fromiter(map(self.index[lang].__getitem__, words), np.int64, n)
-            log_ppl = float(-self.logs[lang][ids].sum() / self.grams[lang][ids].sum())
-            repeats = repeated(ids)
+        for batch in slices(batches, 2048):
+            for lang, _, words in _blocks(batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]):
+                grams, n = counted(*streams(words))
+                for k in range(0, len(grams), 100_000):
+                    part = grams[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[k : k + len(part)])], schema=schema)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(_language(docs).alias("lang"), text).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _with_discounts(level: DataFrame) -> DataFrame:
+    """``d1``, ``d2``, ``d3`` of each language, beside every row; a level too regular for the estimates has fixed ones."""
+    sums = level.groupBy("lang").agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    sound = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+    estimates = [F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(LEAST_DISCOUNT)) for k in (1, 2, 3)]
+    fixed = (0.5, 0.75, 1.0)
+    discounts = sums.select("lang", *(F.when(sound, e).otherwise(x).alias(f"d{k}") for k, (e, x) in enumerate(zip(estimates, fixed, strict=True), 1)))
+    return level.join(discounts, "lang")  # a row a language
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """``(lang, gram, p, q)``: the probability of each n-gram's last character, and the same with one occurrence left out.
+
+    Highest order: counts of occurrences; below: of distinct characters before (continuations).
+    Below the lowest order all characters of the language are equally likely, and one more.
+    Leaving an occurrence out takes one from the n-gram's count; where that was all of it, one
+    from its suffix's count as well, and so on.
+    """
+    levels = [counts.select("lang", "gram", "n")]
+    for _ in range(ORDER - 1):
+        levels.append(levels[-1].groupBy("lang", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    lower = None
+    for k, level in enumerate(levels[::-1], 1):
+        beside = Window.partitionBy("lang", "context")
+        rows = level.withColumn("context", F.substring("gram", 1, k - 1)).select(
+            "lang", "gram", "n", F.sum("n").over(beside).alias("total"),
+            *(F.count_if(F.col("n") == j if j < 3 else F.col("n") >= 3).over(beside).alias(f"m{j}") for j in (1, 2, 3)),
+            *([F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("size")] if k == 1 else []),
+        )
+        rows = _with_discounts(rows)
+        if lower is None:
+            base = 1 / (F.col("size") + 1.0)
+            rows = rows.withColumns({"p_low": base, "q_low": base})
         else:
-            log_ppl, repeats = None, 0
-        chars = len(text.translate(None, _NOT_COUNTED))
-        return n, chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, log_ppl
+            rows = rows.withColumn("suffix", F.substring("gram", 2, ORDER)).join(lower, ["lang", "suffix"])
+        n = F.col("n")
+
+        def off(x: Column) -> Column:
+            return F.when(x <= 0, 0.0).when(x == 1, F.col("d1")).when(x == 2, F.col("d2")).otherwise(F.col("d3"))
+
+        def kept(*m: Column) -> Column:
+            return F.col("d1") * m[0] + F.col("d2") * m[1] + F.col("d3") * m[2]
+
+        m1, m2, m3 = (F.col(f"m{j}") for j in (1, 2, 3))
+        is_ = lambda j: (n == j).cast("long")
+        left = kept(m1 - is_(1) + is_(2), m2 - is_(2) + is_(3), m3 - is_(3))
+        p = (n - off(n)) / F.col("total") + kept(m1, m2, m3) / F.col("total") * F.col("p_low")
+        low = F.when(n == 1, F.col("q_low")).otherwise(F.col("p_low"))
+        q = F.when(F.col("total") <= 1, low).otherwise((n - 1 - off(n - 1)) / (F.col("total") - 1) + left / (F.col("total") - 1) * low)
+        done = rows.select("lang", "gram", p.alias("p"), q.alias("q"))
+        lower = done.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_low"), F.col("q").alias("q_low"))
+    return done
+
+
+class Block:
+    """A part of the model: sorted n-gram hashes, with a directory of their leading bits, and log probabilities."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.first = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=_U) << _U(64 - self.bits)).astype(np.int32)
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """The values of the hashes, 0 for those that are not here."""
+        out = np.zeros(len(h), np.float32)
+        if not len(self.keys):
+            return out
+        at = self.first[(h >> _U(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            at, left = at[at < len(self.keys)], left[at < len(self.keys)]
+            there = self.keys[at]
+            same = there == h[left]
+            out[left[same]] = self.values[at[same]]
+            more = there < h[left]
+            at, left = at[more] + 1, left[more]
+        return out
+
+
+def fit(docs: DataFrame) -> list[Block]:
+    """The model of all languages, in blocks of ``BLOCK_BYTES`` at most by a hash of the n-gram."""
+    model = stored(kneser_ney(stored(count_grams(docs), "grams")).select("lang", "gram", F.log("q").alias("value")), "model")
+    n_blocks = max(1, -(-model.count() * ENTRY_BYTES // BLOCK_BYTES))
+    blocks = []
+    for b in range(n_blocks):
+        part = model.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(n_blocks)) == b).toArrow()
+        lang = part.column("lang").dictionary_encode().combine_chunks()
+        text = "".join("".join(chunk.to_pylist()) for chunk in part.column("gram").chunks)
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+        h = np.zeros(len(codes), _U)
+        for k in range(ORDER):
+            h = h * _U(0x9E3779B97F4A7C15) + codes[:, k].astype(_U) + _U(1)
+        names = lang.dictionary.to_pylist() if len(part) else []
+        which = lang.indices.to_numpy() if len(part) else np.zeros(0, np.int64)
+        for i, name in enumerate(names):
+            h[which == i] = _seeded(h[which == i], name)
+        blocks.append(Block(h, part.column("value").to_numpy()))
+    return blocks
+
+
+def log_sums(block: Block, langs: list[str], texts: list[bytes]) -> np.ndarray:
+    """The sum of the log probabilities of each text's n-grams, as far as the block has them."""
+    out = np.zeros(len(texts))
+    for lang, own, words in _blocks(langs, texts):
+        codes, starts = streams(words)
+        if len(codes) < ORDER:
+            continue
+        value = block.look_up(_seeded(hashed(codes), lang)) * _windows(starts)
+        sums = np.r_[0.0, np.cumsum(value, dtype=np.float64)]
+        out[own] = sums[np.minimum(starts[1:], len(value))] - sums[np.minimum(starts[:-1], len(value))]
+    return out
 
 
-def repeated(ids: np.ndarray) -> int:
-    """Words inside three-word windows that the text has twice or more; ids below 2**21."""
-    if len(ids) < 4:
+def repeated(words: list[bytes]) -> int:
+    """Words inside three-word windows that the text has twice or more."""
+    n = len(words)
+    if n < 4:
         return 0
-    keys = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    if not same.any():
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    size = len(number)
+    pairs = ids[:-1] * size + ids[1:]
+    if size > WIDE:
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    keys = pairs[:-1] * size + ids[2:]
+    ordered = np.sort(keys)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
         return 0
-    twice = np.zeros(len(ids) + 1, np.int64)
-    windows = order[np.r_[same, False] | np.r_[False, same]]
-    np.add.at(twice, windows, 1)
-    np.add.at(twice, np.minimum(windows + 3, len(ids)), -1)
-    return int((np.cumsum(twice)[:-1] > 0).sum())
-
-
-def _measured(scorer: _Scorer, langs: list[str], texts: list[bytes]) -> list[tuple]:
-    """Counters of the texts of a batch, a few MB of them at a time."""
-    out: list[tuple] = []
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (size == 0 or size + len(texts[end]) <= 3_000_000):
-            size += len(texts[end])
-            end += 1
-        split = [t.split() for t in texts[at:end]]
-        by: dict[str, list] = {}
-        for lang, words in zip(langs[at:end], split, strict=True):
-            by.setdefault(lang, []).append(words)
-        for lang, own in by.items():
-            scorer.learn(lang, own)
-        out += [scorer.measure(*x) for x in zip(langs[at:end], texts[at:end], split, strict=True)]
-        at = end
-    return out
+    at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
+    windows = np.flatnonzero(twice[at] == keys)
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, windows, 1)
+    np.add.at(step, windows + 3, -1)
+    return int((np.cumsum(step)[:-1] > 0).sum())
 
 
-_MEASURES = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("log_perplexity", pa.float64())]
+def counters(text: bytes) -> tuple[int, int, int, int, int]:
+    """``(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)``."""
+    words = text.split()
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    chars, plain = len(text.translate(None, _NOT_COUNTED)), len(text.translate(None, SYMBOLS))
+    return len(words), chars, len(text) - plain, len(lines) - len(set(lines)), repeated(words)
 
 
-def _columns(rows: list[tuple]) -> list[pa.Array]:
-    return [pa.array(x, kind) for x, (_, kind) in zip(zip(*rows, strict=True), _MEASURES, strict=True)]
+COUNTERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words"):
+def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
     return (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat_words) > MAX_REPEAT_PERCENT * F.col(n_words))
 
 
-def measures(docs: DataFrame, models: list[dict[str, KneserNey]]) -> DataFrame:
-    """``(doc_id, language, counters..., log_perplexity)``; one pass for each block of models."""
-    schema = pa.schema([("doc_id", pa.int64()), ("language", pa.string()), *_MEASURES])
-    rows = docs.select(F.col("doc_id").cast("long"), _language(docs).alias("language"), as_bytes().alias("text"))
+def _names(columns: list[str]) -> dict[str, str]:
+    """Names for the measures that ``columns`` do not have."""
+    out = {}
+    for name in ("language", *COUNTERS, "log_sum"):
+        fresh = f"_{name}"
+        while fresh in columns:
+            fresh = f"_{fresh}"
+        out[name] = fresh
+    return out
+
+
+def measured(docs: DataFrame, blocks: list[Block]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its measures as further columns, stored; and the names that those have.
+
+    Rows are measured where they lie: one pass over the texts for each block of the model, the
+    counters in the first.
+    """
+    own = _names(docs.columns)
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
+    kinds = [StringType(), *[LongType()] * len(COUNTERS), DoubleType()]
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(own.values(), kinds, strict=True))])
+    wide, n_docs = to_arrow_schema(schema), len(docs.columns)
 
-    def one(block: dict, own: DataFrame) -> DataFrame:
+    def one(rows: DataFrame, block: Block, first: bool) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches):
-            scorer = _Scorer(sent.value)  # goes with the task: workers serve other operators as well
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                if batch.num_rows:
-                    out = _measured(scorer, batch.column(1).to_pylist(), batch.column(2).to_pylist())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_columns(out)], schema=schema)
+                texts = [(t or "").encode() for t in batch.column(text_at).to_pylist()]
+                langs = [UNKNOWN if x is None else str(x) for x in batch.column(lang_at).to_pylist()] if lang_at is not None else [UNKNOWN] * len(texts)
+                sums = log_sums(sent.value, langs, texts)
+                if first:
+                    counts = list(zip(*map(counters, texts), strict=True)) if texts else [[]] * len(COUNTERS)
+                    more = [pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in counts)]
+                else:
+                    more = batch.columns[n_docs:-1]
+                    sums = sums + batch.column(batch.num_columns - 1).to_numpy()
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:n_docs], wide, strict=False)), *more, pa.array(sums)], schema=wide)
 
-        return own.mapInArrow(
-            run,
-            "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-            "n_repeat_words long, log_perplexity double",
-        )
+        return stored(rows.mapInArrow(run, schema), "measured")
 
-    if len(models) < 2:
-        return one(models[0] if models else {}, rows)
-    named = sorted({k for m in models for k in m})
-    parts = [one(m, rows.filter(F.col("language").isin(list(m)))) for m in models]
-    return reduce(DataFrame.unionAll, [*parts, one({}, rows.filter(~F.col("language").isin(named)))])
+    rows = docs
+    for k, block in enumerate(blocks):
+        rows = one(rows, block, k == 0)
+    return rows, own
 
 
-def bands(measured: DataFrame, least_docs: int = LEAST_DOCS) -> dict[str, tuple[float, float]]:
-    """Median and deviation of the log perplexity of each language, over all documents that pass the base rules.
+def bands(rows: DataFrame, own: dict[str, str], least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``(language, middle, spread)`` of the log perplexity of each language, over all documents that pass the base rules.
 
     Quartiles are read off a histogram of ``BINS`` bins a nat, so they are exact to a bin and the
-    same whatever the partitioning; what reaches the driver is bounded by the bins.
+    same whatever the partitioning; what reaches the driver is bounded by the bins. A language
+    with fewer than ``least_docs`` such documents has the band of all documents together.
     """
-    binned = measured.filter(~base_failed() & F.col("log_perplexity").isNotNull())
-    pdf = binned.groupBy("language", F.round(F.col("log_perplexity") * BINS).cast("long").alias("bin")).count().toPandas()
-    out = {}
-    for lang, g in pdf.groupby("language"):
-        g = g.sort_values("bin")
-        if g["count"].sum() >= least_docs:
-            share = g["count"].cumsum() / g["count"].sum()
-            q1, q2, q3 = (float(g["bin"].iloc[int(np.searchsorted(share, q))]) / BINS for q in (0.25, 0.5, 0.75))
-            out[lang] = (q2, max((q3 - q1) / 1.349, 0.01))
-    return out
+    good = rows.filter(~base_failed(own["n_words"], own["n_repeat_words"]))
+    pdf = good.groupBy(F.col(own["language"]).alias("language"), F.round(_log_perplexity(own) * BINS).cast("long").alias("bin")).count().toPandas()
+    langs = rows.select(F.col(own["language"]).alias("language")).distinct().toPandas()["language"]
+
+    def band(g) -> tuple[float, float]:
+        g = g.groupby("bin")["count"].sum().sort_index()
+        share = g.cumsum() / g.sum()
+        q1, q2, q3 = (float(g.index[int(np.searchsorted(share, q))]) / BINS for q in (0.25, 0.5, 0.75))
+        return q2, max((q3 - q1) / 1.349, 0.01)
+
+    own_rows = {lang: pdf[pdf["language"] == lang] for lang in langs}
+    out = [(str(lang), *band(g if g["count"].sum() >= least_docs else pdf)) for lang, g in own_rows.items()] if len(pdf) else []
+    return rows.sparkSession.createDataFrame(out, "language string, middle double, spread double")
+
+
+def _log_perplexity(own: dict[str, str]) -> Column:
+    """Nats a character; null without a word."""
+    return -F.try_divide(F.col(own["log_sum"]), F.col(own["word_chars"]) + F.col(own["n_words"]))
+
+
+def _judged(docs: DataFrame, width: float, least_docs: int) -> tuple[DataFrame, dict[str, str], Column, Column]:
+    """Measured rows beside their bands; their measures' names, whether the base rules fail and whether to keep."""
+    rows, own = measured(docs, fit(docs))
+    table = bands(rows, own, least_docs).select(*(F.col(c).alias(f"_band_{own['language']}_{c}") for c in ("language", "middle", "spread")))
+    language, middle, spread = table.columns
+    joined = rows.join(F.broadcast(table), F.col(own["language"]) == F.col(language), "left")  # a row a language
+    room = width * F.sqrt(F.col(spread) ** 2 + NOISE**2 / (F.col(own["word_chars"]) + F.col(own["n_words"])))
+    failed = base_failed(own["n_words"], own["n_repeat_words"])
+    inside = F.coalesce(F.abs(_log_perplexity(own) - F.col(middle)) <= room, F.lit(True))
+    return joined, own, failed, ~failed & inside
 
 
 def assess(docs: DataFrame, width: float = BAND_WIDTH, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -363,53 +400,14 @@ def assess(docs: DataFrame, width: float = BAND_WIDTH, least_docs: int = LEAST_D
     half of them in repeated three-word windows. ``kept``: not failed, and the log perplexity
     inside the bands of the language. Null texts have no words, no perplexity and fail; a null
     lang (or no such column) is a language of its own; a language with fewer than ``least_docs``
-    documents has no bands. Null doc_ids and repeated rows keep their rows.
+    documents has the bands of all. Null doc_ids and repeated rows keep their rows.
     """
-    measured = stored(measures(docs, fit(docs)), "measures")
-    limits = bands(measured, least_docs)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(k, *v) for k, v in limits.items()], "language string, middle double, spread double")
-    room = width * F.sqrt(F.col("spread") * F.col("spread") + NOISE**2 / (F.col("word_chars") + F.col("n_words")))
-    inside = F.coalesce(F.abs(F.col("log_perplexity") - F.col("middle")) <= room, F.lit(True))
-    return (
-        measured.join(F.broadcast(table), "language", "left")
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & inside)
-        .select("doc_id", *(n for n, _ in _MEASURES[:-1]), "base_failed", "kept", "log_perplexity")
-    )
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["lang"] if "lang" in docs.columns else []))
+    rows, own, failed, keep = _judged(read, width, least_docs)
+    return rows.select("doc_id", *(F.col(own[c]).alias(c) for c in COUNTERS), failed.alias("base_failed"), keep.alias("kept"), _log_perplexity(own).alias("log_perplexity"))
 
 
 def keep_good(docs: DataFrame, width: float = BAND_WIDTH, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, all columns; a pass decides rows where they lie."""
-    models = fit(docs)
-    limits = bands(stored(measures(docs, models), "measures"), least_docs)
-    spark, names, schema = docs.sparkSession, docs.columns, docs.schema
-    text_at, lang_at = names.index("text"), names.index("lang") if "lang" in names else None
-
-    def one(block: dict, own: DataFrame) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = _Scorer(sent.value)
-            for batch in slices(batches):
-                texts = [(t or "").encode() for t in batch.column(text_at).to_pylist()]
-                langs = [UNKNOWN if x is None else str(x) for x in batch.column(lang_at).to_pylist()] if lang_at is not None else [UNKNOWN] * len(texts)
-                keep = [_verdict(m, limits.get(x), width) for m, x in zip(_measured(scorer, langs, texts), langs, strict=True)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        return own.mapInArrow(run, schema)
-
-    if len(models) < 2:
-        return one(models[0] if models else {}, docs)
-    lang, named = _language(docs), sorted({k for m in models for k in m})
-    parts = [one(m, docs.filter(lang.isin(list(m)))) for m in models]
-    return reduce(DataFrame.unionAll, [*parts, one({}, docs.filter(~lang.isin(named)))])
-
-
-def _verdict(measured: tuple, limits: tuple[float, float] | None, width: float) -> bool:
-    n, chars, repeats, log_ppl = measured[0], measured[1], measured[4], measured[5]
-    if n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n:
-        return False
-    if limits is None:
-        return True
-    return abs(log_ppl - limits[0]) <= width * (limits[1] ** 2 + NOISE**2 / (chars + n)) ** 0.5
+    """The rows of ``docs`` that ``assess`` keeps, all columns; texts are scored once and never shuffled."""
+    rows, _, _, keep = _judged(docs, width, least_docs)
+    return rows.filter(keep).select(*docs.columns)

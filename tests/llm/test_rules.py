@@ -28,58 +28,104 @@ TEXTS = ["", None, " \n\t", "one", "a b c a b c", "a a a a", "x y\nx y\n\n \nx y
 
 def test_counters_match_brute_force(spark):
     rng = random.Random(2)
-    prose = [" ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 7))) for _ in range(rng.choice([70, 200]))) for _ in range(60)]
-    texts = TEXTS + prose + ["#%& " * 30 + "JUNKJUNK " * 5 + " ".join(f"Q{i}%%ZZXX" for i in range(80))]
-    rows = [(i, t, "en" if i % 7 else None, 1.0) for i, t in enumerate(texts)] + [(None, "a b", "en", 1.0), (0, "", "en", 1.0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, log_perplexity double")
+    say = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(n))
+    prose = [say("abcdeé", rng.choice([70, 200])) for _ in range(60)]
+    junk = ["#%& " * 30 + "JUNKJUNK " * 5 + " ".join(f"Q{i}%%ZZXX" for i in range(80)), say("жзийклмнопрст", 150), say("漢字仮名交文", 150)]
+    texts = TEXTS + prose + junk
+    rows = [(i, t, "en" if i % 7 or i >= len(texts) - 3 else None, 1.0) for i, t in enumerate(texts)] + [(None, "a b", "en", 1.0), (0, "", "en", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _log_sum double")
     out = R.assess(df, least_docs=5).collect()
     assert len(out) == len(rows)
     for r in out:
         text = "a b" if r.doc_id is None else texts[r.doc_id]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(text), text
         assert not (r.base_failed and r.kept)
+        assert (r.log_perplexity is None) == (r.n_words == 0)
     kept = {r.doc_id for r in out if r.kept}
-    assert len(kept) > 50 and len(texts) - 1 not in kept
-    assert {r.doc_id for r in R.keep_good(df, least_docs=5).collect()} == kept
+    assert len(kept) > 50 and not kept & set(range(len(texts) - 3, len(texts)))
+    good = R.keep_good(df, least_docs=5)
+    assert good.schema == df.schema and {r.doc_id for r in good.collect()} == kept
     assert R.assess(df.limit(0)).count() == 0 and R.keep_good(df.limit(0)).count() == 0
 
 
-def test_languages_in_blocks_give_the_same(spark, monkeypatch):
+def test_repeated_words_of_very_many_kinds(monkeypatch):
+    assert R.repeated([b"%d" % x for x in (5, 6, 2**21 + 9, 5, 7, 9, 1, 2)]) == 0
+    many = [b"%d" % i for i in range(2_100_000)]
+    assert R.repeated(many) == 0 and R.repeated([*many, *many[-3:]]) == 6
+    rng = random.Random(3)
+    for wide in (2_000_000, 1):
+        monkeypatch.setattr(R, "WIDE", wide)
+        for _ in range(200):
+            words = rng.choices("abc", k=rng.randrange(12))
+            assert R.repeated([w.encode() for w in words]) == brute(" ".join(words))[4]
+
+
+def test_bands_of_rare_languages(spark):
     rng = random.Random(4)
-    rows = [(i, " ".join("".join(rng.choices("abcde", k=4)) for _ in range(60)), f"l{i % 3}") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    whole = sorted(map(tuple, R.assess(df, least_docs=5).collect()))
-    monkeypatch.setattr(R, "BLOCK_BYTES", 1)
-    assert len(R.fit(df)) == 3 and sorted(map(tuple, R.assess(df, least_docs=5).collect())) == whole
-    assert R.keep_good(df, least_docs=5).count() == sum(r[-2] for r in whole)
-
-
-def test_model_matches_a_direct_computation():
-    words = ["abba", "abab", "cab", "bad", "a", "dada", "Abe", "b2b", "a-a"] * 3 + ["rare", "daba", "caba"]
-    seen = Counter(words)
-    keys, sizes = R.four_grams(list(seen))
+    rows = [(i, " ".join("".join(rng.choices("abcde", k=4)) for _ in range(60)), "xx" if i < 50 else "yy") for i in range(52)]
+    rows[51] = (51, " ".join("".join(rng.choices("αβγδεζηθικλμνξοπ", k=9)) for _ in range(60)), "yy")
+    kept = {r.doc_id for r in R.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert 51 not in kept and len(kept) > 45
+
+
+def direct(texts):
+    """Log probabilities with one occurrence left out, straight from the definition; and the probabilities."""
     counts = Counter()
-    for k, n in zip(keys.tolist(), np.repeat(list(seen.values()), sizes).tolist(), strict=True):
-        counts[tuple(k >> 5 * i & 31 for i in (3, 2, 1, 0))] += n
-    model = R.KneserNey(np.array([sum(s << 5 * i for s, i in zip(g, (3, 2, 1, 0), strict=True)) for g in counts]), np.array(list(counts.values())))
-    levels = [counts]
-    for _ in range(3):
-        levels.append(Counter(g[1:] for g in levels[-1]))
-
-    def p(gram):
-        if not gram:
-            return 1 / 32
-        level = levels[4 - len(gram)]
-        d = R._discounts(np.array(list(level.values())))
-        own = {g[-1]: n for g, n in level.items() if g[:-1] == gram[:-1]}
-        if not own:
-            return p(gram[1:])
-        total = sum(own.values())
-        n = own.get(gram[-1], 0)
-        return (n - d[min(n, 3)]) / total + sum(d[min(x, 3)] for x in own.values()) / total * p(gram[1:])
-
-    rng = random.Random(1)
-    tests = [*list(counts)[:40], *(tuple(rng.randrange(32) for _ in range(4)) for _ in range(60)), (0, 0, 0, 31), (1, 2, 2, 9)]
-    got = model.log_p(np.array([sum(s << 5 * i for s, i in zip(g, (3, 2, 1, 0), strict=True)) for g in tests]))
-    assert got == pytest.approx([math.log(p(g)) for g in tests], abs=1e-9)
-    assert sum(math.exp(x) for x in model.log_p(np.array([(1 << 15) + (2 << 10) + (2 << 5) + s for s in range(32)]))) == pytest.approx(1)
+    for text in texts:
+        s = " " * 4 + "".join(w + " " for w in text.split())
+        counts.update(s[i : i + 5] for i in range(len(s) - 4))
+    levels = {5: counts}
+    for k in (4, 3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    size = len(levels[1])
+    discounts = {}
+    for k, level in levels.items():
+        n1, n2, n3, n4 = (sum(n == j for n in level.values()) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 and n4 else [0.5, 0.75, 1.0]
+        discounts[k] = [0, *(max(x, R.LEAST_DISCOUNT) for x in d)] if n1 and n2 and n3 and n4 else [0, *d]
+
+    def p(gram, out):
+        k = len(gram)
+        if k == 0:
+            return 1 / (size + 1)
+        own = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1]}
+        gone = out and own[gram] == 1
+        if out:
+            own[gram] -= 1
+        total, d = sum(own.values()), discounts[k]
+        low = p(gram[1:], gone)
+        if total == 0:
+            return low
+        n = own.get(gram, 0)
+        return (n - d[min(n, 3)]) / total + sum(d[min(x, 3)] for x in own.values()) / total * low
+
+    return counts, p
+
+
+def test_model_matches_a_direct_computation(spark, monkeypatch):
+    texts = ["abba abab cab bad a dada Abe b2b", "a-a rare daba caba abba", "привет мир, привет", "漢字 𝒜𝒷 漢字漢", "abba abab\tcab"]
+    df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    counts, p = direct(texts)
+    rows = {r.gram: r for r in R.kneser_ney(R.count_grams(df)).collect()}
+    assert set(rows) == set(counts)
+    for g, r in rows.items():
+        assert (r.p, r.q) == pytest.approx((p(g, False), p(g, True)), rel=1e-9), g
+    whole = {r.doc_id: r.log_perplexity for r in R.assess(df).collect()}
+    for i, text in enumerate(texts):
+        s = " " * 4 + "".join(w + " " for w in text.split())
+        assert whole[i] == pytest.approx(-sum(math.log(p(s[k : k + 5], True)) for k in range(len(s) - 4)) / (len(s) - 4), rel=1e-5)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 300)
+    assert len(R.fit(df)) > 2 and {r.doc_id: r.log_perplexity for r in R.assess(df).collect()} == pytest.approx(whole, rel=1e-5)
+
+
+def test_counting_grams_of_large_alphabets():
+    words = [[chr(0x4E00 + (7 * i * i) % 9000).encode() for i in range(9000)], [], [b"ab", b"ab"]]
+    codes, starts = R.streams(words)
+    grams, n = R.counted(codes, starts)
+    want = Counter()
+    for w in words:
+        s = "    " + "".join(x.decode() + " " for x in w)
+        want.update(s[i : i + 5] for i in range(len(s) - 4))
+    assert dict(zip(grams, n.tolist(), strict=True)) == want
+    assert R.counted(*R.streams([]))[0] == [] and R.counted(*R.streams([[], []]))[0] == []
