@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def as_bytes(name: str = "text"):
@@ -23,8 +23,8 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
-def arrow_map(df: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
-    """Rows of ``kernel(*columns)`` for each Arrow batch of ``df``.
+def arrow_map(df: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str, rows: int = 2048) -> DataFrame:
+    """Rows of ``kernel(*columns)`` for parts of at most ``rows`` rows of each Arrow batch of ``df``.
 
     The kernel gets the batch's columns as Python lists and yields one tuple for each row it
     makes. A batch holds at most spark.sql.execution.arrow.maxBytesPerBatch bytes, so memory
@@ -33,21 +33,21 @@ def arrow_map(df: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, rows):
             if batch.num_rows:
-                rows = list(kernel(*(c.to_pylist() for c in batch.columns)))
-                if rows:
+                made = list(kernel(*(c.to_pylist() for c in batch.columns)))
+                if made:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow, strict=True)], schema=arrow
+                        [pa.array(x, type=f.type) for x, f in zip(zip(*made), arrow, strict=True)], schema=arrow
                     )
 
     return df.mapInArrow(run, schema)
 
 
-def rewrite(df: DataFrame, decide: Callable[[list[str]], tuple[list[bool] | None, list[str] | None]]) -> DataFrame:
+def rewrite(df: DataFrame, decide: Callable[[list[str]], tuple[list[bool] | None, list[str] | None]], rows: int = 512) -> DataFrame:
     """``df`` with rows dropped and texts changed by one pass that never shuffles.
 
-    ``decide`` gets a batch's texts (null as empty) and returns which rows stay (None: all) and
+    ``decide`` gets the texts of at most ``rows`` rows (null as empty) and returns which rows stay (None: all) and
     the new texts (None: unchanged; an entry of None leaves its row as it is, null included).
     n_chars follows a changed text where there is such a column. Other columns pass untouched,
     whatever their names and types.
@@ -56,7 +56,7 @@ def rewrite(df: DataFrame, decide: Callable[[list[str]], tuple[list[bool] | None
     text_at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, rows):
             old = batch.column(text_at).to_pylist()
             keep, new = decide([t or "" for t in old])
             columns = list(batch.columns)
@@ -72,3 +72,24 @@ def rewrite(df: DataFrame, decide: Callable[[list[str]], tuple[list[bool] | None
             yield batch if keep is None else batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, schema)
+
+
+def beside(df: DataFrame, kernel: Callable[[list[bytes]], list], field: StructField) -> DataFrame:
+    """``df`` with one more column, made from the texts (UTF-8, null as empty) of some rows at a time."""
+    schema, text_at = StructType([*df.schema.fields, field]), df.columns.index("text")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = kernel([(t or "").encode() for t in batch.column(text_at).to_pylist()])
+            columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, arrow[-1].type)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, behind as many underscores as it takes to clash with no column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

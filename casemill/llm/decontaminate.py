@@ -6,16 +6,16 @@ match of ``window`` words or more covers its last ``window`` words; items shorte
 occur whole. What is hit is the union of these occurrences.
 
 The benchmark is a stated set of queries: it is read on the driver item by item, in blocks of
-``block_words`` words, and each block's automaton is sent to all documents in a pass of its own.
-So what is broadcast has a bound, whatever the size of the benchmark; blocks meet again by
-document. Documents are never shuffled when the benchmark is one block.
+``block_words`` words, each sent to the executors by itself. A worker takes some documents, streams
+them through the automaton of each block in turn and unites what the blocks hit, row by row. So
+every automaton has a bounded size, results do not depend on the blocks, and documents are never
+shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -176,42 +176,56 @@ def _byte_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, in
     return [(ends[a][0], ends[b - 1][1]) for a, b in spans]
 
 
+class _Sent:
+    """The blocks of the benchmark on the executors, and the automata that a worker builds from them."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> None:
+        spark = docs.sparkSession.sparkContext
+        self.blocks = [spark.broadcast((block, window)) for block in _blocks(benchmark, block_words)]
+        #: Rows that are taken together: more where automata have to be built for them.
+        self.rows = 2048 if len(self.blocks) == 1 else 10_000
+
+    def hits(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set]]:
+        """Number of words, runs of words that are hit and items found, of each text."""
+        sizes: list[int] = [0] * len(texts)
+        spans: list[list] = [[] for _ in texts]
+        found: list[set] = [set() for _ in texts]
+        for block in self.blocks:
+            automaton = _automaton(block)
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                runs, items = automaton.hits(words)
+                sizes[i] = len(words)
+                spans[i] += runs
+                found[i] |= items
+            if len(self.blocks) > 1:  # one block at a time in a worker's memory
+                vars(block).pop("_value", None)
+        return [(n, merged(s), f) for n, s, f in zip(sizes, spans, found, strict=True)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, n_words, n_hit, items, spans)``, one row for each row of ``docs``.
 
     ``items`` are the item_ids with occurring windows, sorted as strings; ``spans`` the hit runs
     as byte offsets (``start``, ``stop``) into the UTF-8 text. A null text has no words; items
     without words or without an id are never found; an empty benchmark hits nothing. Repeated
-    rows give repeated results as long as the benchmark fits one block, else doc_id identifies a
-    document and equal doc_ids must carry equal texts.
+    rows and null doc_ids keep their rows; other columns do not matter.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>, runs array<struct<start:int,stop:int>>"
-
-    def one(block: list) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast((block, window))
+    sent = _Sent(docs, benchmark, window, block_words)
 
-        def kernel(ids: list, texts: list) -> Iterator[tuple]:
-            automaton = _automaton(sent)
-            for doc_id, text in zip(ids, texts, strict=True):
-                words = words_of(text)
-                runs, found = automaton.hits(words)
-                spans = _byte_spans(text, runs) if runs else []
-                yield doc_id, len(words), sum(b - a for a, b in runs), sorted(found), _structs(spans), _structs(runs)
-
-        return arrow_map(rows, kernel, schema)
+    def kernel(ids: list, texts: list) -> Iterator[tuple]:
+        for doc_id, text, (n, runs, found) in zip(ids, texts, sent.hits(texts), strict=True):
+            yield doc_id, n, sum(b - a for a, b in runs), sorted(found), _structs(_byte_spans(text, runs) if runs else [])
 
-    parts = [one(block) for block in _blocks(benchmark, block_words)]
-    if len(parts) == 1:
-        return parts[0].drop("runs")
-    return _joined(reduce(DataFrame.unionAll, parts))
+    rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
+    return arrow_map(rows, kernel, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>", sent.rows)
 
 
 _built: list = [None, None]
 
 
 def _automaton(sent) -> Automaton:
-    """Built once a worker and block."""
+    """That of the block a worker had last is kept."""
     if _built[0] is not (value := sent.value):
         _built[:] = value, Automaton(*value)
     return _built[1]
@@ -221,33 +235,6 @@ def _structs(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "stop": b} for a, b in spans]
 
 
-def _joined(parts: DataFrame) -> DataFrame:
-    """One row for each document from those of several blocks; only hits are gathered."""
-    spread = parts.select("doc_id", "n_words", "items", "spans", "runs")
-    gathered = spread.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
-    )
-
-    def union(name: str):
-        return F.expr(
-            f"aggregate({name}, cast(array() as array<struct<start:int,stop:int>>), (acc, x) -> "
-            "if(size(acc) = 0 or x.start > element_at(acc, -1).stop, concat(acc, array(x)), "
-            "concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, "
-            "'stop', greatest(element_at(acc, -1).stop, x.stop))))))"
-        )
-
-    return gathered.select(
-        "doc_id",
-        "n_words",
-        F.aggregate(union("runs"), F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"]).alias("n_hit"),
-        "items",
-        union("spans").alias("spans"),
-    )
-
-
 def _cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
     for a, b in spans:
@@ -262,36 +249,16 @@ def decontaminate(
     """``docs`` without what the benchmark has in it.
 
     Hit runs are cut out of a text (n_chars, where there is one, follows); a document more than
-    ``max_coverage`` of whose words are hit goes. Others stay as they are. With one block rows
-    are decided where they lie, nothing is shuffled. With more blocks the decisions are joined by
-    doc_id: equal doc_ids must then carry equal texts, and rows without a doc_id stay.
+    ``max_coverage`` of whose words are hit goes. Others stay as they are. Every row is decided
+    where it lies, whatever its id.
     """
-    blocks = _blocks(benchmark, block_words)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        sent = docs.sparkSession.sparkContext.broadcast((first, window))
-
-        def decide(texts: list[str]) -> tuple[list[bool], list]:
-            automaton, keep, new = _automaton(sent), [], []
-            for text in texts:
-                raw = text.encode()
-                words = words_of(raw)
-                runs, _ = automaton.hits(words)
-                keep.append(sum(b - a for a, b in runs) <= max_coverage * len(words))
-                new.append(_cut_out(raw, _byte_spans(raw, runs)).decode() if runs else None)
-            return keep, new
-
-        return rewrite(docs, decide)
-    found = contamination(docs, benchmark, window, block_words).filter("n_hit > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    hit = found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), (F.col("n_hit") > max_coverage * F.col("n_words")).alias("_goes"))
-    joined = docs.join(hit, docs["doc_id"] == F.col("_id"), "left").filter("NOT coalesce(_goes, false)")
-    cut = F.expr(
-        "cast(aggregate(_spans, named_struct('t', cast('' as binary), 'at', 0), (acc, s) -> named_struct('t', "
-        "concat(acc.t, substring(cast(text as binary), acc.at + 1, s.start - acc.at)), 'at', s.stop), "
-        "acc -> concat(acc.t, substring(cast(text as binary), acc.at + 1))) as string)"
-    )
-    out = joined.withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        size = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-        out = out.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    sent = _Sent(docs, benchmark, window, block_words)
+
+    def decide(texts: list[str]) -> tuple[list[bool], list]:
+        keep, new, raw = [], [], [t.encode() for t in texts]
+        for text, (n, runs, _) in zip(raw, sent.hits(raw), strict=True):
+            keep.append(sum(b - a for a, b in runs) <= max_coverage * n)
+            new.append(_cut_out(text, _byte_spans(text, runs)).decode() if runs else None)
+        return keep, new
+
+    return rewrite(docs, decide, min(sent.rows, 512) if len(sent.blocks) == 1 else sent.rows)
