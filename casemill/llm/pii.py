@@ -47,21 +47,15 @@ def _turns(text: str, pattern: str) -> str:
     return f"zip_with(regexp_extract_all({text}, {pattern}, 0), {pieces}, (m, g) -> named_struct('m', m, 'g', g))"
 
 
-def _find(kind: str, pattern: str, text: str) -> str:
-    """All matches as spans in code points, leftmost and non-overlapping: pieces between and matches by turns."""
+TURN = "struct<k:int,i:int,g:int,n:int,entity:string>"
+
+
+def _found(kind: str, pattern: str, text: str) -> str:
+    """All matches of a kind by turns: its number, the piece before it and its length in code points, and its entity if it passes."""
     k = KINDS.index(kind)
     quick = f"contains({text}, '@')" if kind == "email" else f"{text} rlike {_quoted(_QUICK[kind])}"
-    return f"""
-if({quick},
-   aggregate(
-     {_turns(text, _quoted(pattern))},
-     named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
-     (acc, x) -> if(x.m is null, acc, named_struct('at', acc.at + x.g + length(x.m), 'out',
-        if({_passes(kind, "x.m")},
-           array_append(acc.out, named_struct('start', acc.at + x.g, 'k', {k}, 'kind', '{kind}', 'stop', acc.at + x.g + length(x.m))),
-           acc.out))),
-     acc -> acc.out),
-   cast(array() as array<{SPAN}>))"""
+    turn = f"named_struct('k', {k}, 'i', i, 'g', x.g, 'n', length(x.m), 'entity', if({_passes(kind, 'x.m')}, concat('{kind}:', lower(x.m)), null))"
+    return f"if({quick}, transform(filter({_turns(text, _quoted(pattern))}, x -> x.m is not null), (x, i) -> {turn}), cast(array() as array<{TURN}>))"
 
 
 def _digits(m: str) -> str:
@@ -82,10 +76,23 @@ def _passes(kind: str, m: str) -> str:
     return "true"
 
 
-def base_spans(text: str = "text") -> Column:
-    """All spans of fixed shape in ``text`` (not null), by start and then kind."""
-    found = [_find(k, p, text) for k, p in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))]
-    return F.expr(f"array_sort(concat({', '.join(found)}))")
+def base_turns(text: str = "text") -> Column:
+    """All matches of the fixed shapes in ``text`` (not null), passing or not, by turns."""
+    found = [_found(k, p, text) for k, p in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))]
+    return F.expr(f"concat({', '.join(found)})")
+
+
+def _spans(turns: DataFrame, row: str = "row") -> DataFrame:
+    """``(row, base, entities)`` from ``(row, turns)``: the passing matches as spans, by start and then kind.
+
+    Places are running sums over the turns of a row and kind, so the work is in proportion to them.
+    """
+    spread = turns.select(row, F.inline("turns"))
+    before = Window.partitionBy(row, "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = spread.withColumn("stop", F.sum(F.col("g") + F.col("n")).over(before).cast("int")).filter("entity IS NOT NULL")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
+    span = F.struct((F.col("stop") - F.col("n")).alias("start"), "k", kind.alias("kind"), "stop")
+    return placed.groupBy(row).agg(F.array_sort(F.collect_list(span)).cast(f"array<{SPAN}>").alias("base"), F.collect_set("entity").alias("entities"))
 
 
 def _words(text: str = "text") -> Column:
@@ -96,17 +103,19 @@ def _words(text: str = "text") -> Column:
 def _first_pass(docs: DataFrame) -> DataFrame:
     """Spans and entities; ``key`` is the text's digest, null without a span, and so is the text. ``row`` tells rows apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans())
-    marked = F.size("base") > 0
-    entities = "array_distinct(transform(base, s -> concat(s.kind, ':', lower(substring(text, s.start + 1, s.stop - s.start)))))"
-    return spans.select(
+    turns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("turns", base_turns())
+    marked = F.expr("exists(turns, x -> x.entity is not null)")
+    rows = turns.select(
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
         F.when(marked, F.sha2("text", 256)).alias("key"),
-        "base",
-        F.when(marked, F.expr(entities)).alias("entities"),
         F.when(marked, F.col("text")).alias("text"),
+        F.when(marked, F.col("turns")).alias("turns"),
     )
+    rows = stored(rows, "turns")
+    spans = _spans(rows.filter("key IS NOT NULL").select("row", "turns"))
+    plain = rows.filter("key IS NULL").select("doc_id", "row", "key", "text", F.expr(f"cast(array() as array<{SPAN}>)").alias("base"), F.lit(None).cast("array<string>").alias("entities"))
+    return plain.unionAll(rows.filter("key IS NOT NULL").drop("turns").join(spans, "row").select(plain.columns))
 
 
 def _repeated(found: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
@@ -161,18 +170,29 @@ def scan(docs: DataFrame, max_disclosure: float = MAX_DISCLOSURE, support: int =
     n_e, held = _repeated(found, support)
     flagged = stored(held.join(disclosing(docs, found, n_e, held, max_disclosure, support), "entity").select("row", "key", "term").distinct(), "flagged")
     texts = found.filter("key IS NOT NULL").select("row", "key", "text").join(flagged.select("row").distinct(), "row", "left_semi")
-    terms = (
-        _places(texts)
-        .join(flagged, ["key", "term"])
-        .select("key", F.struct("start", F.lit(4).alias("k"), F.lit("term").alias("kind"), "stop").alias("t"))
-        .groupBy("key")
-        .agg(F.collect_set("t").alias("terms"))
-    )
+    terms = _places(texts).join(flagged, ["key", "term"]).select("key", "start", "stop")
+    terms = _free(terms, found.filter("key IS NOT NULL").select("key", F.col("base")).join(flagged.select("row", "key").distinct().select("key").distinct(), "key", "left_semi"))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    free = F.expr("filter(terms, t -> NOT exists(base, s -> s.start < t.stop AND t.start < s.stop))")
     plain = found.filter("key IS NULL").select("doc_id", F.col("base").alias("spans"))
     marked = found.filter("key IS NOT NULL").select("doc_id", "key", "base").join(terms, "key", "left")
-    return plain.union(marked.select("doc_id", F.array_sort(F.concat("base", F.coalesce(free, none))).alias("spans")))
+    return plain.union(marked.select("doc_id", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans")))
+
+
+def _free(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(key, terms)``: the places that overlap no base span, as spans. ``texts``: ``(key, base)``, copies of a key alike.
+
+    By place: a base span counts from its start, a term is asked at its stop, and overlaps if a
+    base span that began before then stops after the term's start.
+    """
+    base = texts.groupBy("key").agg(F.first("base").alias("base")).select("key", F.inline("base"))
+    at = base.select("key", F.col("start").alias("at"), F.lit(1).alias("what"), "start", "stop").unionAll(
+        terms.distinct().select("key", F.col("stop").alias("at"), F.lit(0).alias("what"), "start", "stop")
+    )
+    so_far = Window.partitionBy("key").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("what") == 1, F.col("stop"))).over(so_far)
+    free = at.withColumn("reach", reach).filter((F.col("what") == 0) & (F.coalesce("reach", F.lit(0)) <= F.col("start")))
+    span = F.struct("start", F.lit(KINDS.index("term")).alias("k"), F.lit("term").alias("kind"), "stop")
+    return free.groupBy("key").agg(F.collect_list(span).cast(f"array<{SPAN}>").alias("terms"))
 
 
 def generalised(text: Column, spans: Column) -> Column:

@@ -1,8 +1,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from casemill.llm import pii
 
 SHAPES = {
@@ -67,11 +70,22 @@ def test_terms_match_a_direct_computation(spark):
 
 
 def test_generalising(spark):
-    df = spark.createDataFrame([("mail é a@b.cd or +1 555 123 4567",), ("",), ("none",)], "text string")
-    out = df.select(pii.generalised(df.text, pii.base_spans("text")).alias("t")).collect()
+    df = spark.createDataFrame([(1, "mail é a@b.cd or +1 555 123 4567"), (2, ""), (3, "none")], "doc_id long, text string")
+    out = df.join(pii.scan(df), "doc_id").orderBy("doc_id").select(pii.generalised(F.col("text"), F.col("spans")).alias("t")).collect()
     assert [r.t for r in out] == ["mail é [EMAIL] or [PHONE]", "", "none"]
 
 
+def test_very_many_matches_in_one_text(spark):
+    """A log of 200,000 addresses, with terms beside them, takes time in proportion."""
+    log = "10.1.2.3 Zorblatt " * 200_000
+    rows = [(1, log), (2, "Zorblatt 10.1.2.3"), *[(i, "filler") for i in range(3, 40)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    out = {r.doc_id: r for r in pii.scan(df).select("doc_id", F.size("spans").alias("n"), F.expr("try_element_at(spans, -1)").alias("last")).collect()}
+    assert time.time() - began < 60
+    assert out[1].n == 400_000 and (out[1].last.start, out[1].last.stop) == (len(log) - 9, len(log) - 1) and out[2].n == 2
+
+
 def test_terms_far_from_the_entity_are_found_and_marked_everywhere(spark):
     gap = " filler" * 30 + ". "
     texts = {1: f"Zorblatt Qu came.{gap}mail zz@top.org{gap}zorblatt, said QU", 2: f"zz@top.org{gap}so Zorblatt and qu", 3: "a zorblattish filler"}
