@@ -23,24 +23,25 @@ from casemill.llm.arrow import arrow_map
 from casemill.llm.crf import LinearChainCRF
 from casemill.llm.html_samples import labelled_pages
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"[^\s/>]*+")
+_STOP = re.compile("[>\"']")
+_BIG_REFERENCE = re.compile(r"&#(?:0*([0-9]*)|[xX]0*([0-9a-fA-F]*));?")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_WORD = re.compile(r"[a-z]+")
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select svg math iframe object canvas".split())
+#: Elements without markup inside: those that run to the end of the page if they are not closed, and those that then have no extent.
+RAW = frozenset("script style textarea title xmp".split())
+HIDDEN = frozenset("noscript template iframe".split())
+CONTROLS = frozenset("select option optgroup textarea datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 "
-    "h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # End of fixed values.
-_ENDS_P = BLOCK - {"button", "label", "legend", "option", "summary", "title"}
+_ENDS_P = BLOCK - {"button", "label", "legend", "optgroup", "option", "select", "summary", "textarea", "title"}
 _SCOPE = frozenset("ul ol table div section article main body html aside nav form td".split())
 
 ANCESTORS = ("article", "main", "nav", "header", "footer", "aside", "form", "head", "li", "ul", "ol", "table", "section", "figure", "blockquote", "button", "label", "a", "div", "p", "pre", "dialog")
@@ -69,68 +70,163 @@ N_FEATURES = _N_OWN + 2 * _SIDE
 Block = tuple[str, tuple]
 
 
+class _Tags:
+    """Where tags end: the next > outside quotes, or else the next one; every quote is followed once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.after: dict[int, int] = {}  # of an opening quote: where the tag that it stands in ends
+        self.unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The end of a tag whose name ends at ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        page, start, path = self.page, at, []
+        while True:
+            m = _STOP.search(page, at)
+            if m is None:
+                end = -1
+            elif m[0] == ">":
+                end = m.start()
+            elif (quote := m.start()) in self.after:
+                end = self.after[quote]
+            else:
+                path.append(quote)
+                at = page.find(m[0], quote + 1) + 1
+                if at:
+                    continue
+                end = -1
+            break
+        for quote in path:
+            self.after[quote] = end
+        return end if end >= 0 else page.find(">", start)
+
+    def close(self, tag: str, at: int) -> tuple[int, int]:
+        """Where the end tag of a raw element begins and ends; -1, -1 if it is never closed."""
+        if tag in self.unclosed:
+            return -1, -1
+        m = _raw_end(tag).search(self.page, at)
+        if m is None:
+            self.unclosed.add(tag)
+            return -1, -1
+        end = self.page.find(">", m.end() - 1)
+        return m.start(), end + 1 if end >= 0 else len(self.page)
+
+
+class _Stack:
+    """Open elements: tag, ancestor tags and hints so far as bits, leaf tag, hints of the nearest named one."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int, int, str, int]] = [("", 0, 0, "body", 0)]
+        self.at: dict[str, list[int]] = {}  # of each tag, and of "scope": places in the stack
+
+    def push(self, tag: str, hints: int) -> None:
+        _, tags, above, leaf, near = self.open[-1]
+        as_ = "form" if tag in CONTROLS else tag
+        for key in (tag, "scope") if tag in _SCOPE else (tag,):
+            self.at.setdefault(key, []).append(len(self.open))
+        self.open.append((tag, tags | (1 << _TAG_OF[as_] if as_ in _TAG_OF else 0), above | hints, tag if tag in BLOCK else leaf, hints or near))
+
+    def cut(self, k: int) -> None:
+        while len(self.open) > k:
+            tag = self.open.pop()[0]
+            self.at[tag].pop()
+            if tag in _SCOPE:
+                self.at["scope"].pop()
+
+    def nearest(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def pop(self, tag: str) -> None:
+        if k := self.nearest((tag,)):
+            self.cut(k)
+
+    def end_by(self, tags) -> None:
+        """Close the nearest of ``tags``, if no element that bounds their scope lies between."""
+        k = self.nearest(tags)
+        if k and k >= self.nearest(("scope",)):
+            self.cut(k)
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded; numbers too large for any character as U+FFFD."""
+
+    def checked(m: re.Match) -> str:
+        digits = m[1] if m[1] is not None else m[2]
+        return m[0] if len(m[0]) < 12 else "\ufffd" if len(digits) > 7 else f"&#{'' if m[1] is not None else 'x'}{digits or 0};"
+
+    return html.unescape(_BIG_REFERENCE.sub(checked, text) if "&#" in text else text)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """``(text, codes)`` of each leaf block: white space turned to one space, references decoded.
 
-    Scripts, styles, comments and other raw elements have no text. Unclosed and stray tags are
+    Scripts, styles, comments and other hidden elements have no text. Unclosed and stray tags are
     read as browsers do in the common cases: an end tag closes what is open inside its element.
+    The time is in proportion to the page, whatever is in it.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, ancestor tags and hints so far as bits
+    stack, tags = _Stack(), _Tags(page)
     pieces: list[str] = []
     linked = 0
     context: tuple[str, int, int, int] | None = None  # leaf tag, tags, hints, hints of the nearest named
-    near = [0]  # nearest ancestor's hints, by depth
 
     def flush() -> None:
         nonlocal linked, context
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join(_decoded("".join(pieces)).split())
             if text:
-                out.append((text, (*context, linked, len(stack))))
+                out.append((text, (*context, linked, len(stack.open))))
             pieces.clear()
         linked, context = 0, None
 
-    def pop(tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                del stack[k:], near[k:]
-                return
-
     def text_at(a: int, b: int) -> None:
         nonlocal linked, context
         if a < b:
             piece = page[a:b]
+            _, bits, hints, leaf, near = stack.open[-1]
             if context is None:
                 if piece.isspace():
                     if pieces:
                         pieces.append(" ")
                     return
-                leaf = next((t for t, _, _ in reversed(stack) if t in BLOCK), "body")
-                context = (leaf, stack[-1][1], stack[-1][2], near[-1])
+                context = (leaf, bits, hints, near)
             pieces.append(piece)
-            if stack[-1][1] & _A_BIT:
+            if bits & _A_BIT:
                 linked += b - a
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        text_at(at, m.start())
-        at = m.end()
-        closing, tag, rest = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
-        if not tag:
+    at = look = 0  # text is read up to ``at``; the next tag is looked for from ``look``
+    while (lt := page.find("<", look)) >= 0:
+        look = lt + 1
+        lead = page[lt + 1 : lt + 3]
+        if lead[:1] in ("!", "?"):
+            text_at(at, lt)
+            closer = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            end = page.find(closer, lt + 2)
+            at = look = end + len(closer) if end >= 0 else len(page)
+            continue
+        closing = lead[:1] == "/"
+        letter = lead[1:2] if closing else lead[:1]
+        if not ("a" <= letter <= "z" or "A" <= letter <= "Z"):
             continue
-        tag = tag.lower()
+        begin = lt + 1 + closing
+        if begin > tags.last:
+            break
+        name_end = _NAME.match(page, begin).end()
+        end = tags.end(name_end)
+        tag, rest = page[begin:name_end].lower(), page[name_end:end]
+        text_at(at, lt)
+        at = look = end + 1
         if closing:
             if tag in BLOCK:
                 flush()
-            pop(tag)
+            stack.pop(tag)
             continue
-        if tag in RAW and not rest.endswith("/"):
-            end = _raw_end(tag).search(page, at)
-            at = end.end() if end else len(page)
-            if tag in ("script", "style", "template", "noscript"):
-                continue
-            pieces.append(" ")
+        if tag in HIDDEN:
+            start, end = tags.close(tag, at)
+            if start >= 0:
+                at = look = end
             continue
         if tag == "br" or tag == "hr" or tag == "img":
             if tag == "hr":
@@ -143,19 +239,10 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
             if tag in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:], near[k:]
-                        break
-                    if stack[k][0] in _SCOPE:
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES.get(tag, ()):
-                    del stack[k:], near[k:]
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-        if rest.endswith("/") and tag not in BLOCK:
+                stack.end_by(("p",))
+            if tag in CLOSES:
+                stack.end_by(CLOSES[tag])
+        if rest.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         hints = 0
         if "=" in rest:
@@ -163,9 +250,15 @@ def leaf_blocks(page: str) -> list[Block]:
                 for word in _NAME_WORD.findall("".join(names).lower()):
                     if word in _HINT_OF:
                         hints |= 1 << _HINT_OF[word]
-        bit = 1 << _TAG_OF[tag] if tag in _TAG_OF else 0
-        stack.append((tag, stack[-1][1] | bit, stack[-1][2] | hints))
-        near.append(hints or near[-1])
+        stack.push(tag, hints)
+        if tag in RAW:  # its text, then its end
+            start, end = tags.close(tag, at)
+            stop = start if start >= 0 else len(page)
+            if tag in ("title", "xmp"):
+                text_at(at, stop)
+                flush()
+            stack.pop(tag)
+            at = look = end if start >= 0 else len(page)
     text_at(at, len(page))
     flush()
     return out
@@ -176,7 +269,7 @@ _A_BIT = 1 << _TAG_OF["a"]
 
 @lru_cache(maxsize=64)
 def _raw_end(tag: str) -> re.Pattern:
-    return re.compile(rf"</{tag}\s*>", re.I)
+    return re.compile(rf"</{tag}[\s/>]", re.I)
 
 
 _IN = sum(1 << _TAG_OF[t] for t in ("article", "main"))

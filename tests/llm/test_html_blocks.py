@@ -1,7 +1,10 @@
 import html
+import random
 import re
+import time
 
 import numpy as np
+import pytest
 
 from casemill.llm import html_blocks as B
 from casemill.llm.html_samples import labelled_pages
@@ -35,6 +38,93 @@ def test_scanning():
     assert len(texts("<p>x</p>" * 20000)) == 20000 and texts("<" * 50000) == ["<" * 50000]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a" * 10**6, "<a " * 10**6, "<a b='" * 10**5, "<a \">\" " * 10**5, "<a '\">" * 10**5, "</" * 10**6, "<!" * 10**6, "<!--" * 10**5, "<![CDATA[" * 10**5, "<div>" * 10**5,
+        "<div>" * 10**5 + "</p>" * 10**5, "<b>" * 10**5 + "<h1>x" * 10**5, "<iframe>x" * 10**5, "<title>x" * 10**5, "<p>" * 10**5 + "</b>" * 10**5, "<b>x" * 10**5, "&#" + "9" * 10**5 + ";" * 5,
+        "<script>" * 10**5, "<a" * 10**6 + ">", "<p class='" * 10**5 + ">", "</script " * 10**5, "<noscript></noscript " * 10**5,
+    ],
+    ids=range(22),
+)
+def test_scanning_takes_time_in_proportion(page):
+    began = time.time()
+    B.leaf_blocks(page)
+    assert time.time() - began < 4
+
+
+def test_unclosed_elements_swallow_nothing():
+    for tag in ("select", "iframe", "object", "svg", "math", "canvas", "noscript", "template"):
+        own = texts(f"<article><p>First.</p><p>Second <{tag}><p>third paragraph</p></article><p>last")
+        assert own[0] == "First." and own[-2:] == ["third paragraph", "last"], tag
+    assert texts("<article><p>a <math><mi>x</mi></math> and <svg><text>y</text></svg> b</p></article>") == ["a x and y b"]
+    assert texts("<p>a<select><option>b<option>c</select>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a<textarea>b</p></textarea>c") == ["a", "c"]
+    assert texts("x&#0000000065;&#99999999999999;&#x00000000000041;y") == ["xA\ufffdAy"]
+
+
+def other_pages(n, seed):
+    """Pages of another make than the training ones: no article element, tables for layout, nested comments, other words."""
+    rng = random.Random(seed)
+    nouns = "harbour ministry engine valley orchestra committee festival river school museum bridge contract winter farmer signal doctor".split()
+    verbs = "opened reported crossed measured visited refused repaired announced compared followed".split()
+
+    def sentence():
+        return f"The {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)} and the {rng.choice(nouns)} {rng.choice(verbs)} it".capitalize() + rng.choice([".", ".", ", they said.", "!"])
+
+    for _ in range(n):
+        blocks = []
+
+        def put(text, main, blocks=blocks):
+            blocks.append((text, main))
+            return html.escape(text)
+
+        def para(main, low=1, high=5, put=put):
+            return put(" ".join(sentence() for _ in range(rng.randint(low, high))), main)
+
+        def comment(depth, para=para, put=put):
+            inner = f'<div class="comment-body"><span>{put(rng.choice(nouns).title() + " wrote", 0)}</span><p>{para(0, 1, 2)}</p></div>'
+            return f'<li class="comment depth-{depth}">{inner}' + (f'<ul class="children">{comment(depth + 1)}</ul>' if depth < 3 and rng.random() < 0.6 else "") + "</li>"
+
+        def links(put=put):
+            return "".join(f'<a href="/{k}">{put(rng.choice(nouns).title(), 0)}</a></li><li>' for k in range(rng.randint(3, 7)))
+
+        menu = f'<div id="top-menu"><ul><li>{links()}</li></ul></div>'
+        head = f'<div class="site-header"><h2>{put("Daily " + rng.choice(nouns), 0)}</h2></div>'
+        title = f"<h1>{put(sentence()[:-1], 1)}</h1>"
+        body = title + "".join(
+            rng.choice([lambda: f"<p>{para(1)}</p>", lambda: f"<p>{para(1)}</p>", lambda: f"<h2>{put(rng.choice(nouns).title() + ' news', 1)}</h2><p>{para(1)}", lambda: f"<blockquote>{para(1)}</blockquote>"])()
+            for _ in range(rng.randint(3, 9))
+        )
+        foot = f'<div class="footer"><p>{put("© 2020 Daily news. All rights reserved.", 0)}</p></div>'
+        kind = rng.randrange(4)
+        talk = f'<div id="comments"><h3>{put("Comments", 0)}</h3><ol class="commentlist">{"".join(comment(1) for _ in range(rng.randint(1, 3)))}</ol></div>' if rng.random() < 0.5 else ""
+        if kind == 0:
+            side = f'<td class="sidebar"><h4>{put("Most read", 0)}</h4><ul><li>{links()}</li></ul></td>' if rng.random() < 0.5 else ""
+            text = menu + head + "<table><tr><td class='content'>" + body + "</td></tr></table>" + foot + talk + ("<table><tr>" + side + "</tr></table>" if side else "")
+        elif kind == 1:
+            text = menu + head + f'<div id="main"><div class="entry-content">{body}</div></div>' + foot + talk
+        elif kind == 2:
+            text = menu + head + f'<main class="page"><section>{body}</section></main>' + foot + talk
+        else:  # names that tell nothing
+            text = re.sub('(class|id)="[^"]*"', lambda m: f'class="x{rng.randrange(99)}"', menu + head + f'<div id="w"><div class="q">{body}</div></div>' + foot + talk)
+        yield f"<html><body>{text}</body></html>", blocks
+
+
+def test_pages_of_another_make():
+    """Figures of the README: 200 pages that share nothing with the training generator."""
+    field, right, main, total = B.trained(), 0, [0, 0, 0], 0
+    for page, blocks in other_pages(200, 5):
+        own = B.leaf_blocks(page)
+        assert [t for t, _ in own] == [t for t, _ in blocks]
+        got, want = field.decode(*B.codes_of([own])), np.array([y for _, y in blocks])
+        right += (got == want).sum()
+        total += len(want)
+        main = [main[0] + (got & want).sum(), main[1] + got.sum(), main[2] + want.sum()]
+    print("accuracy", right / total, "precision", main[0] / main[1], "recall", main[0] / main[2])
+    assert right / total > 0.9 and main[0] / main[2] > 0.9
+
+
 def test_extraction_of_whole_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     out = {r.page_id: r for r in B.extract(pages).collect()}
