@@ -6,7 +6,12 @@ of symbols; each round looks up the rank of every adjacent pair, takes the least
 word by a segmented minimum, merges the leftmost pair of that rank in all words at the same
 time, and compacts the array; words without a pair left drop out. One merge a word and round is
 exactly the order of the library, which after each merge looks at the new neighbours first.
-Very long words go through a heap instead, so their cost stays n log n.
+
+Words of more than ``LONG`` symbols (runs without a space, such as encoded data) are the one
+departure: they merge in the same order, pair by pair, through a heap. A word of n symbols takes
+some n / 2 rounds over what is left of it, so its rounds take n squared: 0.05 s for 2,000 symbols,
+2.8 s for 40,000 and by that about half an hour for a million, against 0.07 s for 40,000 by the heap.
+The ids are the same; tests compare both with each other and with the library.
 
 The model file is read by the driver, whatever its path, and sent to the executors as bytes: its
 size is that of a vocabulary, which does not grow with the data.

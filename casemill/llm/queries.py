@@ -84,7 +84,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archived(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
@@ -148,15 +148,22 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
 """,
     "op9_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
 g AS (SELECT h, max(page_id) AS "to" FROM p GROUP BY h),
-x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, nullif("to", page_id) AS refers_to
-      FROM p JOIN g USING (h))
-SELECT page_id, payload_bytes,
+x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, nullif("to", page_id) AS refers_to, url, h
+      FROM p JOIN g USING (h)),
+r AS (SELECT page_id, payload_bytes,
        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
            ((16 * (instr('0123456789abcdef', substr(s, 5 * i // 4 + 1, 1)) - 1)
              + instr('0123456789abcdef', substr(s, 5 * i // 4 + 2, 1)) - 1) >> (3 - 5 * i % 4)) & 31) AS BIGINT), 1)), '') AS payload_digest,
-       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
-FROM x
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url, h
+FROM x)
+SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, sha256(concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || record_type,
+         'WARC-Record-ID: <urn:page:' || page_id || '>', 'WARC-Date: 1970-01-01T00:00:00Z', 'WARC-Target-URI: ' || url, 'WARC-Payload-Digest: sha1:' || payload_digest,
+         'WARC-Refers-To: <urn:page:' || refers_to || '>',
+         CASE WHEN refers_to IS NOT NULL THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+         'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || CASE WHEN refers_to IS NULL THEN payload_bytes ELSE 0 END, '',
+         CASE WHEN refers_to IS NULL THEN h ELSE '' END) || chr(13) || chr(10) || chr(13) || chr(10)) AS record_sha256
+FROM r
 """,
 }

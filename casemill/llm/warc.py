@@ -3,7 +3,8 @@
 The archive is two tables. ``payloads`` holds the bytes of each distinct payload once, under a
 strong digest; ``records`` holds the exact header block of every record and the digest of its
 payload. Payloads count as equal when SHA-256, SHA-1 and length all agree, and each read checks
-the stored bytes against their digest before a record is rebuilt by a join on it.
+the stored bytes against their digest before a record is rebuilt by a join on it. Payloads are
+stored in buckets of that digest, so the join does not shuffle them.
 
 Equal payloads meet in partial aggregates before they are shuffled, so a payload that a third of
 all pages share costs a row a task. Who is the response is settled over digests alone. A reader
@@ -77,24 +78,47 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = N
         F.lit("\r\n"),
     )
     named.select(header.cast("binary").alias("header"), "content").write.parquet(f"{path}/records")
-    whole.select(key.alias("content"), "payload").groupBy("content").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    _write_payloads(whole.select(key.alias("content"), "payload").groupBy("content").agg(F.first("payload").alias("payload")), f"{path}/payloads")
+
+
+def _write_payloads(payloads: DataFrame, path: str) -> None:
+    """Payloads by buckets of ``content``, as they were shuffled, so that a join on it need not shuffle them again."""
+    spark = payloads.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"casemill_warc_{uuid.uuid4().hex}"
+    payloads.write.bucketBy(n, "content").sortBy("content").option("path", f"{path}/buckets={n}").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; the archive is known by its path
+
+
+def _stored_payloads(spark: SparkSession, path: str) -> DataFrame:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    names = [x.getPath().getName() for x in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+    buckets = [int(x.removeprefix("buckets=")) for x in names if x.startswith("buckets=")]
+    if not buckets:
+        return spark.read.parquet(path)
+    name = f"casemill_warc_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (content STRING, payload BINARY) USING parquet CLUSTERED BY (content) SORTED BY (content) INTO {buckets[0]} BUCKETS LOCATION '{path}/buckets={buckets[0]}'")
+    atexit.register(_forget, spark, name)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session may have ended before the interpreter does
+        pass
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, record)``.
 
-    ``record`` is the original record, byte for byte. Stored bytes that do not have the digest
-    they are filed under, or that a header does not name, raise an error.
+    ``record`` is the original record, byte for byte: a response's is its header joined to its
+    stored payload, a revisit's its header alone, and its ``payload`` is null; ``payload_bytes`` and
+    ``payload_digest`` are those of the full payload for both. Stored bytes that do not have the
+    digest they are filed under, or that a header does not name, raise an error.
     """
-    stored = spark.read.parquet(f"{path}/payloads")
-    checked = stored.select(
-        "content",
-        "payload",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        _base32(F.sha1("payload")).alias("payload_digest"),
-        (F.concat_ws("-", F.sha2("payload", 256), F.sha1("payload"), F.octet_length("payload").cast("long")) == F.col("content")).alias("sound"),
-    )
-    records = spark.read.parquet(f"{path}/records").select("content", "header", F.col("header").cast("string").alias("_h"))
+    own = F.concat_ws("-", F.sha2("payload", 256), F.sha1("payload"), F.octet_length("payload").cast("long"))
+    checked = _stored_payloads(spark, f"{path}/payloads").select("content", "payload", (own == F.col("content")).alias("sound"))
 
     def field(name: str) -> Column:
         return F.regexp_extract("_h", f"\\r\\n{name}: ([^\\r]*)", 1)
@@ -102,18 +126,31 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def page(name: str) -> Column:
         return F.nullif(F.regexp_extract("_h", f"\\r\\n{name}: <urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
 
-    joined = records.join(checked, "content", "left")
-    sound = F.coalesce(F.col("sound") & (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit(False))
-    end = F.lit("\r\n\r\n").cast("binary")
-    return joined.select(
+    part = F.split("content", "-")
+    digest = _base32(part[1])
+    records = spark.read.parquet(f"{path}/records").withColumn("_h", F.col("header").cast("string")).select(
+        "content", "header",
         page("WARC-Record-ID").alias("page_id"),
         F.when(F.contains("_h", F.lit("\r\nWARC-Target-URI: ")), field("WARC-Target-URI")).alias("url"),
         field("WARC-Type").alias("record_type"),
         page("WARC-Refers-To").alias("refers_to"),
+        part[2].cast("long").alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest)).alias("named"),
+    )
+    revisit, end = F.col("record_type") == "revisit", F.lit("\r\n\r\n").cast("binary")
+    whole = records.filter(~revisit).join(checked, "content", "left")
+    alone = records.filter(revisit).select("*", F.lit(None).cast("binary").alias("payload"), F.lit(True).alias("sound")).select(whole.columns)
+    sound = F.coalesce(F.col("sound") & F.col("named"), F.lit(False))
+    return whole.unionAll(alone).select(
+        "page_id",
+        "url",
+        "record_type",
+        "refers_to",
         F.when(sound, F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest"))).alias("payload_bytes"),
         "payload_digest",
         "payload",
-        F.when(field("WARC-Type") == "revisit", F.concat("header", end)).otherwise(F.concat("header", "payload", end)).alias("record"),
+        F.when(revisit, F.concat("header", end)).otherwise(F.concat("header", "payload", end)).alias("record"),
     )
 
 

@@ -38,6 +38,14 @@ def test_decode_of_any_ids(library):
     assert model.decode(library.encode("a b")) == "a b"
 
 
+def test_rounds_and_heap_agree(monkeypatch):
+    model, rng = pieces.PieceModel(open(PATH, "rb").read()), random.Random(4)
+    words = ["▁" + "".join(rng.choices("etaoinshrdl0é日=", k=rng.choice([1, 5, 40, 700]))) for _ in range(200)]
+    by_rounds = model.encode_words(words)
+    monkeypatch.setattr(pieces, "LONG", 0)
+    assert model.encode_words(words) == by_rounds
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         pieces.PieceModel(b"")
