@@ -7,7 +7,7 @@ setting is absent (tests, a laptop) a temporary folder is chosen, once a session
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 
@@ -17,10 +17,12 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors and driver share."""
+    """The folder that executors and driver share; without one, only a local session has a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", master := spark.sparkContext.master):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="casemill-")
@@ -48,16 +50,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete stored tables that no plan will read again, and the shuffle files of finished plans.
-
-    Spark deletes shuffle files once the driver's garbage collector has met their plans; a long
-    operator calls this between its steps so that its disk use is that of a step, not their sum.
-    """
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that no plan will read again."""
     for table in tables:
-        _remove(spark, table._stored_path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        _remove(table.sparkSession, table._stored_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
