@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from casemill.llm.arrow import slices
-from casemill.plans.cut import stored
+from casemill.plans.cut import dropped, stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -44,9 +44,9 @@ NOISE = 1.0
 #: Languages with fewer documents than this share the bands of all documents.
 LEAST_DOCS = 20
 #: Bytes of the model that are sent to the executors at a time, and of an entry of it.
-BLOCK_BYTES, ENTRY_BYTES = 64 << 20, 12
+BLOCK_BYTES, ENTRY_BYTES = 64 << 20, 16
 #: Characters of text that are worked on at a time.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 BINS = 1000
 #: Distinct words of a text from which three of their numbers may not fit one of 64 bits.
 WIDE = 2_000_000
@@ -92,29 +92,75 @@ def _seeded(h: np.ndarray, lang: str) -> np.ndarray:
     return x ^ x >> _U(31)
 
 
-def counted(codes: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The distinct n-grams of the stream, and how often each occurs."""
-    places = np.flatnonzero(_windows(starts))
-    if not len(places):
-        return [], np.zeros(0, np.int64)
-    used = np.zeros(0x110000, np.int64)
-    used[codes] = 1
-    alphabet = np.flatnonzero(used)
-    bits = max(1, int(len(alphabet) - 1).bit_length())
-    used[alphabet] = np.arange(len(alphabet))
-    small = used[codes]
-    if ORDER * bits <= 63:
-        keys = np.zeros(len(places), np.int64)
+#: Characters that a tally numbers, so that an n-gram is one number; a text with more is tallied by itself.
+ALPHABET = 1 << 60 // ORDER
+#: N-grams of a tally that a task keeps before it sends them.
+TALLIED = 1_000_000
+
+
+class Tally:
+    """Counts of the n-grams of some streams, by language, in sorted arrays."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = np.full(0x110000, -1, np.int16)
+        self.alphabet = np.zeros(0, np.int64)
+        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, lang: str, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[str, list[str], np.ndarray]]:
+        """Count a stream; what no longer fits comes out as ``(language, n-grams, counts)``."""
+        places = np.flatnonzero(_windows(starts))
+        if not len(places):
+            return
+        fresh = np.unique(codes[self.number[codes] < 0])
+        if len(self.alphabet) + len(fresh) > ALPHABET:
+            yield from self.flush()
+            fresh = np.unique(codes)
+        if len(fresh) > ALPHABET:
+            grams, times = np.unique(np.stack([codes[places + k] for k in range(ORDER)], 1), axis=0, return_counts=True)
+            yield lang, _strings(grams), times
+            return
+        self.number[fresh] = np.arange(len(self.alphabet), len(self.alphabet) + len(fresh))
+        self.alphabet = np.r_[self.alphabet, fresh]
+        small, keys = self.number[codes].astype(np.int64), np.zeros(len(places), np.int64)
         for k in range(ORDER):
-            keys = keys << bits | small[places + k]
+            keys = keys << 60 // ORDER | small[places + k]
         keys.sort()
-        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        grams = np.stack([keys[new] >> bits * (ORDER - 1 - k) & (1 << bits) - 1 for k in range(ORDER)], 1)
-        times = np.diff(np.r_[new, len(keys)])
-    else:  # a very large alphabet
-        grams, times = np.unique(np.stack([small[places + k] for k in range(ORDER)], 1), axis=0, return_counts=True)
-    text = alphabet[grams].astype("<u4").tobytes().decode("utf-32-le")
-    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], times
+        old, times = self.sums.get(lang, (keys[:0], keys[:0]))
+        self.sums[lang] = _summed(*_runs(keys), old, times)
+        if sum(len(k) for k, _ in self.sums.values()) > TALLIED:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[str, list[str], np.ndarray]]:
+        for lang, (keys, times) in self.sums.items():
+            for at in range(0, len(keys), 100_000):
+                part = keys[at : at + 100_000]
+                grams = np.stack([part >> 60 // ORDER * (ORDER - 1 - k) & ALPHABET - 1 for k in range(ORDER)], 1)
+                yield lang, _strings(self.alphabet[grams]), times[at : at + 100_000]
+        self.clear()
+
+
+def _strings(grams: np.ndarray) -> list[str]:
+    text = grams.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+    return keys[new], np.diff(np.r_[new, len(keys)])
+
+
+def _summed(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tallies as one."""
+    if not len(b):
+        return a, n
+    keys, times = np.r_[a, b], np.r_[n, m]
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[new], np.add.reduceat(times, new)
 
 
 def _language(df: DataFrame) -> Column:
@@ -142,12 +188,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches):
+        tally = Tally()
+
+        def rows(done):
+            for lang, grams, n in done:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], schema=schema)
+
         for batch in slices(batches, 2048):
             for lang, _, words in _blocks(batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]):
-                grams, n = counted(*streams(words))
-                for k in range(0, len(grams), 100_000):
-                    part = grams[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[k : k + len(part)])], schema=schema)
+                yield from rows(tally.add(lang, *streams(words)))
+        yield from rows(tally.flush())
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(_language(docs).alias("lang"), text).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -214,7 +264,7 @@ class Block:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order].astype(np.float32)
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(len(keys)).bit_length())
         self.first = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=_U) << _U(64 - self.bits)).astype(np.int32)
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
@@ -234,25 +284,35 @@ class Block:
         return out
 
 
-def fit(docs: DataFrame) -> list[Block]:
-    """The model of all languages, in blocks of ``BLOCK_BYTES`` at most by a hash of the n-gram."""
-    model = stored(kneser_ney(stored(count_grams(docs), "grams")).select("lang", "gram", F.log("q").alias("value")), "model")
-    n_blocks = max(1, -(-model.count() * ENTRY_BYTES // BLOCK_BYTES))
-    blocks = []
-    for b in range(n_blocks):
-        part = model.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(n_blocks)) == b).toArrow()
-        lang = part.column("lang").dictionary_encode().combine_chunks()
-        text = "".join("".join(chunk.to_pylist()) for chunk in part.column("gram").chunks)
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(-1, ORDER)
-        h = np.zeros(len(codes), _U)
-        for k in range(ORDER):
-            h = h * _U(0x9E3779B97F4A7C15) + codes[:, k].astype(_U) + _U(1)
-        names = lang.dictionary.to_pylist() if len(part) else []
-        which = lang.indices.to_numpy() if len(part) else np.zeros(0, np.int64)
-        for i, name in enumerate(names):
-            h[which == i] = _seeded(h[which == i], name)
-        blocks.append(Block(h, part.column("value").to_numpy()))
-    return blocks
+class Model:
+    """The model of all languages: a stored table of hashes and values, handed out block by block."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        kind = pa.schema([("h", pa.int64()), ("value", pa.float32())])
+
+        def hashes(batches):
+            for batch in batches:
+                lang = batch.column(0).dictionary_encode()
+                codes = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+                h, which = np.zeros(len(codes), _U), lang.indices.to_numpy()
+                for k in range(ORDER):
+                    h = h * _U(0x9E3779B97F4A7C15) + codes[:, k].astype(_U) + _U(1)
+                for i, name in enumerate(lang.dictionary.to_pylist()):
+                    h[which == i] = _seeded(h[which == i], name)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], schema=kind)
+
+        counts = stored(count_grams(docs), "grams")
+        self.table = stored(kneser_ney(counts).select("lang", "gram", F.log("q")).mapInArrow(hashes, "h long, value float"), "model")
+        dropped(counts)
+        self.n_blocks = max(1, -(-self.table.count() * ENTRY_BYTES // BLOCK_BYTES))
+
+    def __len__(self) -> int:
+        return self.n_blocks
+
+    def __iter__(self) -> Iterator[Block]:
+        for b in range(self.n_blocks):
+            part = self.table.filter(F.pmod("h", F.lit(self.n_blocks)) == b).toArrow()
+            yield Block(part.column("h").to_numpy().view(_U), part.column("value").to_numpy())
 
 
 def log_sums(block: Block, langs: list[str], texts: list[bytes]) -> np.ndarray:
@@ -318,20 +378,22 @@ def _names(columns: list[str]) -> dict[str, str]:
     return out
 
 
-def measured(docs: DataFrame, blocks: list[Block]) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with its measures as further columns, stored; and the names that those have.
+def measured(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` of ``docs`` with its measures as further columns, stored; and the names that those have.
 
     Rows are measured where they lie: one pass over the texts for each block of the model, the
     counters in the first.
     """
     own = _names(docs.columns)
-    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
     kinds = [StringType(), *[LongType()] * len(COUNTERS), DoubleType()]
-    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(own.values(), kinds, strict=True))])
-    wide, n_docs = to_arrow_schema(schema), len(docs.columns)
+    more = [StructField(n, k) for n, k in zip(own.values(), kinds, strict=True)]
 
-    def one(rows: DataFrame, block: Block, first: bool) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    def one(rows: DataFrame, block: Block, first: bool, columns: list[str]) -> DataFrame:
+        names = rows.columns
+        text_at, lang_at = names.index("text"), names.index("lang") if "lang" in names else None
+        at = [names.index(c) for c in columns]
+        schema = StructType([*(docs.schema[c] for c in columns), *more])
+        wide, sent = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -340,17 +402,19 @@ def measured(docs: DataFrame, blocks: list[Block]) -> tuple[DataFrame, dict[str,
                 sums = log_sums(sent.value, langs, texts)
                 if first:
                     counts = list(zip(*map(counters, texts), strict=True)) if texts else [[]] * len(COUNTERS)
-                    more = [pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in counts)]
+                    made = [pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in counts)]
                 else:
-                    more = batch.columns[n_docs:-1]
+                    made = batch.columns[-len(more) : -1]
                     sums = sums + batch.column(batch.num_columns - 1).to_numpy()
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:n_docs], wide, strict=False)), *more, pa.array(sums)], schema=wide)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(wide.field(k).type) for k, i in enumerate(at)), *made, pa.array(sums)], schema=wide)
 
         return stored(rows.mapInArrow(run, schema), "measured")
 
     rows = docs
-    for k, block in enumerate(blocks):
-        rows = one(rows, block, k == 0)
+    for k, block in enumerate(model):
+        before, rows = rows, one(rows, block, k == 0, keep if k == len(model) - 1 else docs.columns)
+        if k:
+            dropped(before)
     return rows, own
 
 
@@ -381,9 +445,9 @@ def _log_perplexity(own: dict[str, str]) -> Column:
     return -F.try_divide(F.col(own["log_sum"]), F.col(own["word_chars"]) + F.col(own["n_words"]))
 
 
-def _judged(docs: DataFrame, width: float, least_docs: int) -> tuple[DataFrame, dict[str, str], Column, Column]:
+def _judged(docs: DataFrame, keep: list[str], width: float, least_docs: int) -> tuple[DataFrame, dict[str, str], Column, Column]:
     """Measured rows beside their bands; their measures' names, whether the base rules fail and whether to keep."""
-    rows, own = measured(docs, fit(docs))
+    rows, own = measured(docs, Model(docs), keep)
     table = bands(rows, own, least_docs).select(*(F.col(c).alias(f"_band_{own['language']}_{c}") for c in ("language", "middle", "spread")))
     language, middle, spread = table.columns
     joined = rows.join(F.broadcast(table), F.col(own["language"]) == F.col(language), "left")  # a row a language
@@ -403,11 +467,11 @@ def assess(docs: DataFrame, width: float = BAND_WIDTH, least_docs: int = LEAST_D
     documents has the bands of all. Null doc_ids and repeated rows keep their rows.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["lang"] if "lang" in docs.columns else []))
-    rows, own, failed, keep = _judged(read, width, least_docs)
+    rows, own, failed, keep = _judged(read, ["doc_id"], width, least_docs)
     return rows.select("doc_id", *(F.col(own[c]).alias(c) for c in COUNTERS), failed.alias("base_failed"), keep.alias("kept"), _log_perplexity(own).alias("log_perplexity"))
 
 
 def keep_good(docs: DataFrame, width: float = BAND_WIDTH, least_docs: int = LEAST_DOCS) -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, all columns; texts are scored once and never shuffled."""
-    rows, _, _, keep = _judged(docs, width, least_docs)
+    rows, _, _, keep = _judged(docs, docs.columns, width, least_docs)
     return rows.filter(keep).select(*docs.columns)

@@ -116,16 +116,21 @@ def test_model_matches_a_direct_computation(spark, monkeypatch):
         s = " " * 4 + "".join(w + " " for w in text.split())
         assert whole[i] == pytest.approx(-sum(math.log(p(s[k : k + 5], True)) for k in range(len(s) - 4)) / (len(s) - 4), rel=1e-5)
     monkeypatch.setattr(R, "BLOCK_BYTES", 300)
-    assert len(R.fit(df)) > 2 and {r.doc_id: r.log_perplexity for r in R.assess(df).collect()} == pytest.approx(whole, rel=1e-5)
-
-
-def test_counting_grams_of_large_alphabets():
-    words = [[chr(0x4E00 + (7 * i * i) % 9000).encode() for i in range(9000)], [], [b"ab", b"ab"]]
-    codes, starts = R.streams(words)
-    grams, n = R.counted(codes, starts)
-    want = Counter()
-    for w in words:
-        s = "    " + "".join(x.decode() + " " for x in w)
-        want.update(s[i : i + 5] for i in range(len(s) - 4))
-    assert dict(zip(grams, n.tolist(), strict=True)) == want
-    assert R.counted(*R.streams([]))[0] == [] and R.counted(*R.streams([[], []]))[0] == []
+    assert len(R.Model(df)) > 2 and {r.doc_id: r.log_perplexity for r in R.assess(df).collect()} == pytest.approx(whole, rel=1e-5)
+
+
+@pytest.mark.parametrize("tallied", [10**6, 50])
+def test_tallies(tallied, monkeypatch):
+    monkeypatch.setattr(R, "TALLIED", tallied)
+    rng, tally, got, want = random.Random(1), R.Tally(), Counter(), Counter()
+    blocks = [[[chr(0x4E00 + (7 * i * i) % 9000).encode() for i in range(9000)]], [[], [b"ab", b"ab"]], [], [[]]]
+    blocks += [[["".join(rng.choices("abcя漢", k=5)).encode() for _ in range(40)]] for _ in range(5)] + [[[chr(0x3000 + i).encode() for i in range(4090)]]]
+    for k, words in enumerate(blocks):
+        for lang, grams, n in tally.add("xy"[k % 2], *R.streams(words)):
+            got.update({(lang, g): c for g, c in zip(grams, n.tolist(), strict=True)})
+        for w in filter(None, words):
+            s = "    " + "".join(x.decode() + " " for x in w)
+            want.update(("xy"[k % 2], s[i : i + 5]) for i in range(len(s) - 4))
+    for lang, grams, n in tally.flush():
+        got.update({(lang, g): c for g, c in zip(grams, n.tolist(), strict=True)})
+    assert got == want
