@@ -41,8 +41,8 @@ LEAST_DISCOUNT = 0.01
 #: interquartile range of the language and the noise of a mean over the characters of the text.
 BAND_WIDTH = 4.0
 NOISE = 1.0
-#: Languages with fewer documents than this share the bands of all documents.
-LEAST_DOCS = 20
+#: Languages with fewer documents than this, and those beyond the most frequent ones, share a model and bands.
+LEAST_DOCS, MOST_LANGUAGES = 20, 1000
 #: Bytes of the model that are sent to the executors at a time, and of an entry of it.
 BLOCK_BYTES, ENTRY_BYTES = 64 << 20, 16
 #: Characters of text that are worked on at a time.
@@ -50,7 +50,7 @@ BLOCK_CHARS = 1_000_000
 BINS = 1000
 #: Distinct words of a text from which three of their numbers may not fit one of 64 bits.
 WIDE = 2_000_000
-UNKNOWN = "und"
+UNKNOWN, SHARED = "und", "*"
 _SPACE = bytes([9, 10, 11, 12, 13, 32])
 _NOT_COUNTED = _SPACE + bytes(range(128, 192))
 _PAD = " " * (ORDER - 1)
@@ -183,8 +183,14 @@ def _blocks(langs: list[str], texts: list[bytes]) -> Iterator[tuple[str, list[in
             at = end
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """``(lang, gram, n)``: the n-grams of all documents, counted by language."""
+def frequent(docs: DataFrame, least_docs: int = LEAST_DOCS) -> list[str]:
+    """The languages that have a model of their own."""
+    counts = docs.groupBy(_language(docs).alias("lang")).count().filter(F.col("count") >= least_docs)
+    return [r.lang for r in counts.orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()]
+
+
+def count_grams(docs: DataFrame, langs: list[str] | None = None) -> DataFrame:
+    """``(lang, gram, n)``: the n-grams of all documents, counted by language; those not in ``langs`` together."""
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches):
@@ -200,7 +206,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
         yield from rows(tally.flush())
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(_language(docs).alias("lang"), text).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    lang = _language(docs) if langs is None else F.when(_language(docs).isin(langs), _language(docs)).otherwise(SHARED)
+    return docs.select(lang.alias("lang"), text).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _with_discounts(level: DataFrame) -> DataFrame:
@@ -287,7 +294,8 @@ class Block:
 class Model:
     """The model of all languages: a stored table of hashes and values, handed out block by block."""
 
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, least_docs: int = LEAST_DOCS) -> None:
+        self.langs = frequent(docs, least_docs)
         kind = pa.schema([("h", pa.int64()), ("value", pa.float32())])
 
         def hashes(batches):
@@ -301,7 +309,7 @@ class Model:
                     h[which == i] = _seeded(h[which == i], name)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], schema=kind)
 
-        counts = stored(count_grams(docs), "grams")
+        counts = stored(count_grams(docs, self.langs), "grams")
         self.table = stored(kneser_ney(counts).select("lang", "gram", F.log("q")).mapInArrow(hashes, "h long, value float"), "model")
         dropped(counts)
         self.n_blocks = max(1, -(-self.table.count() * ENTRY_BYTES // BLOCK_BYTES))
@@ -393,12 +401,13 @@ def measured(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame,
         text_at, lang_at = names.index("text"), names.index("lang") if "lang" in names else None
         at = [names.index(c) for c in columns]
         schema = StructType([*(docs.schema[c] for c in columns), *more])
-        wide, sent = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(block)
+        wide, sent, known = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(block), set(model.langs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 texts = [(t or "").encode() for t in batch.column(text_at).to_pylist()]
-                langs = [UNKNOWN if x is None else str(x) for x in batch.column(lang_at).to_pylist()] if lang_at is not None else [UNKNOWN] * len(texts)
+                said = batch.column(lang_at).cast(pa.string()).to_pylist() if lang_at is not None else [None] * len(texts)
+                langs = [x if x in known else SHARED for x in (UNKNOWN if x is None else x for x in said)]
                 sums = log_sums(sent.value, langs, texts)
                 if first:
                     counts = list(zip(*map(counters, texts), strict=True)) if texts else [[]] * len(COUNTERS)
@@ -423,20 +432,17 @@ def bands(rows: DataFrame, own: dict[str, str], least_docs: int = LEAST_DOCS) ->
 
     Quartiles are read off a histogram of ``BINS`` bins a nat, so they are exact to a bin and the
     same whatever the partitioning; what reaches the driver is bounded by the bins. A language
-    with fewer than ``least_docs`` such documents has the band of all documents together.
+    with fewer than ``least_docs`` such documents has no bands.
     """
     good = rows.filter(~base_failed(own["n_words"], own["n_repeat_words"]))
     pdf = good.groupBy(F.col(own["language"]).alias("language"), F.round(_log_perplexity(own) * BINS).cast("long").alias("bin")).count().toPandas()
-    langs = rows.select(F.col(own["language"]).alias("language")).distinct().toPandas()["language"]
-
-    def band(g) -> tuple[float, float]:
-        g = g.groupby("bin")["count"].sum().sort_index()
-        share = g.cumsum() / g.sum()
-        q1, q2, q3 = (float(g.index[int(np.searchsorted(share, q))]) / BINS for q in (0.25, 0.5, 0.75))
-        return q2, max((q3 - q1) / 1.349, 0.01)
-
-    own_rows = {lang: pdf[pdf["language"] == lang] for lang in langs}
-    out = [(str(lang), *band(g if g["count"].sum() >= least_docs else pdf)) for lang, g in own_rows.items()] if len(pdf) else []
+    out = []
+    for lang, g in pdf.groupby("language"):
+        g = g.sort_values("bin")
+        if g["count"].sum() >= least_docs:
+            share = g["count"].cumsum() / g["count"].sum()
+            q1, q2, q3 = (float(g["bin"].iloc[int(np.searchsorted(share, q))]) / BINS for q in (0.25, 0.5, 0.75))
+            out.append((str(lang), q2, max((q3 - q1) / 1.349, 0.01)))
     return rows.sparkSession.createDataFrame(out, "language string, middle double, spread double")
 
 
@@ -447,7 +453,7 @@ def _log_perplexity(own: dict[str, str]) -> Column:
 
 def _judged(docs: DataFrame, keep: list[str], width: float, least_docs: int) -> tuple[DataFrame, dict[str, str], Column, Column]:
     """Measured rows beside their bands; their measures' names, whether the base rules fail and whether to keep."""
-    rows, own = measured(docs, Model(docs), keep)
+    rows, own = measured(docs, Model(docs, least_docs), keep)
     table = bands(rows, own, least_docs).select(*(F.col(c).alias(f"_band_{own['language']}_{c}") for c in ("language", "middle", "spread")))
     language, middle, spread = table.columns
     joined = rows.join(F.broadcast(table), F.col(own["language"]) == F.col(language), "left")  # a row a language
@@ -463,8 +469,9 @@ def assess(docs: DataFrame, width: float = BAND_WIDTH, least_docs: int = LEAST_D
     One row for each row of ``docs``. ``base_failed``: fewer than ``MIN_WORDS`` words, or more than
     half of them in repeated three-word windows. ``kept``: not failed, and the log perplexity
     inside the bands of the language. Null texts have no words, no perplexity and fail; a null
-    lang (or no such column) is a language of its own; a language with fewer than ``least_docs``
-    documents has the bands of all. Null doc_ids and repeated rows keep their rows.
+    lang (or no such column) is a language of its own; languages with fewer than ``least_docs``
+    documents share a model and bands, and where even together fewer than that pass the base rules,
+    nothing is known about them and they are kept. Null doc_ids and repeated rows keep their rows.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["lang"] if "lang" in docs.columns else []))
     rows, own, failed, keep = _judged(read, ["doc_id"], width, least_docs)

@@ -60,12 +60,16 @@ def test_repeated_words_of_very_many_kinds(monkeypatch):
             assert R.repeated([w.encode() for w in words]) == brute(" ".join(words))[4]
 
 
-def test_bands_of_rare_languages(spark):
+def test_rare_languages_share_a_model(spark):
     rng = random.Random(4)
-    rows = [(i, " ".join("".join(rng.choices("abcde", k=4)) for _ in range(60)), "xx" if i < 50 else "yy") for i in range(52)]
-    rows[51] = (51, " ".join("".join(rng.choices("αβγδεζηθικλμνξοπ", k=9)) for _ in range(60)), "yy")
-    kept = {r.doc_id for r in R.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert 51 not in kept and len(kept) > 45
+    rows = [(i, " ".join("".join(rng.choices("abcde", k=4)) for _ in range(60)), "xx" if i < 50 else f"y{i}") for i in range(90)]
+    rows.append((90, " ".join("".join(rng.choices("αβγδεζηθικλμνξοπ", k=9)) for _ in range(60)), "yy"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert R.frequent(df) == ["xx"]
+    kept = {r.doc_id for r in R.keep_good(df).collect()}
+    assert 90 not in kept and len(kept) > 80 and len([i for i in kept if i >= 50]) > 30
+    few = df.filter("doc_id < 50 OR doc_id > 80")  # too few to know anything about them
+    assert {i for i in range(81, 91)} <= {r.doc_id for r in R.keep_good(few).collect()}
 
 
 def direct(texts):
@@ -106,17 +110,18 @@ def direct(texts):
 def test_model_matches_a_direct_computation(spark, monkeypatch):
     texts = ["abba abab cab bad a dada Abe b2b", "a-a rare daba caba abba", "привет мир, привет", "漢字 𝒜𝒷 漢字漢", "abba abab\tcab"]
     df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(R, "LEAST_DOCS", 1)
     counts, p = direct(texts)
     rows = {r.gram: r for r in R.kneser_ney(R.count_grams(df)).collect()}
     assert set(rows) == set(counts)
     for g, r in rows.items():
         assert (r.p, r.q) == pytest.approx((p(g, False), p(g, True)), rel=1e-9), g
-    whole = {r.doc_id: r.log_perplexity for r in R.assess(df).collect()}
+    whole = {r.doc_id: r.log_perplexity for r in R.assess(df, least_docs=1).collect()}
     for i, text in enumerate(texts):
         s = " " * 4 + "".join(w + " " for w in text.split())
         assert whole[i] == pytest.approx(-sum(math.log(p(s[k : k + 5], True)) for k in range(len(s) - 4)) / (len(s) - 4), rel=1e-5)
     monkeypatch.setattr(R, "BLOCK_BYTES", 300)
-    assert len(R.Model(df)) > 2 and {r.doc_id: r.log_perplexity for r in R.assess(df).collect()} == pytest.approx(whole, rel=1e-5)
+    assert len(R.Model(df)) > 2 and {r.doc_id: r.log_perplexity for r in R.assess(df, least_docs=1).collect()} == pytest.approx(whole, rel=1e-5)
 
 
 @pytest.mark.parametrize("tallied", [10**6, 50])
