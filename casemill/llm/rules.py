@@ -417,7 +417,9 @@ def measured(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame,
                     sums = sums + batch.column(batch.num_columns - 1).to_numpy()
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(wide.field(k).type) for k, i in enumerate(at)), *made, pa.array(sums)], schema=wide)
 
-        return stored(rows.mapInArrow(run, schema), "measured")
+        out = stored(rows.mapInArrow(run, schema), "measured")
+        sent.unpersist()
+        return out
 
     rows = docs
     for k, block in enumerate(model):
