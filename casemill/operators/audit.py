@@ -44,25 +44,60 @@ def top_values(df: DataFrame, column: str, k: int = 15) -> DataFrame:
 
 
 def text_profile(df: DataFrame, column: str) -> DataFrame:
-    """Repetition and length of a text column; all rows count, nothing is sampled."""
+    """Repetition and length of a text column; all rows count, nothing is sampled. Only digests are told apart, so no text is shuffled."""
     t = F.coalesce(F.col(column), F.lit(""))
-    full = df.filter(F.trim(t) != "").select(t.alias("t"), T.dedup_normalised(t).alias("norm"))
-    words = F.size(F.split(T.squeezed(F.col("t")), " "))
+    full = df.filter(F.trim(t) != "").select(
+        F.sha2(t, 256).alias("t"), F.sha2(T.dedup_normalised(t), 256).alias("norm"), F.length(t).alias("chars"), F.size(F.split(T.squeezed(t), " ")).alias("words"),
+        F.size(T.placeholders(t)).alias("tokens"),
+    )
     share = lambda c: F.round(F.coalesce(F.try_divide(F.count_distinct(c), F.count(c)), F.lit(0.0)), 4)
+    percentiles = lambda c: [F.floor(F.percentile(c, p)).alias(f"{c}_p{int(p * 100):02d}") for p in (0.05, 0.5, 0.95)]
     out = full.agg(
         F.count("t").alias("n"),
         F.count_distinct("t").alias("n_distinct"),
         (F.count("t") - F.count_distinct("t")).alias("n_duplicates"),
         share(F.col("t")).alias("unique_ratio"),
         share(F.col("norm")).alias("normalised_unique_ratio"),
-        *(F.floor(F.percentile(F.length("t"), p)).alias(f"chars_p{int(p * 100):02d}") for p in (0.05, 0.5, 0.95)),
-        F.max(F.length("t")).alias("chars_max"),
-        F.round(100 * F.avg((words > 256).cast("int")), 2).alias("pct_over_256_words"),
+        *percentiles("chars"),
+        F.max("chars").alias("chars_max"),
+        *percentiles("words"),
+        F.round(100 * F.avg((F.col("words") > 256).cast("int")), 2).alias("pct_over_256_words"),
+        F.count_if(F.col("tokens") > 0).alias("placeholder_rows"),
     )
     ratio = F.col("normalised_unique_ratio")
     return out.withColumn("repetition", F.when(ratio < 0.3, "high").when(ratio < 0.7, "moderate").otherwise("low"))
 
 
+def numeric_outcome(df: DataFrame, column: str) -> DataFrame:
+    """A numeric outcome: valid rows, middle and upper quartile, values of zero or less, distinct values, and whether those are too few."""
+    x = F.col(column).cast("double")
+    out = df.agg(
+        F.count(x).alias("valid"), F.round(F.percentile(x, 0.5), 4).alias("p50"), F.round(F.percentile(x, 0.75), 4).alias("p75"),
+        F.count_if(x <= 0).alias("nonpositive"), F.count_distinct(x).alias("n_distinct"),
+    )
+    return out.withColumn("few_values", F.col("n_distinct") <= 2)
+
+
+def given_against_derived(df: DataFrame, given: str, start: str = "created_at", end: str = "resolved_at") -> DataFrame:
+    """How far given durations (hours) agree with those between two timestamps, over rows that have both."""
+    derived = T.hours_between(F.col(start), F.col(end))
+    gap = F.abs(F.col(given).cast("double") - derived)
+    return df.agg(F.count(gap).alias("n"), F.round(F.median(gap), 4).alias("median_gap"), F.round(F.try_divide(100.0 * F.count_if(gap <= 1), F.count(gap)), 2).alias("pct_within_1h"))
+
+
+def examples(df: DataFrame, column: str, order: str, k: int = 3) -> DataFrame:
+    """The first ``k`` non-empty values by ``order``, redacted and shortened: what a report may show."""
+    value = F.col(column).cast("string")
+    return df.filter(F.trim(value) != "").orderBy(order).limit(k).select(F.col(order), F.substring(T.redacted(value), 1, 80).alias("example"))
+
+
+def triage_verdict(triaged: DataFrame) -> DataFrame:
+    """The verdict on the whole table: good with a good text column (exit code 0), weak with a weak one (1), else unusable (3)."""
+    best = triaged.agg(F.count_if(F.col("verdict") == "good").alias("good"), F.count_if(F.col("verdict") == "weak").alias("weak"))
+    verdict = F.when(F.col("good") > 0, "good").when(F.col("weak") > 0, "weak").otherwise("unusable")
+    return best.select("good", "weak", verdict.alias("verdict"), F.when(F.col("good") > 0, 0).when(F.col("weak") > 0, 1).otherwise(3).alias("exit_code"))
+
+
 def pair_duplicates(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.filter((F.trim(a) != "") & (F.trim(b) != ""))
     return both.agg(F.count(F.lit(1)).alias("pairs"), (F.count(F.lit(1)) - F.count_distinct(F.struct(a, b))).alias("duplicates"))

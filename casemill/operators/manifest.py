@@ -38,9 +38,17 @@ def leaked(body: str, note: str = "resolution_notes"):
 
 
 def build_corpus(cases: DataFrame, area: str | None = None, kind: str | None = None) -> DataFrame:
-    """Source cases without leaked answers, with the document that is indexed."""
+    """Source cases without leaked answers, with the document that is indexed.
+
+    Where no row's status is known the resolved condition falls, as in ``source_case_counts``.
+    """
     part = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    kept = cases.filter(source_case("is_resolved" if "is_resolved" in cases.columns else None)).filter(~leaked("issue_text"))
+    kept = cases
+    if "is_resolved" in cases.columns:
+        known = cases.agg((F.count("is_resolved") > 0).alias("_known"))
+        strict = F.coalesce(F.col("is_resolved"), F.lit(False)) | ~F.col("_known")
+        kept = cases.crossJoin(F.broadcast(known)).filter(strict).drop("_known")  # one row
+    kept = kept.filter(source_case(None)).filter(~leaked("issue_text"))
     return kept.withColumn("retrieval_document", T.retrieval_document(F.col("issue_text"), part(area), part(kind)))
 
 

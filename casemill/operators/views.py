@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import text as T
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bare_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the table of orders alone says of a case."""
+    status = F.create_map(*(F.lit(x) for kv in STATUS_OF.items() for x in kv))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_no"), status[F.col("o_orderstatus")].alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at")
+    )
+
+
 def order_cases(spark: SparkSession, sf_dir: str, status_of: dict[str, str] | None = None) -> DataFrame:
     """Orders as cases: shipping answers them, returned lines escalate them, no line means no outcome."""
     status = F.create_map(*(F.lit(x) for kv in (status_of or STATUS_OF).items() for x in kv))
@@ -78,12 +86,11 @@ def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first user turn of each conversation with the assistant turn that follows it."""
     turns = table(spark, sf_dir, "conversations")
-    first = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q"))
-    answers = turns.filter("role = 'assistant'").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias("answer"))
-    reply = (
-        first.join(answers, (F.col("conv_id") == F.col("c")) & (F.col("t") > F.col("q.turn")), "left")
-        .groupBy("conv_id", "q")
-        .agg(F.min(F.struct("t", "answer")).alias("a"))
+    # the answer is the first assistant turn after the first question: one pass over each conversation's turns in order
+    asked = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
+    ours = turns.withColumn("_asked", asked).filter("_asked IS NOT NULL AND (turn = _asked AND role = 'user' OR turn > _asked AND role = 'assistant')")
+    reply = ours.groupBy("conv_id").agg(
+        F.min(F.when(F.col("role") == "user", F.struct("turn", "text"))).alias("q"), F.min(F.when(F.col("role") == "assistant", F.struct("turn", F.col("text").alias("answer")))).alias("a")
     )
     return reply.select(
         F.col("conv_id").cast("string").alias("ticket_id"), "conv_id", T.as_text(F.col("q.text")).alias("issue_text"), T.as_text(F.col("a.answer")).alias("resolution_notes")

@@ -83,7 +83,7 @@ def overview_orders(spark, sf_dir):
 
 @query("status_breakdown", f"WITH {CASES} SELECT status, count(*) AS n FROM cases GROUP BY status")
 def status_breakdown(spark, sf_dir):
-    return analytics.status_counts(W.order_cases(spark, sf_dir))
+    return analytics.status_counts(W.bare_orders(spark, sf_dir))
 
 
 @query(
@@ -106,7 +106,7 @@ def filter_multi(spark, sf_dir):
 
 @query("page_orders", f"WITH {CASES} SELECT case_no, status, priority, created_at FROM cases ORDER BY case_no LIMIT 50 OFFSET 100")
 def page_orders(spark, sf_dir):
-    return analytics.paginate(W.order_cases(spark, sf_dir), "case_no", 3, 50, ["case_no", "status", "priority", "created_at"])
+    return analytics.paginate(W.bare_orders(spark, sf_dir), "case_no", 3, 50, ["case_no", "status", "priority", "created_at"])
 
 
 @query("csat_rated_docs", f"WITH {DOCS} SELECT issue_type, {BLOCK} FROM cases GROUP BY issue_type")
@@ -260,6 +260,9 @@ def top_values(spark, sf_dir):
     return audit.top_values(W.table(spark, sf_dir, "part"), "p_type")
 
 
+_OWN = ", ".join(f"'{t}'" for t in V.OWN_TOKENS)
+
+
 def _norm(t: str) -> str:
     out = f"regexp_replace(lower(coalesce({t}, '')), '(^|[^\\pL\\pN_])[a-z]*[0-9][\\pL\\pN_\\-]*', '\\1 ', 'g')"
     return f"trim(regexp_replace(regexp_replace({out}, '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -267,11 +270,12 @@ def _norm(t: str) -> str:
 
 @query(
     "text_uniqueness",
-    f"""WITH t AS (SELECT text AS t, {_norm('text')} AS norm FROM documents WHERE trim(text) <> ''),
+    f"""WITH t AS (SELECT text AS t, {_norm('text')} AS norm, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS w, len(list_filter(regexp_extract_all(text, '{V.PLACEHOLDER}'), lambda x: lower(trim(x)) NOT IN ({_OWN}))) AS ph FROM documents WHERE trim(text) <> ''),
 a AS (SELECT count(t) AS n, count(DISTINCT t) AS n_distinct, count(t) - count(DISTINCT t) AS n_duplicates, round(count(DISTINCT t) / count(t), 4) AS unique_ratio,
 round(count(DISTINCT norm) / count(norm), 4) AS normalised_unique_ratio, CAST(floor(quantile_cont(length(t), 0.05)) AS BIGINT) AS chars_p05,
 CAST(floor(quantile_cont(length(t), 0.5)) AS BIGINT) AS chars_p50, CAST(floor(quantile_cont(length(t), 0.95)) AS BIGINT) AS chars_p95, CAST(max(length(t)) AS INT) AS chars_max,
-round(100 * avg(CASE WHEN len(string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) > 256 THEN 1 ELSE 0 END), 2) AS pct_over_256_words FROM t)
+CAST(floor(quantile_cont(w, 0.05)) AS BIGINT) AS words_p05, CAST(floor(quantile_cont(w, 0.5)) AS BIGINT) AS words_p50, CAST(floor(quantile_cont(w, 0.95)) AS BIGINT) AS words_p95, count(*) FILTER (ph > 0) AS placeholder_rows,
+round(100 * avg(CASE WHEN w > 256 THEN 1 ELSE 0 END), 2) AS pct_over_256_words FROM t)
 SELECT *, CASE WHEN normalised_unique_ratio < 0.3 THEN 'high' WHEN normalised_unique_ratio < 0.7 THEN 'moderate' ELSE 'low' END AS repetition FROM a""",
 )
 def text_uniqueness(spark, sf_dir):
@@ -316,7 +320,7 @@ def timestamp_audit(spark, sf_dir):
 
 @query("month_density", f"WITH {CASES} SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM cases GROUP BY 1")
 def month_density(spark, sf_dir):
-    return audit.month_density(W.order_cases(spark, sf_dir))
+    return audit.month_density(W.bare_orders(spark, sf_dir))
 
 
 _TRIAGE = ["o_orderpriority", "o_orderstatus"]
@@ -529,12 +533,12 @@ def attach_outcomes(spark, sf_dir):
     return retrieval.attach(_dense(spark, sf_dir, 10), W.table(spark, sf_dir, "labels")).select("query_id", "doc_id", "rank", "quality", "toxic")
 
 
-_QRELS = "qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, CASE WHEN d.vec_id % 3 = 0 THEN 2 ELSE 1 END AS grade FROM v q JOIN v d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 AND d.vec_id % 4 < 3)"
+_QRELS = "qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, CASE WHEN d.vec_id % 3 = 0 THEN 2 ELSE 1 END AS grade FROM v q JOIN v d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)"
 
 
 def _qrels(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q, d = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "label"), v.filter("id % 4 < 3").select(F.col("id").alias("doc_id"), "label")
+    q, d = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "label"), v.select(F.col("id").alias("doc_id"), "label")
     return q.join(d, "label").filter("query_id <> doc_id").select("query_id", "doc_id", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).alias("grade"))
 
 
