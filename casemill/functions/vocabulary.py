@@ -21,6 +21,34 @@ LEAKAGE = [
 ]
 PERSONAL_HINTS = ["name", "email", "phone", "gender", "age", "address", "customer_id"]
 
+#: Names of columns that never say when a case was created, and what the columns of a source may be called.
+CREATED_AT_TRAPS = r"(?i)purchase|order[_ ]?date|signup|registration|birth|renewal|subscription[_ ]?start"
+COLUMN_HINTS = {
+    "ticket_id": ["ticket id", "ticket_id", "ticketid", "id", "case id", "incident id"],
+    "created_at": ["date of ticket", "ticket date", "created", "created at", "opened", "open date", "reported", "submitted"],
+    "resolved_at": ["resolved", "closed at", "close date", "resolution date", "completion"],
+    "first_response_at": ["first response", "first reply", "responded at"],
+    "sla_deadline": ["sla due", "sla deadline", "due date", "target resolution"],
+    "customer_segment": ["segment", "tier", "plan tier", "account type"],
+    "product_area": ["product", "product purchased", "product area", "component", "module"],
+    "issue_type": ["ticket type", "issue type", "category", "request type"],
+    "priority": ["priority", "severity", "urgency"],
+    "status": ["status", "state", "ticket status"],
+    "channel": ["channel", "source", "ticket channel", "contact method"],
+    "platform": ["platform", "os", "device"],
+    "region": ["region", "country", "geo", "location"],
+    "sla_plan": ["sla plan", "sla", "support plan", "service level"],
+    "issue_subject": ["subject", "title", "summary", "short description"],
+    "issue_description": ["description", "body", "ticket description", "issue"],
+    "resolution_notes": ["resolution", "resolution notes", "solution", "close notes"],
+    "response_time_hours": ["first response time", "response time"],
+    "resolution_time_hours": ["time to resolution", "resolution time", "handling time"],
+    "reopened": ["reopened", "re-opened"],
+    "escalated": ["escalat"],
+    "sla_breached": ["sla breach", "breached", "sla met", "missed sla"],
+    "csat_score": ["satisfaction", "csat", "rating", "score"],
+}
+
 URL_QUERY = r"(?i)\bhttps?://[^\s<>\"]+\?[^\s<>\"]*"
 URL = r"(?i)\bhttps?://[^\s<>\"]+"
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"

@@ -17,8 +17,7 @@ from casemill.functions import text as T
 from casemill.functions import vocabulary as V
 from casemill.plans.cut import checkpointed
 
-CREATED_AT_TRAPS = re.compile(r"purchase|birth|dob|signup|registration", re.I)
-HINTS = {"ticket_id": ["id"], "created_at": ["created", "opened"], "issue_subject": ["subject", "title"], "issue_description": ["description", "body"], "status": ["status"], "priority": ["priority"], "channel": ["channel"], "product_area": ["product", "area"], "issue_type": ["type", "category"], "resolution_notes": ["resolution", "answer"], "csat_score": ["satisfaction", "rating", "csat"]}
+TRAP = re.compile(V.CREATED_AT_TRAPS)
 
 
 @dataclass
@@ -31,6 +30,8 @@ class Mapping:
     status: dict[str, list[str]] = field(default_factory=dict)
     timestamp_formats: list[str] = field(default_factory=list)
     forbidden_created_at: list[str] = field(default_factory=list)
+    #: A person has looked at the source of created_at; only then may its name be one of the traps.
+    created_at_checked: bool = False
     csat: tuple[float, float] = (1.0, 5.0)
     csat_zero_is_null: bool = True
     customer_id: str | None = None
@@ -52,7 +53,8 @@ def validate(mapping: Mapping, source: list[str]) -> dict[str, str]:
             raise ValueError(f"row filter is incomplete or its column is absent: {f}")
     refused = {}
     at = mapping.columns.get("created_at")
-    if at and (CREATED_AT_TRAPS.search(at) or at in mapping.forbidden_created_at):
+    forbidden = {c.strip().lower() for c in mapping.forbidden_created_at}
+    if at and (at.strip().lower() in forbidden or (TRAP.search(at) and not mapping.created_at_checked)):
         refused["created_at"] = f"{at} does not say when a case was created"
     return refused
 
@@ -64,9 +66,9 @@ def looks_personal(column: str) -> bool:
 def suggest(columns: list[str]) -> dict[str, str]:
     """A mapping for a person to look at: the first hint that fits the first unused column."""
     used: dict[str, str] = {}
-    for target, hints in HINTS.items():
+    for target, hints in V.COLUMN_HINTS.items():
         for hint in hints:
-            hit = next((c for c in columns if hint in c.lower() and c not in used.values() and not (target == "created_at" and CREATED_AT_TRAPS.search(c))), None)
+            hit = next((c for c in columns if hint in c.lower() and c not in used.values() and not (target == "created_at" and TRAP.search(c))), None)
             if hit:
                 used[target] = hit
                 break
@@ -159,13 +161,69 @@ def apply_mapping(df: DataFrame, mapping: Mapping) -> DataFrame:
             out[target] = raw
     df = df.select(*(c.alias(n) for n, c in out.items()))
     if "issue_text" not in df.columns:
+        if not {"issue_subject", "issue_description"} & set(df.columns):
+            raise ValueError("neither a subject nor a description is mapped, so a case has no text")
         subject, body = (F.col(c) if c in df.columns else F.lit("") for c in ("issue_subject", "issue_description"))
         df = df.withColumn("issue_text", F.regexp_replace(F.concat(subject, F.lit("\n\n"), body), r"^\s+|\s+$", ""))
     for target, end in (("resolution_time_hours", "resolved_at"), ("response_time_hours", "first_response_at")):
         if mapping.derive.get(target) == "from_timestamps":
             df = df.withColumn(target, T.hours_between(F.col("created_at"), F.col(end)))
     df = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in V.CANONICAL.items()))
-    return df.withColumn("is_resolved", F.when(F.col("status").isNotNull(), F.col("status").isin(*mapping.resolved_statuses)))
+    return with_resolved(df, mapping.resolved_statuses)
+
+
+def with_resolved(df: DataFrame, statuses: tuple[str, ...] = ("resolved", "closed")) -> DataFrame:
+    """``is_resolved``: by the status where any row has one, else by ``resolved_at`` where any row has that, else NULL."""
+    known = df.agg((F.count("status") > 0).alias("_by_status"), (F.count("resolved_at") > 0).alias("_by_time"))
+    by_status = F.when(F.col("status").isNotNull(), F.lower("status").isin(*statuses))
+    rung = F.when(F.col("_by_status"), by_status).when(F.col("_by_time"), F.col("resolved_at").isNotNull())
+    return df.crossJoin(F.broadcast(known)).withColumn("is_resolved", rung).drop("_by_status", "_by_time")  # one row
+
+
+def ledger(df: DataFrame, mapping: Mapping) -> DataFrame:
+    """``(kind, field, n)``: what applying ``mapping`` drops, changes or cannot read, from one aggregation over the source.
+
+    Counts are over the rows that the filters keep; ``rows_out`` is after empty and repeated ids
+    have gone. What is known without the rows comes with n null: refused, missing and unexpected
+    columns, and personal ones, which are never taken over.
+    """
+    refused = validate(mapping, df.columns)
+    passed = reduce(lambda a, b: a & b, map(keeps, mapping.filters), F.lit(True))
+    take = {t: s for t, s in mapping.columns.items() if s is not None and t not in refused}
+    value = {t: F.when(passed, T.null_tokens_out(F.col(s).cast("string"))) for t, s in take.items()}
+    counts: list[tuple[str, str, Column]] = [("rows_in", "", F.count(F.lit(1))), ("rows_kept", "", F.count_if(passed))]
+
+    def lost(kind: str, target: str, read: Column) -> None:
+        counts.append((kind, target, F.count_if(value[target].isNotNull() & read.isNull())))
+
+    if "ticket_id" in take:
+        ids = F.when(F.trim(value["ticket_id"]) != "", F.trim(value["ticket_id"]))
+        counts += [("empty_id", "ticket_id", F.count_if(passed) - F.count(ids)), ("repeated_id", "ticket_id", F.count(ids) - F.count_distinct(ids)), ("rows_out", "", F.count_distinct(ids))]
+    for target in take:
+        kind = V.CANONICAL[target]
+        if target == "status":
+            lost("unmapped", target, status_column(value[target], mapping.status))
+        elif target == "csat_score":
+            number = value[target].try_cast("double")
+            lost("not_a_number", target, number)
+            zero = (number == 0) & F.lit(mapping.csat_zero_is_null)
+            counts += [("zero_to_null", target, F.count_if(zero)), ("out_of_range", target, F.count_if(~number.between(*mapping.csat) & ~zero))]
+        elif kind == "timestamp_ntz":
+            lost("unparsed", target, parsed_timestamp(value[target], mapping.timestamp_formats))
+        elif kind == "boolean":
+            lost("not_a_boolean", target, T.as_boolean(value[target]))
+        elif kind == "double":
+            lost("not_a_number", target, value[target].try_cast("double"))
+    if mapping.derive.get("resolution_time_hours") == "from_timestamps" and {"created_at", "resolved_at"} <= set(take):
+        start, end = (parsed_timestamp(value[c], mapping.timestamp_formats) for c in ("created_at", "resolved_at"))
+        counts.append(("negative_duration", "resolution_time_hours", F.count_if(end < start)))
+    used = {*take.values(), mapping.customer_id, mapping.order}
+    known = [("refused", t, why) for t, why in refused.items()] + [("missing", t, "") for t in V.CANONICAL if t not in take and t not in mapping.derive]
+    known += [("personal_dropped" if looks_personal(c) else "unexpected", c, "") for c in df.columns if c not in used]
+    aggregates = df.agg(*(c.alias(f"_{k}") for k, (_, _, c) in enumerate(counts)))
+    rows = [F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), F.col(f"_{k}").cast("long").alias("n")) for k, (kind, name, _) in enumerate(counts)]
+    rows += [F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), F.lit(None).cast("long").alias("n")) for kind, name, _ in known]
+    return aggregates.select(F.inline(F.array(*rows)))
 
 
 def merge_tables(tables: dict[str, DataFrame], required: list[str], key: str, order: str) -> DataFrame:

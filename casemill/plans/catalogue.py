@@ -150,13 +150,40 @@ CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS is_resolved FRO
 )
 def adapter_orders(spark, sf_dir):
     mapping = adapter.Mapping(
-        columns={"ticket_id": "o_orderkey", "created_at": "o_orderdate", "status": "o_orderstatus", "priority": "o_orderpriority"},
-        order="o_orderkey", customer_id="o_custkey", status={"resolved": ["F"], "open": ["O"]},
+        columns={"ticket_id": "o_orderkey", "created_at": "o_orderdate", "status": "o_orderstatus", "priority": "o_orderpriority", "issue_subject": "o_orderpriority"},
+        order="o_orderkey", customer_id="o_custkey", status={"resolved": ["F"], "open": ["O"]}, created_at_checked=True,
     )
     out = adapter.apply_mapping(W.table(spark, sf_dir, "orders"), mapping)
     return out.select("ticket_id", "customer_id_hash", "created_at", "status", "priority", "region", "is_resolved")
 
 
+_LEDGER = {
+    ("rows_in", ""): "count(*)", ("rows_kept", ""): "count(*) FILTER (k)", ("empty_id", "ticket_id"): "count(*) FILTER (false)", ("repeated_id", "ticket_id"): "count(*) FILTER (k) - count(DISTINCT c_mktsegment) FILTER (k)",
+    ("rows_out", ""): "count(DISTINCT c_mktsegment) FILTER (k)", ("unparsed", "resolved_at"): "count(*) FILTER (k)", ("not_a_boolean", "escalated"): "count(*) FILTER (k AND c_nationkey NOT IN (0, 1))",
+    ("not_a_number", "csat_score"): "count(*) FILTER (false)", ("zero_to_null", "csat_score"): "count(*) FILTER (k AND c_nationkey = 0)", ("out_of_range", "csat_score"): "count(*) FILTER (k AND c_nationkey > 5)",
+    ("unmapped", "status"): "count(*) FILTER (k AND c_mktsegment <> 'BUILDING')", ("not_a_number", "response_time_hours"): "count(*) FILTER (k)",
+}
+_LEDGER_COLUMNS = {"ticket_id": "c_mktsegment", "created_at": "c_acctbal", "resolved_at": "c_name", "escalated": "c_nationkey", "csat_score": "c_nationkey", "status": "c_mktsegment", "response_time_hours": "c_name", "issue_subject": "c_mktsegment"}
+
+
+@query(
+    "adapter_ledger",
+    "WITH c AS (SELECT *, lower(trim(c_mktsegment)) IN ('building', 'machinery') AS k FROM customer) "
+    + " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{field}' AS field, CAST({e} AS BIGINT) AS n FROM c" for (kind, field), e in _LEDGER.items())
+    + "".join(
+        f" UNION ALL SELECT '{kind}', '{field}', NULL"
+        for kind, field in [("refused", "created_at"), *(("missing", t) for t in V.CANONICAL if t not in _LEDGER_COLUMNS or t == "created_at")]
+    )
+    + " UNION ALL SELECT 'unexpected', 'c_acctbal', NULL",
+)
+def adapter_ledger(spark, sf_dir):
+    mapping = adapter.Mapping(
+        columns=_LEDGER_COLUMNS, order="c_custkey", filters=[{"column": "c_mktsegment", "keep": ["BUILDING", "machinery"], "reason": "served segments"}],
+        status={"open": ["BUILDING"]}, forbidden_created_at=["C_AcctBal"],
+    )
+    return adapter.ledger(W.table(spark, sf_dir, "customer"), mapping)
+
+
 @query("status_unmapped_ledger", "SELECT o_orderstatus AS raw_value, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'open' END AS status, count(*) AS n FROM orders GROUP BY 1, 2")
 def status_unmapped_ledger(spark, sf_dir):
     return adapter.status_ledger(W.table(spark, sf_dir, "orders"), "o_orderstatus", {"resolved": ["F"], "open": ["O"]})
@@ -437,17 +464,44 @@ def metric_availability(spark, sf_dir):
 @query(
     "risk_ladder",
     f"""WITH {CASES}, p AS (SELECT *, (SELECT quantile_cont(resolution_time_hours, 0.75) FROM cases) AS p75 FROM cases),
-l AS (SELECT 1 AS rung, 'escalated' AS target, count(*) FILTER (escalated) AS positive, count(*) FILTER (NOT escalated) AS negative FROM p
-UNION ALL SELECT 2, 'sla_breached', count(*) FILTER (sla_breached), count(*) FILTER (NOT sla_breached) FROM p
-UNION ALL SELECT 3, 'slow_resolution', count(*) FILTER (resolution_time_hours > p75), count(*) FILTER (resolution_time_hours <= p75) FROM p
-UNION ALL SELECT 4, 'low_csat', count(*) FILTER (csat_score <= 2), count(*) FILTER (csat_score > 2) FROM p),
-e AS (SELECT *, positive >= 50 AND negative >= 50 AS eligible FROM l)
+d AS (SELECT bool_and(ep = 0 OR en = 0) FILTER (ep + en > 0) AS de, bool_and(sp = 0 OR sn = 0) FILTER (sp + sn > 0) AS ds FROM (SELECT status, count(*) FILTER (escalated) AS ep,
+count(*) FILTER (NOT escalated) AS en, count(*) FILTER (sla_breached) AS sp, count(*) FILTER (NOT sla_breached) AS sn FROM cases WHERE status IS NOT NULL GROUP BY status) AS x),
+l AS (SELECT 1 AS rung, 'escalated' AS target, count(*) FILTER (escalated) AS positive, count(*) FILTER (NOT escalated) AS negative, (SELECT coalesce(de, false) FROM d) AS decided_by_status, true AS ok FROM p
+UNION ALL SELECT 2, 'sla_breached', count(*) FILTER (sla_breached), count(*) FILTER (NOT sla_breached), (SELECT coalesce(ds, false) FROM d), true FROM p
+UNION ALL SELECT 3, 'slow_resolution', count(*) FILTER (resolution_time_hours > p75), count(*) FILTER (resolution_time_hours <= p75), false,
+count(resolution_time_hours) >= 500 AND count(DISTINCT resolution_time_hours) > 2 FROM p
+UNION ALL SELECT 4, 'low_csat', count(*) FILTER (csat_score <= 2), count(*) FILTER (csat_score > 2), false, true FROM p),
+e AS (SELECT rung, target, positive, negative, decided_by_status, positive >= 50 AND negative >= 50 AND NOT decided_by_status AND ok AS eligible FROM l)
 SELECT *, coalesce(rung = (SELECT min(rung) FROM e WHERE eligible), false) AS chosen FROM e""",
 )
 def risk_ladder(spark, sf_dir):
     return manifest.risk_target(W.order_cases(spark, sf_dir))
 
 
+@query(
+    "corpus_without_status",
+    f"WITH {CONVS} SELECT ticket_id, md5('Issue: ' || issue_text) AS digest FROM cases WHERE issue_text <> '' AND {_USABLE} AND NOT ({_LEAK.format('issue_text')})",
+)
+def corpus_without_status(spark, sf_dir):
+    """No status is known, so the corpus relaxes the resolved condition."""
+    cases = W.conversation_cases(spark, sf_dir).withColumn("is_resolved", F.lit(None).cast("boolean"))
+    return manifest.build_corpus(cases).select("ticket_id", F.md5("retrieval_document").alias("digest"))
+
+
+@query(
+    "capability_manifest",
+    f"""WITH {CONVS}, a AS (SELECT count(*) AS n, count(*) FILTER (issue_text <> '') AS texts, count(*) FILTER ({_USABLE}) AS notes, count(*) FILTER (issue_text <> '' AND {_USABLE}) AS src,
+count(DISTINCT {_norm('issue_text')}) FILTER (issue_text <> '') AS d FROM cases),
+r AS (SELECT *, CASE WHEN texts < 50 THEN 'only ' || texts || ' cases have a text (at least 50)' WHEN src < 50 THEN 'only ' || src || ' source cases (at least 50)' END AS rr FROM a)
+SELECT 'analytics' AS subsystem, true AS enabled, CAST(NULL AS VARCHAR) AS reason FROM r UNION ALL SELECT 'retrieval', rr IS NULL, rr FROM r
+UNION ALL SELECT 'clustering', texts >= 200 AND round(d / texts, 4) >= 0.05, CASE WHEN texts < 200 THEN 'only ' || texts || ' cases have a text (at least 200)' WHEN round(d / texts, 4) < 0.05 THEN 'texts hardly differ' END FROM r
+UNION ALL SELECT 'risk', false, CASE WHEN n < 500 THEN 'only ' || n || ' cases (at least 500)' WHEN texts = 0 THEN 'no field is known when a case is created' ELSE 'no outcome can be predicted' END FROM r
+UNION ALL SELECT 'analyst_agent', false, coalesce('retrieval is disabled: ' || rr, 'needs a provider of generated text') FROM r""",
+)
+def capability_manifest(spark, sf_dir):
+    return manifest.capabilities(W.conversation_cases(spark, sf_dir)).filter("subsystem <> 'resolution_generation'").select("subsystem", "enabled", "reason")
+
+
 # retrieval and evaluation
 
 
