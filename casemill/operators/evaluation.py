@@ -85,3 +85,25 @@ def validate_labels(queries: DataFrame, qrels: DataFrame, corpus: DataFrame) ->
 def nearest_rank(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """Percentiles that are values of the column."""
     return df.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").alias(f"p{int(p * 100):02d}") for p in shares))
+
+
+def compare_configs(rankings: dict[str, DataFrame], qrels: DataFrame, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """``(config, k, queries_run, queries_scored, hit, recall, mrr, ndcg)`` of several rankings of one judged set."""
+    parts = [summary(ranking_metrics(r, qrels, k)).select(F.lit(name).alias("config"), F.lit(k).alias("k"), "*") for name, r in rankings.items() for k in ks]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def winner(report: DataFrame, metric: str = "recall", k: int = 5) -> DataFrame:
+    """``(config, score, best)``: the configurations with the best ``metric`` at ``k``; ties are all best. None if nothing was scored."""
+    scored = report.filter((F.col("k") == k) & F.col(metric).isNotNull()).select("config", F.col(metric).alias("score"))
+    top = scored.agg(F.max("score").alias("_top"))
+    return scored.crossJoin(F.broadcast(top)).select("config", "score", (F.abs(F.col("score") - F.col("_top")) < 1e-9).alias("best"))
+
+
+def with_lift(measured: DataFrame, baseline: DataFrame, column: str, base: str) -> DataFrame:
+    """``measured`` with how many times the one-row ``baseline`` it is; NULL where that is not above zero."""
+    joined = measured.crossJoin(F.broadcast(baseline.select(F.col(base).alias("_base"))))
+    return joined.withColumn("lift", F.when(F.col("_base") > 0, F.round(F.col(column) / F.col("_base"), 3))).drop("_base")

@@ -27,24 +27,36 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, exclude_self: bool = True) -> DataFrame:
+def dense_topk(
+    corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, exclude_self: bool = True, group: str | None = None, among: DataFrame | None = None
+) -> DataFrame:
     """``(query_id, doc_id, score, rank)`` by inner product of ``(id, vector)`` rows.
 
     Each Arrow batch is one matrix product with a block of queries and keeps its own best k, so
-    only k rows a query and batch are shuffled.
+    only k rows a query and batch are shuffled. What is not to come back is left out before the
+    best are taken, so k come back where there are k: the query itself, documents of its ``group``
+    (a column of both; null is no group), and those whose id is not in ``among``.
     """
     spark, parts, block = corpus.sparkSession, [], []
+    if among is not None:
+        corpus = corpus.join(among.select("id").distinct(), "id", "left_semi")
+    extra = [F.col(group).cast("string").alias("gid")] if group else []
 
     def search(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([q for q, _ in block]), np.array([v for _, v in block], np.float64)))
+        sent = spark.sparkContext.broadcast((np.array([q[0] for q in block]), np.array([q[1] for q in block], np.float64), [q[2] for q in block] if group else None))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
+            ids, matrix, gids = sent.value
             for pdf in frames:
                 docs = pdf["id"].to_numpy()
                 scores = np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ matrix.T
                 if exclude_self:
                     scores[docs[:, None] == ids[None, :]] = -np.inf
+                if group:
+                    number = {g: i for i, g in enumerate(set(gids) - {None})}
+                    ours = np.array([number.get(g, -1) for g in pdf["gid"]])
+                    theirs = np.array([-2 if g is None else number[g] for g in gids])
+                    scores[ours[:, None] == theirs[None, :]] = -np.inf
                 # ties at the edge: by doc_id, as in the final order
                 order = np.lexsort((np.broadcast_to(docs[:, None], scores.shape), -np.round(scores, 6)), axis=0)[:k]
                 q = np.broadcast_to(np.arange(len(ids)), order.shape)
@@ -52,10 +64,10 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, exclu
                 keep = np.isfinite(best)
                 yield pd.DataFrame({"query_id": ids[q][keep], "doc_id": docs[order][keep], "score": best[keep]})
 
-        return corpus.select("id", "vector").mapInPandas(run, "query_id long, doc_id long, score double")
+        return corpus.select("id", "vector", *extra).mapInPandas(run, "query_id long, doc_id long, score double")
 
-    for row in queries.select("id", "vector").toLocalIterator():
-        block.append((row[0], row[1]))
+    for row in queries.select("id", "vector", *extra).toLocalIterator():
+        block.append(tuple(row))
         if len(block) == QUERY_BLOCK:
             parts.append(search(block))
             block = []
@@ -72,13 +84,31 @@ def postings(docs: DataFrame, technical: bool = True) -> DataFrame:
     return spread.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, technical: bool = True) -> DataFrame:
+def write_postings(docs: DataFrame, path: str, technical: bool = True) -> None:
+    """The lexical index as tables: postings in files by term, and the sizes of all documents, those without a term too."""
+    postings(docs, technical).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths(docs, technical).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_postings(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
+def lengths(docs: DataFrame, technical: bool = True) -> DataFrame:
+    return docs.select(F.col("id").alias("doc_id"), F.size(T.lexical_tokens(F.col("text"), technical)).alias("dl"))
+
+
+def bm25_topk(
+    docs: DataFrame | None, queries: DataFrame, k: int = CANDIDATES, technical: bool = True, index: tuple[DataFrame, DataFrame] | None = None, among: DataFrame | None = None
+) -> DataFrame:
     """BM25 (Okapi) with the usual floor for frequent terms; repeated query words count again.
 
     Corpus statistics cover all documents; scores are summed over the postings of query terms only.
+    ``index``: stored postings and lengths, instead of ``docs``. Documents whose id is not in
+    ``among`` are left out before the best are taken.
     """
-    index = postings(docs, technical)
-    sizes = docs.select(F.size(T.lexical_tokens(F.col("text"), technical)).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    index, sized = index or (postings(docs, technical), lengths(docs, technical))
+    sizes = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = frequency.crossJoin(F.broadcast(sizes)).select("term", "avgdl", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
@@ -86,6 +116,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, technica
     asked = queries.select(F.col("id").alias("query_id"), F.explode(T.lexical_tokens(F.col("text"), technical)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = asked.join(floored, "term").join(index, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score")).filter("score > 0")
+    if among is not None:
+        hits = hits.join(among.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     return _ranked(hits, k)
 
 
@@ -134,9 +166,33 @@ def strength(dense: DataFrame, lexical: DataFrame | None = None, strong: float =
         shared = dense.filter("rank <= 10").join(lexical.filter("rank <= 10").select("query_id", "doc_id"), ["query_id", "doc_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("agreement"))
         top = top.join(shared, "query_id", "left").withColumn("agreement", F.coalesce("agreement", F.lit(0)))
     gap = F.col("top1") - F.col("top3")
-    firm = (gap >= margin) | (F.col("agreement") >= 1) | (F.col("n_strong") >= 3)
-    label = F.when((F.col("top1") >= strong) & (F.col("n_support") >= 2) & firm, "strong").when((F.col("top1") >= mixed) & (F.col("n_support") >= 1), "mixed").otherwise("weak")
-    return top.select("query_id", F.round("top1", 4).alias("top1"), F.round(gap, 4).alias("margin"), "n_support", "agreement", label.alias("strength"))
+    apart, agree, several = gap >= margin, F.col("agreement") >= 1, F.col("n_strong") >= 3
+    label = F.when((F.col("top1") >= strong) & (F.col("n_support") >= 2) & (apart | agree | several), "strong").when((F.col("top1") >= mixed) & (F.col("n_support") >= 1), "mixed").otherwise("weak")
+    said = lambda when, what: F.when(when, F.lit(what))
+    is_ = lambda name: F.col("strength") == name
+    reasons = F.array_compact(
+        F.array(
+            said(is_("strong"), f"best cosine is {strong} or more"), said(is_("strong") & apart, "the best stands apart from the third"), said(is_("strong") & agree, "both rankings agree on a candidate"),
+            said(is_("strong") & several, "several cases are strong"), said(is_("mixed"), f"best cosine is below {strong} or alone"), said(is_("mixed") & ~apart, "the best does not stand apart"),
+            said(is_("mixed") & ~agree, "the rankings agree on no candidate"), said(is_("weak"), f"best cosine is below {mixed}, or no candidate has support"),
+        )
+    )
+    out = top.withColumn("strength", label).withColumn("reasons", F.array_join(reasons, "; "))
+    return out.select("query_id", F.round("top1", 4).alias("top1"), F.round(gap, 4).alias("margin"), "n_support", "agreement", "strength", "reasons")
+
+
+MODES = ("hybrid", "dense", "lexical")
+
+
+def search(dense: DataFrame | None, lexical: DataFrame | None, mode: str = "hybrid", top_k: int = 10, boost: DataFrame | None = None) -> DataFrame:
+    """The fused ranking of a mode, with what it was made of: ``(query_id, doc_id, dense_rank, lexical_rank, score, rank, mode)``."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    if (mode != "lexical" and dense is None) or (mode != "dense" and lexical is None):
+        raise ValueError(f"{mode} needs a ranking that is not given")
+    one = dense if mode == "dense" else lexical if mode == "lexical" else None
+    ranked = fused(dense, lexical, top_k, boost=boost) if one is None else fused(*((one, one.limit(0)) if mode == "dense" else (one.limit(0), one)), top_k, boost=boost)
+    return ranked.withColumn("mode", F.lit(mode))
 
 
 def facets_shared(queries: DataFrame, docs: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
