@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.llm.arrow import arrow_map, as_bytes
@@ -23,6 +23,8 @@ from casemill.llm.crf import LinearChainCRF
 
 #: Labelled documents that are used for fitting, at most.
 MAX_DOCS = 4000
+#: Bytes of their texts, at most: documents are taken in the order of their hashes while they fit.
+MAX_BYTES = 64 << 20
 #: Bytes of text whose lines are worked on at a time.
 BLOCK_BYTES = 2_000_000
 
@@ -219,15 +221,17 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> QualityModel | None:
-    """A model of at most ``max_docs`` labelled documents that are not held out, whole texts.
+def fit_on(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> QualityModel | None:
+    """A model of at most ``max_docs`` labelled documents that are not held out, whole texts of ``max_bytes`` together.
 
     Rows without a doc_id or with a label other than 0 and 1 are left out; a doc_id counts once.
     """
     marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = marks.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_docs)
+    turn = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = marks.filter(~held_out(F.col("doc_id"))).orderBy(turn, "doc_id").limit(max_docs)
     rows = docs.select(F.col("doc_id"), as_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    pdf = rows.select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(turn, "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # max_docs rows at most
+    pdf = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
     return fit([bytes(t) for t in pdf["text"]], pdf["quality"].tolist())
 
 
