@@ -36,7 +36,7 @@ MARK = "▁"
 #: Words of more symbols than this are encoded one by one.
 LONG = 2000
 #: Characters of text that are handled at once, and words that a worker remembers.
-BLOCK_CHARS = 800_000
+BLOCK_CHARS = 400_000
 REMEMBERED = 120_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.int64(1) << 30

@@ -46,7 +46,7 @@ LEAST_DOCS, MOST_LANGUAGES = 20, 1000
 #: Bytes of the model that are sent to the executors at a time, and of an entry of it.
 BLOCK_BYTES, ENTRY_BYTES = 64 << 20, 16
 #: Characters of text that are worked on at a time.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 400_000
 BINS = 1000
 #: Distinct words of a text from which three of their numbers may not fit one of 64 bits.
 WIDE = 2_000_000
@@ -95,7 +95,7 @@ def _seeded(h: np.ndarray, lang: str) -> np.ndarray:
 #: Characters that a tally numbers, so that an n-gram is one number; a text with more is tallied by itself.
 ALPHABET = 1 << 60 // ORDER
 #: N-grams of a tally that a task keeps before it sends them.
-TALLIED = 1_000_000
+TALLIED = 400_000
 
 
 class Tally:
