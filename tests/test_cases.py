@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from casemill.functions import text as T
 from casemill.operators import adapter, brief, evaluation, manifest, neardup, retrieval
 from casemill.operators.components import connected_components
 from casemill.sources import files
@@ -171,3 +172,83 @@ def test_files(spark, tmp_path):
     d = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
     assert files.corpus_digest(d, "id", "t").first() == files.corpus_digest(d.orderBy(F.desc("id")), "id", "t").first()
     assert files.markdown_table(d).splitlines()[2] == "| 1 | a |"
+
+
+def test_redaction_names_each_input_once(spark):
+    """The plan grows with the number of patterns, not with a power of it."""
+    df = spark.createDataFrame([("mail a.b@c.org, https://x.y/z?q=1 or 10.0.0.1, order no 123456",)], "t string")
+    out = df.select(T.redacted(F.col("t")).alias("r"), T.redaction_counts(F.col("t")).alias("n"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 40
+    row = out.first()
+    assert row.r == "mail [EMAIL], [URL] or [IP], order no [ACCOUNT]" and row.n == {"email": 1, "url_query": 1, "ip": 1, "account": 1}
+    assert df.select(T.redacted(F.lit(None).cast("string")).alias("r"), T.redaction_counts(F.lit(None).cast("string")).alias("n")).first()[:] == ("", {})
+
+
+def test_corpus_without_a_known_status(spark):
+    rows = [("1", "a problem", "did this and that", None), ("2", "another", "and so on here", None), ("3", "", "x y", None)]
+    df = spark.createDataFrame(rows, "ticket_id string, issue_text string, resolution_notes string, is_resolved boolean")
+    assert {r.ticket_id for r in manifest.build_corpus(df).collect()} == {"1", "2"}
+    some = df.withColumn("is_resolved", F.when(F.col("ticket_id") == "2", True))
+    assert {r.ticket_id for r in manifest.build_corpus(some).collect()} == {"2"}
+
+
+def test_resolved_ladder(spark):
+    kind = "status string, resolved_at timestamp_ntz"
+    at = __import__("datetime").datetime(2024, 1, 1)
+    get = lambda rows: [r.is_resolved for r in adapter.with_resolved(spark.createDataFrame(rows, kind).coalesce(1)).collect()]
+    assert get([("closed", None), ("open", at), (None, at)]) == [True, False, None]
+    assert get([(None, at), (None, None)]) == [True, False] and get([(None, None)]) == [None]
+
+
+def test_created_at_traps_and_missing_text(spark):
+    m = adapter.Mapping(columns={"created_at": "Order Date", "issue_subject": "s"}, order="s")
+    assert "created_at" in adapter.validate(m, ["Order Date", "s"])
+    m.created_at_checked = True
+    assert adapter.validate(m, ["Order Date", "s"]) == {}
+    m.forbidden_created_at = ["order date"]
+    assert "created_at" in adapter.validate(m, ["Order Date", "s"])
+    with pytest.raises(ValueError, match="no text"):
+        adapter.apply_mapping(spark.createDataFrame([("1",)], "i string"), adapter.Mapping(columns={"ticket_id": "i"}, order="i"))
+
+
+def test_manifest_at_run_time(spark, tmp_path):
+    rows = [(str(i), f"problem number {'abcdefghij'[i % 10]} {i * 7}", "Reset the router and cleared the cache.") for i in range(60)]
+    table = manifest.capabilities(spark.createDataFrame(rows, "ticket_id string, issue_text string, resolution_notes string"))
+    own = manifest.Manifest.of(table)
+    assert own.require("retrieval")["facts"]["source_cases"] == "60" and own.require("resolution_generation")
+    own.require_metric("ticket_volume")
+    for name in ("risk", "clustering", "analyst_agent", "no such"):
+        with pytest.raises(manifest.Disabled):
+            own.require(name)
+    with pytest.raises(manifest.Disabled):
+        own.require_metric("csat")
+    own.save(str(tmp_path / "m.json"))
+    assert manifest.Manifest.load(str(tmp_path / "m.json")).require("analytics")
+    (tmp_path / "bad.json").write_text("{")
+    for path in ("bad.json", "none.json"):
+        with pytest.raises(manifest.Disabled):
+            manifest.Manifest.load(str(tmp_path / path)).require("analytics")
+
+
+def test_stored_postings_give_the_same(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red router"), (2, "red red cable"), (3, ""), (4, "blue router light")], "id long, text string")
+    asked = spark.createDataFrame([(9, "red router")], "id long, text string")
+    retrieval.write_postings(docs, str(tmp_path / "index"))
+    a = sorted(map(tuple, retrieval.bm25_topk(docs, asked).collect()))
+    assert a == sorted(map(tuple, retrieval.bm25_topk(None, asked, index=retrieval.read_postings(spark, str(tmp_path / "index"))).collect())) and a
+    few = retrieval.bm25_topk(docs, asked, among=docs.filter("id = 4")).collect()
+    assert [(r.doc_id, r.rank) for r in few] == [(4, 1)]
+    with pytest.raises(ValueError):
+        retrieval.search(None, None, "dense")
+
+
+def test_template_links_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", T.dedup_normalised(F.col("text")).alias("n")).collect()
+    grams = {r.doc_id: set(neardup._grams(r.n).tolist()) for r in rows if len(r.n) >= neardup.MIN_CHARS}
+    groups = {r.id: r.template_group_id for r in neardup.template_groups(docs, "doc_id", "text").collect()}
+    alike = [(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    assert alike and sum(groups[a] == groups[b] for a, b in alike) >= 0.9 * len(alike)
+    for members in {g: [i for i in groups if groups[i] == g] for g in set(groups.values())}.values():
+        if len(members) > 1:  # every member is linked to another
+            assert all(any(i != j and i in grams and j in grams and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) for j in members) for i in members)
