@@ -140,8 +140,22 @@ def test_briefs(spark):
     assert out[1].n_steps == 3 and out[1].manual_review_required and not out[1].insufficient_evidence
     assert out[2].n_steps == 0 and out[2].insufficient_evidence and out[2].manual_review_required
     assert out[3].n_steps == 5 and not out[3].manual_review_required
-    rates = brief.guardrail_rates(brief.verify(brief.suggest(ev).join(strength, "query_id"))).first()
-    assert (rates.cases, rates.citation_validity, rates.abstention_accuracy, rates.weak_generation_violations) == (3, 1.0, 1.0, 0)
+    briefs = {r.query_id: r for r in brief.support_brief(ev, strength).collect()}
+    assert [briefs[i].mode for i in (1, 2, 3)] == ["deterministic", "evidence_only", "deterministic"]
+    assert [(x.name, x.status) for x in briefs[2].trace][1] == ("policy", "stop") and briefs[1].trace[-1].status == "accepted"
+
+
+def test_guardrail_cases(spark):
+    from casemill.plans.catalogue import _CASES, guardrail_suite
+
+    rates = guardrail_suite(spark, "").first()
+    assert (rates.cases, rates.citation_validity, rates.abstention_accuracy, rates.weak_generation_violations) == (len(_CASES), 1.0, 1.0, 0)
+    schema = "case_id string, category string, strength string, evidence array<struct<id:string,notes:string>>, offered array<struct<text:string,citations:array<string>>>, expect_mode string, expect_insufficient boolean, expect_review boolean"
+    wrong = [("z", "weak_evidence", "weak", [("1", "Reset it.")], None, "generated", False, False)]
+    ran = brief.run_cases(spark.createDataFrame(wrong, schema))
+    assert ran.first().failures == "mode,insufficient,review"
+    rates = brief.guardrail_rates(ran).first()
+    assert rates.expectation_pass_rate == 0 and rates.citation_validity is None and "overclaim" in rates.categories_missing
 
 
 def test_stray_citations_go(spark):
@@ -231,7 +245,7 @@ def test_manifest_at_run_time(spark, tmp_path):
 
 
 def test_stored_postings_give_the_same(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "red router"), (2, "red red cable"), (3, ""), (4, "blue router light")], "id long, text string")
+    docs = spark.createDataFrame([(1, "red router"), (2, "red red cable"), (3, ""), (4, "blue router light"), *((i, "other filler words") for i in range(5, 12))], "id long, text string")
     asked = spark.createDataFrame([(9, "red router")], "id long, text string")
     retrieval.write_postings(docs, str(tmp_path / "index"))
     a = sorted(map(tuple, retrieval.bm25_topk(docs, asked).collect()))
