@@ -409,7 +409,16 @@ def technical_tokens(spark, sf_dir):
     return W.table(spark, sf_dir, "documents").select("doc_id", F.size(T.lexical_tokens(F.col("text"))).alias("n_tokens"))
 
 
-@query("note_quality")
+#: The same matches without looking behind, which DuckDB's patterns cannot.
+_ACTION = V.ACTION.replace("(?:^|(?<=[.!?]\\s)|(?<=[.!?]\\s\\s))", "(?:^|[.!?]\\s\\s?)").replace("'", "''")
+
+
+@query(
+    "note_quality",
+    f"""WITH {CONVS}, l AS (SELECT CASE WHEN regexp_matches(resolution_notes, '{_ACTION}') THEN 'action' WHEN regexp_matches(resolution_notes, '{V.ASKS}') THEN 'info_request' ELSE 'unclear' END AS label
+FROM cases WHERE trim(resolution_notes) <> ''), a AS (SELECT count(*) AS n, count(*) FILTER (label = 'action') AS action, count(*) FILTER (label = 'info_request') AS info_request, count(*) FILTER (label = 'unclear') AS unclear FROM l)
+SELECT *, round(action / nullif(n, 0), 4) AS action_rate, CASE WHEN n = 0 THEN 'no_notes' WHEN action / n >= 0.2 THEN 'resolutions' WHEN action / n >= 0.05 THEN 'mixed' ELSE 'correspondence' END AS verdict FROM a""",
+)
 def note_quality(spark, sf_dir):
     return manifest.note_quality(W.conversation_cases(spark, sf_dir))
 
@@ -793,6 +802,12 @@ def events_windows(spark, sf_dir):
     return stream.windowed(e).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("event_sessions")
+@query(
+    "event_sessions",
+    """WITH p AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT user_id, ts,
+sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM p)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",
+)
 def event_sessions(spark, sf_dir):
-    return stream.sessions(W.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    out = stream.sessions(W.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
