@@ -54,6 +54,31 @@ def test_components(spark):
     assert connected_components(edges.limit(0), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 7, 50, 1 << 17])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_with_few_and_many_edges_a_task(spark, bound, kind):
+    rng = np.random.default_rng(3)
+    pairs = [tuple(int(x) for x in p) for p in rng.integers(-60, 60, (70, 2))] + [(1000 + i, 1001 + i) for i in range(30)] + [(2000, 2000 + i) for i in range(1, 40)]
+    named = [(a, b) if kind == "long" else (str(a), str(b)) for a, b in pairs]
+    least = {x: x for p in named if p[0] != p[1] for x in p}
+    for _ in least:
+        for a, b in named:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    edges = spark.createDataFrame(named, f"a {kind}, b {kind}").repartition(3)
+    got = connected_components(edges, "a", "b", bound=bound).collect()
+    assert len(got) == len(least) and {r.node: r.component for r in got} == least
+
+
+def test_a_small_graph_takes_few_jobs(spark):
+    """The driver keeps something of every job; a path of 40 edges took a job for each step of each round."""
+    spark.sparkContext.setJobGroup("components", "")
+    connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), "a", "b").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 5
+
+
 def test_template_groups(spark):
     base = "please help me to reset the password of my account because the link in the mail does not work"
     rows = [(1, base), (2, base + " 42"), (3, base + " now"), (9, "short"), (10, "short"), (20, "an entirely different request about a missing invoice of last month")]
