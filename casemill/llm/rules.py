@@ -221,17 +221,27 @@ def _with_discounts(level: DataFrame) -> DataFrame:
     return level.join(discounts, "lang")  # a row a language
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def lower_orders(counts: DataFrame) -> list[DataFrame]:
+    """Continuation counts of the orders below, highest first, stored.
+
+    A plan that works all of them out several times over costs the driver memory with the square of its size.
+    """
+    levels = [counts]
+    for _ in range(ORDER - 1):
+        levels.append(stored(levels[-1].groupBy("lang", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "level"))
+    return levels[1:]
+
+
+def kneser_ney(counts: DataFrame, lower_counts: list[DataFrame] | None = None) -> DataFrame:
     """``(lang, gram, p, q)``: the probability of each n-gram's last character, and the same with one occurrence left out.
 
     Highest order: counts of occurrences; below: of distinct characters before (continuations).
     Below the lowest order all characters of the language are equally likely, and one more.
     Leaving an occurrence out takes one from the n-gram's count; where that was all of it, one
-    from its suffix's count as well, and so on.
+    from its suffix's count as well, and so on. ``lower_counts``: the result of ``lower_orders``,
+    where the caller deletes it.
     """
-    levels = [counts.select("lang", "gram", "n")]
-    for _ in range(ORDER - 1):
-        levels.append(levels[-1].groupBy("lang", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    levels = [counts.select("lang", "gram", "n"), *(lower_orders(counts) if lower_counts is None else lower_counts)]
     lower = None
     for k, level in enumerate(levels[::-1], 1):
         beside = Window.partitionBy("lang", "context")
@@ -310,8 +320,9 @@ class Model:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], schema=kind)
 
         counts = stored(count_grams(docs, self.langs), "grams")
-        self.table = stored(kneser_ney(counts).select("lang", "gram", F.log("q")).mapInArrow(hashes, "h long, value float"), "model")
-        dropped(counts)
+        lower = lower_orders(counts)
+        self.table = stored(kneser_ney(counts, lower).select("lang", "gram", F.log("q")).mapInArrow(hashes, "h long, value float"), "model")
+        dropped(counts, *lower)
         self.n_blocks = max(1, -(-self.table.count() * ENTRY_BYTES // BLOCK_BYTES))
 
     def __len__(self) -> int:
@@ -319,8 +330,11 @@ class Model:
 
     def __iter__(self) -> Iterator[Block]:
         for b in range(self.n_blocks):
-            part = self.table.filter(F.pmod("h", F.lit(self.n_blocks)) == b).toArrow()
-            yield Block(part.column("h").to_numpy().view(_U), part.column("value").to_numpy())
+            yield self._block(b)
+
+    def _block(self, b: int) -> Block:
+        part = self.table.filter(F.pmod("h", F.lit(self.n_blocks)) == b).toArrow()
+        return Block(part.column("h").to_numpy().view(_U), part.column("value").to_numpy())
 
 
 def log_sums(block: Block, langs: list[str], texts: list[bytes]) -> np.ndarray:

@@ -139,3 +139,12 @@ def test_tallies(tallied, monkeypatch):
     for lang, grams, n in tally.flush():
         got.update({(lang, g): c for g, c in zip(grams, n.tolist(), strict=True)})
     assert got == want
+
+
+def test_the_model_is_worked_out_in_small_plans(spark):
+    """The driver keeps each plan and describes it again after every stage; in one piece this one had 33 exchanges."""
+    counts = R.stored(spark.createDataFrame([("en", "abcde", 2), ("en", "bcdea", 1)], "lang string, gram string, n long"), "grams")
+    lower = R.lower_orders(counts)
+    assert [sorted(r.gram for r in level.collect()) for level in lower] == [["bcde", "cdea"], ["cde", "dea"], ["de", "ea"], ["a", "e"]]
+    plan = R.kneser_ney(counts, lower)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 20
