@@ -7,9 +7,10 @@ occur whole. What is hit is the union of these occurrences.
 
 The benchmark is a stated set of queries: it is read on the driver item by item, in blocks of
 ``block_words`` words, each sent to the executors by itself. A worker takes some documents, streams
-them through the automaton of each block in turn and unites what the blocks hit, row by row. So
-every automaton has a bounded size, results do not depend on the blocks, and documents are never
-shuffled.
+them through the automaton of each block in turn and unites what the blocks hit, row by row. At most
+``PASS_BLOCKS`` blocks are out at a time: a larger benchmark takes several passes over the documents,
+which keep what the blocks so far hit beside each row. So every automaton and what the driver holds
+have a bounded size, results do not depend on the blocks, and documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from casemill.llm.arrow import arrow_map, as_bytes, rewrite
+from casemill.llm.arrow import arrow_map, as_bytes, beside, fresh_name, rewrite
+from casemill.plans.cut import dropped, stored
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+#: Blocks that are sent to the executors at a time, and bytes of benchmark that the driver reads at a time.
+PASS_BLOCKS, READ_BYTES = 20, 4 << 20
 #: Lower case for A-Z; everything but digits, letters and non-ASCII bytes is white space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -159,7 +164,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     block, size = [], 0
-    for name, text in benchmark.select(F.col("item_id").cast("string"), as_bytes()).toLocalIterator():
+    items = benchmark.select(F.col("item_id").cast("string"), as_bytes().alias("text"))
+    n_bytes = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if n_bytes > READ_BYTES:  # else a partition, whatever its size, would come to the driver as a whole
+        items = items.repartition(-(-n_bytes // READ_BYTES))
+    for name, text in items.toLocalIterator():
         words = words_of(bytes(text))
         if name is None or not words:
             continue
@@ -177,11 +186,10 @@ def _byte_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, in
 
 
 class _Sent:
-    """The blocks of the benchmark on the executors, and the automata that a worker builds from them."""
+    """Some blocks of the benchmark on the executors, and the automata that a worker builds from them."""
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> None:
-        spark = docs.sparkSession.sparkContext
-        self.blocks = [spark.broadcast((block, window)) for block in _blocks(benchmark, block_words)]
+    def __init__(self, blocks: list) -> None:
+        self.blocks = blocks
         #: Rows that are taken together: more where automata have to be built for them.
         self.rows = 2048 if len(self.blocks) == 1 else 10_000
 
@@ -203,6 +211,54 @@ class _Sent:
         return [(n, merged(s), f) for n, s, f in zip(sizes, spans, found, strict=True)]
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> Iterator[tuple[_Sent, bool]]:
+    """At most ``PASS_BLOCKS`` blocks at a time, and whether they are the last; others go when the next are asked for."""
+    spark, blocks = docs.sparkSession.sparkContext, _blocks(benchmark, block_words)
+    ahead = next(blocks)
+    while ahead is not None:
+        sent = []
+        while ahead is not None and len(sent) < PASS_BLOCKS:
+            sent.append(spark.broadcast((ahead, window)))
+            ahead = next(blocks, None)
+        yield _Sent(sent), ahead is None
+        for block in sent:
+            block.destroy()
+
+
+_RUNS = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
+_FOUND = StructType([StructField("runs", _RUNS), StructField("items", ArrayType(StringType()))])
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, items: bool) -> tuple[DataFrame, _Sent, str | None]:
+    """``docs`` and the last blocks; the column that has what the blocks before them found, if there are any."""
+    found, rows = None, docs
+    for sent, last in _passes(docs, benchmark, window, block_words):
+        if last:
+            return rows, sent, found
+
+        def kernel(texts: list[bytes], sent: _Sent = sent) -> list[dict]:
+            return [{"runs": _structs(runs), "items": sorted(names) if items else []} for _, runs, names in sent.hits(texts)]
+
+        before = rows
+        if found is None:
+            found = fresh_name(docs, "_found")
+            rows = stored(beside(rows, kernel, StructField(found, _FOUND), sent.rows), "searched")
+        else:
+            more = fresh_name(rows, "_more")
+            both = F.struct(*(F.concat(f"{found}.{x}", f"{more}.{x}").alias(x) for x in _FOUND.names))
+            rows = stored(beside(rows, kernel, StructField(more, _FOUND), sent.rows).withColumn(found, both).drop(more), "searched")
+            dropped(before)
+    raise AssertionError("the last blocks end the loop")
+
+
+def _united(hits: tuple[int, list, set], before: dict | None) -> tuple[int, list[tuple[int, int]], set]:
+    """What the last blocks hit in a text and what those before them did."""
+    n, runs, names = hits
+    if before is None:
+        return hits
+    return n, merged([*runs, *((r["start"], r["stop"]) for r in before["runs"])]), names | set(before["items"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, n_words, n_hit, items, spans)``, one row for each row of ``docs``.
 
@@ -211,13 +267,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     without words or without an id are never found; an empty benchmark hits nothing. Repeated
     rows and null doc_ids keep their rows; other columns do not matter.
     """
-    sent = _Sent(docs, benchmark, window, block_words)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found_rows, sent, column = _searched(read, benchmark, window, block_words, True)
 
-    def kernel(ids: list, texts: list) -> Iterator[tuple]:
-        for doc_id, text, (n, runs, found) in zip(ids, texts, sent.hits(texts), strict=True):
+    def kernel(ids: list, texts: list, before: list | None = None) -> Iterator[tuple]:
+        hits = map(_united, sent.hits(texts), before or [None] * len(texts))
+        for doc_id, text, (n, runs, found) in zip(ids, texts, hits, strict=True):
             yield doc_id, n, sum(b - a for a, b in runs), sorted(found), _structs(_byte_spans(text, runs) if runs else [])
 
-    rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
+    rows = found_rows.select("doc_id", as_bytes(), *([column] if column else []))
     return arrow_map(rows, kernel, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>", sent.rows)
 
 
@@ -252,13 +310,15 @@ def decontaminate(
     ``max_coverage`` of whose words are hit goes. Others stay as they are. Every row is decided
     where it lies, whatever its id.
     """
-    sent = _Sent(docs, benchmark, window, block_words)
+    rows, sent, column = _searched(docs, benchmark, window, block_words, False)
 
-    def decide(texts: list[str]) -> tuple[list[bool], list]:
+    def decide(texts: list[str], before: list | None = None) -> tuple[list[bool], list]:
         keep, new, raw = [], [], [t.encode() for t in texts]
-        for text, (n, runs, _) in zip(raw, sent.hits(raw), strict=True):
+        hits = map(_united, sent.hits(raw), before or [None] * len(raw))
+        for text, (n, runs, _) in zip(raw, hits, strict=True):
             keep.append(sum(b - a for a, b in runs) <= max_coverage * n)
             new.append(_cut_out(text, _byte_spans(text, runs)).decode() if runs else None)
         return keep, new
 
-    return rewrite(docs, decide, min(sent.rows, 512) if len(sent.blocks) == 1 else sent.rows)
+    out = rewrite(rows, decide, min(sent.rows, 512) if len(sent.blocks) == 1 else sent.rows, column)
+    return out.drop(column) if column else out

@@ -66,3 +66,41 @@ def test_results_do_not_depend_on_blocks(spark, block_words):
     assert kept == sorted(
         [(1, "before, . after " + "z " * 40, 96), (3, "clean text", 10), (None, "clean too", 9), (5, "other text", 5), (6, None, 0), (7, " " + "y " * 9, 19)], key=repr
     )
+
+
+def test_few_blocks_are_out_at_a_time(spark, monkeypatch):
+    """The driver holds a bounded part of the benchmark, however large; what several passes find is what one finds."""
+    from pyspark import Broadcast, SparkContext
+
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choices("abcdefgh", k=6))) for i in range(40)]
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(30))) + " x" * 9 for _ in range(60)] + [items[0][1] + " y, " + items[39][1] + " z" * 30, None]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, _found int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    once = {r.doc_id: r for r in D.contamination(docs, bench, 4).collect()}
+    whole = sorted(map(tuple, D.decontaminate(docs, bench, 4).collect()), key=repr)
+    out, most = set(), [0]
+
+    def sent(self, value, f=SparkContext.broadcast):
+        b = f(self, value)
+        out.add(id(b))
+        kept.append(b)
+        most[0] = max(most[0], len(out))
+        return b
+
+    def gone(self, *a, f=Broadcast.destroy, **b):
+        out.discard(id(self))
+        f(self, *a, **b)
+
+    kept = []
+    monkeypatch.setattr(SparkContext, "broadcast", sent)
+    monkeypatch.setattr(Broadcast, "destroy", gone)
+    monkeypatch.setattr(D, "PASS_BLOCKS", 3, raising=False)
+    monkeypatch.setattr(D, "READ_BYTES", 100, raising=False)
+    assert {r.doc_id: r for r in D.contamination(docs, bench, 4, block_words=18).collect()} == once
+    assert len(kept) >= 10 and most[0] <= 3
+    out.clear()
+    got = D.decontaminate(docs, bench, 4, block_words=18)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=repr) == whole
+    assert most[0] <= 3 and whole != sorted(map(tuple, docs.collect()), key=repr)
+    assert sum(r.n_hit > 0 for r in once.values()) > 5
